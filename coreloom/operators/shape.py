@@ -54,16 +54,16 @@ def dedupe_mean(
 
 
 def sensors_to_long(wide: DataFrame) -> DataFrame:
-    """(Time, Node, sensor...) to (Time, Node, sensor, value); empty cells drop out."""
+    """(Time, Node, sensor...) to (Time, Node, sensor, reading); empty cells drop out."""
     sensors = [c for c in wide.columns if c not in ("Time", "Node")]
-    cells = F.array(*[F.struct(F.lit(s).alias("sensor"), F.col(s).cast("double").alias("value")) for s in sensors])
-    return wide.select("Time", "Node", F.inline(cells)).where("value is not null")
+    cells = F.array(*[F.struct(F.lit(s).alias("sensor"), F.col(s).cast("double").alias("reading")) for s in sensors])
+    return wide.select("Time", "Node", F.inline(cells)).where("reading is not null")
 
 
 def sensors_to_wide(long: DataFrame, sensors: Sequence[str] | None = None) -> DataFrame:
-    """(Time, Node, sensor, value) to one column per sensor, aligned by time and node."""
+    """(Time, Node, sensor, reading) to one column per sensor, aligned by time and node."""
     names = list(sensors) if sensors else sensor_names(long)
-    return long.groupBy("Time", "Node").pivot("sensor", names).agg(F.avg("value"))
+    return long.groupBy("Time", "Node").pivot("sensor", names).agg(F.avg("reading"))
 
 
 def sensor_names(long: DataFrame) -> list[str]:
@@ -84,8 +84,8 @@ def pivot_features(
     if on_duplicate == "error":
         dedupe_mean(long.select("Time", "Node", "sensor"), ("Time", "Node", "sensor"), "error")
     names = list(columns) if columns else feature_columns(long)
-    cells = long.select("Time", F.concat_ws("_", "Node", "sensor").alias("_c"), "value")
-    return cells.groupBy("Time").pivot("_c", names).agg(F.avg("value"))
+    cells = long.select("Time", F.concat_ws("_", "Node", "sensor").alias("_c"), "reading")
+    return cells.groupBy("Time").pivot("_c", names).agg(F.avg("reading"))
 
 
 def pivot_array(long: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -96,10 +96,10 @@ def pivot_array(long: DataFrame, columns: Sequence[str]) -> DataFrame:
     """
     names = F.lit(list(columns))
     cells = (
-        long.select("Time", F.array_position(names, F.concat_ws("_", "Node", "sensor")).alias("_i"), "value")
+        long.select("Time", F.array_position(names, F.concat_ws("_", "Node", "sensor")).alias("_i"), "reading")
         .where("_i > 0")
         .groupBy("Time", "_i")
-        .agg(F.avg("value").alias("_v"))
+        .agg(F.avg("reading").alias("_v"))
     )
     by_time = cells.groupBy("Time").agg(F.map_from_entries(F.collect_list(F.struct("_i", "_v"))).alias("_m"))
     indices = F.sequence(F.lit(1).cast("bigint"), F.lit(len(columns)).cast("bigint"))

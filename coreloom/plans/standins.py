@@ -29,7 +29,7 @@ def _node():
 
 def sensor_long(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select(
-        _hour().alias("Time"), _node().alias("Node"), F.col("event_type").alias("sensor"), "value"
+        _hour().alias("Time"), _node().alias("Node"), F.col("event_type").alias("sensor"), F.col("value").alias("reading")
     )
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RESPONSE_SCHEMA = "Time string, Value string"
-SENSOR_SCHEMA = "Time string, value double"
+SENSOR_SCHEMA = "Time string, reading double"
 NODE_DIR = r"/(?:[^/=]+=)?([^/=]+)/(?:[^/=]+=)?([^/=]+)\.csv(?:/[^/]+)?$"
 
 
@@ -50,8 +50,8 @@ def load_responses(
 def load_sensors(
     spark: SparkSession, root: str, nodes: Sequence[str] | None = None, time_format: str | None = None
 ) -> DataFrame:
-    """(Time, Node, sensor, value): the sensor's name is the file's stem."""
+    """(Time, Node, sensor, reading): the sensor's name is the file's stem."""
     rows = _read(spark, root, SENSOR_SCHEMA, nodes)
     return rows.select(
-        parse_time(F.col("Time"), time_format).alias("Time"), "Node", F.col("_stem").alias("sensor"), "value"
+        parse_time(F.col("Time"), time_format).alias("Time"), "Node", F.col("_stem").alias("sensor"), "reading"
     )

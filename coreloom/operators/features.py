@@ -37,8 +37,14 @@ def assemble(df: DataFrame, columns: Sequence[str], null_policy: str = "error")
 
 
 def to_long(df: DataFrame, *keep: str) -> DataFrame:
-    """One row per feature cell: kept columns, ``feature`` (0-based int) and ``x``."""
-    return df.select(*keep, F.posexplode("features").alias("feature", "x"))
+    """One row per feature cell: kept columns, ``feature`` (0-based int) and ``x``.
+
+    The outer form keeps the optimizer from inferring a size filter over the array;
+    pushed below a projection of many renamed columns such a filter multiplies the
+    inferred constraints.
+    """
+    cells = df.select(*keep, F.posexplode_outer("features").alias("feature", "x"))
+    return cells.where(F.col("feature").isNotNull())
 
 
 def name_features(df: DataFrame, names: Sequence[str]) -> DataFrame:

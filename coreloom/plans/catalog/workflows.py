@@ -12,11 +12,13 @@ from coreloom.plans import standins as S
 from coreloom.plans import workflow
 from coreloom.plans.catalog import sql as Q
 from coreloom.plans.catalog.registry import query
+from coreloom.session import materialize
 
 
 def sensor_features(spark, sf):
     """(row_id, Time, features, label) from the raw sensor and response series."""
     table = shape.feature_table(S.sensor_long(spark, sf), S.responses(spark, sf), S.EVENT_CODES, S.NODES, Q.CELLS)
+    table = materialize(table, "feature_table")
     rows = FE.assemble(table.where("Value is not null"), Q.CELLS, "mean")
     return rows.select(F.col("Time").cast("string").alias("row_id"), "Time", "features", F.col("Value").alias("label"))
 

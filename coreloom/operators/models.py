@@ -100,7 +100,7 @@ def importance_difference(full: DataFrame, core: DataFrame, n: int = 10) -> Data
 def cross_validate(
     df: DataFrame, forest: Forest, k: int = 5, seed: int = 42, label: str = "label", key: str = "row_id"
 ) -> DataFrame:
-    """(fold, accuracy, f1): refit on k-1 folds, score the one left out."""
+    """(fold, accuracy, f1): refit on k-1 folds, score the one left out; empty folds drop out."""
     folded = stratified_folds(df, k, label, key, seed).persist()
     try:
         results = []
@@ -108,7 +108,8 @@ def cross_validate(
             model = fit_forest(folded.where(F.col("fold") != fold), forest, label)
             held = predict(model, folded.where(F.col("fold") == fold))
             row = scores(held, label).first()
-            results.append((fold, float(row["accuracy"]), float(row["f1"])))
+            if row["accuracy"] is not None:
+                results.append((fold, float(row["accuracy"]), float(row["f1"])))
     finally:
         folded.unpersist()
     return df.sparkSession.createDataFrame(results, "fold int, accuracy double, f1 double")

@@ -20,14 +20,17 @@ from coreloom.operators.bounded import pin_small
 BUCKET_BITS = 8
 
 
-def _search(value: Column, cuts: Column, bits: int) -> Column:
-    """Number of cut points below ``value``: a binary search over a sorted array."""
-    steps = F.lit([2 ** b for b in reversed(range(bits))])
-    return F.aggregate(
-        steps,
-        F.lit(0),
-        lambda pos, step: F.when(F.get(cuts, pos + step - 1) < value, pos + step).otherwise(pos),
-    )
+def _search(df: DataFrame, value: str, cuts: Column, bits: int) -> DataFrame:
+    """Attach the number of cut points below ``value``: an unrolled binary search.
+
+    One projection per bit keeps every step inside generated code and each step's
+    expression small.
+    """
+    df = df.withColumn("_bucket", F.lit(0))
+    for step in (2**b for b in reversed(range(bits))):
+        at = F.get(cuts, F.col("_bucket") + F.lit(step - 1))
+        df = df.withColumn("_bucket", F.col("_bucket") + F.when(at < F.col(value), F.lit(step)).otherwise(F.lit(0)))
+    return df
 
 
 def with_bucket(df: DataFrame, by: Sequence[str], value: str, bits: int = BUCKET_BITS) -> DataFrame:
@@ -37,12 +40,10 @@ def with_bucket(df: DataFrame, by: Sequence[str], value: str, bits: int = BUCKET
     sketch = F.percentile_approx(value, points, 4 * n)
     if by:
         cuts = pin_small(df.groupBy(*by).agg(sketch.alias("_cuts")))
-        joined = df.join(cuts, list(by))
-        return joined.withColumn("_bucket", _search(F.col(value), F.col("_cuts"), bits)).drop("_cuts")
+        return _search(df.join(cuts, list(by)), value, F.col("_cuts"), bits).drop("_cuts")
     data_type = df.schema[value].dataType.simpleString()
     found = df.agg(sketch.cast("array<string>").alias("c")).first()["c"] or []
-    cuts = F.array(*[F.lit(v) for v in found]).cast(f"array<{data_type}>")
-    return df.withColumn("_bucket", _search(F.col(value), cuts, bits))
+    return _search(df, value, F.lit(found).cast(f"array<{data_type}>"), bits)
 
 
 def running_totals(

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from coreloom.operators.bounded import pin_small
+
 CHUNK = 100_000
 
 
@@ -78,7 +80,7 @@ def acf(
     chunk and are summed before they shuffle. Lags beyond the series are left out.
     """
     by = list(by)
-    means = df.groupBy(*by).agg(F.avg(value).alias("_m"), F.count(value).alias("n"))
+    means = pin_small(df.groupBy(*by).agg(F.avg(value).alias("_m"), F.count(value).alias("n")))
     rows = df.join(means, by).withColumn("_d", F.col(value) - F.col("_m")).select(*by, idx, "n", "_d")
     rows = chunked(rows, by, idx, before=lags, chunk=chunk)
     window = chunk_window(by, idx)
@@ -144,6 +146,7 @@ def seasonal_decompose(
     phases = rows.groupBy(*by, "phase").agg(F.avg(F.col(value) - F.col("trend")).alias("_p"))
     level = phases.groupBy(*by).agg(F.avg("_p").alias("_level"))
     seasonal = phases.join(level, by).select(*by, "phase", (F.col("_p") - F.col("_level")).alias("seasonal"))
+    seasonal = pin_small(seasonal)
     return rows.join(seasonal, [*by, "phase"]).withColumn(
         "resid", F.col(value) - F.col("trend") - F.col("seasonal")
     )

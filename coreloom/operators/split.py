@@ -87,12 +87,25 @@ def stratified_split(
     return parts.where("segment = 1").drop("segment"), parts.where("segment = 0").drop("segment")
 
 
+def fold_sizes(sizes: Mapping, k: int) -> dict:
+    """Rows of each class in each fold.
+
+    The classes, laid end to end in label order, are dealt round-robin to the folds:
+    class counts differ by at most one between folds, and so do the fold totals.
+    """
+    dealt, start = {}, 0
+    for c in sorted(sizes):
+        end = start + sizes[c]
+        dealt[c] = [(end - 1 - f) // k - (start - 1 - f) // k for f in range(k)]
+        start = end
+    return dealt
+
+
 def stratified_folds(df: DataFrame, k: int = 5, label: str = "label", key: str = "row_id", seed: int = 42) -> DataFrame:
-    """Attach ``fold`` 0..k-1; within a class the fold sizes differ by at most one."""
+    """Attach ``fold`` 0..k-1, stratified by class."""
     ends = {}
-    for c, n in class_sizes(df, label).items():
-        sizes = [n // k + (1 if f < n % k else 0) for f in range(k)]
-        ends[c] = [sum(sizes[: f + 1]) for f in range(k - 1)]
+    for c, dealt in fold_sizes(class_sizes(df, label), k).items():
+        ends[c] = [sum(dealt[: f + 1]) for f in range(k - 1)]
     return with_segment(df, label, key, ends, seed, name="fold")
 
 

@@ -83,10 +83,18 @@ def time_split(spark, sf):
     return parts[0].unionAll(parts[1])
 
 
+_FOLDS = ", ".join(
+    f"CAST(floor((e - 1 - {f}) / 5.0) - floor((s - 1 - {f}) / 5.0) AS BIGINT) AS z{f}" for f in range(5)
+)
+_FOLD = " + ".join(f"CAST(rn > {' + '.join(f'z{g}' for g in range(f + 1))} AS INTEGER)" for f in range(4))
+
+
 @query(
     "stratified_folds",
-    f"""WITH {Q.LINES} SELECT row_id, label,
-    CAST(ntile(5) OVER (PARTITION BY label ORDER BY md5('42:' || row_id)) - 1 AS INTEGER) AS fold FROM lines""",
+    f"""WITH {Q.LINES}, sizes AS (SELECT label, sum(count(*)) OVER (ORDER BY label) AS e, count(*) AS n FROM lines GROUP BY label),
+    dealt AS (SELECT label, {_FOLDS} FROM (SELECT label, e, e - n AS s FROM sizes)),
+    ranked AS (SELECT row_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || row_id)) AS rn FROM lines)
+    SELECT row_id, label, CAST({_FOLD} AS INTEGER) AS fold FROM ranked JOIN dealt USING (label)""",
 )
 def stratified_folds(spark, sf):
     return split.stratified_folds(S.wide_num(spark, sf), 5).select("row_id", "label", "fold")

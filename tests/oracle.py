@@ -5,13 +5,22 @@ from __future__ import annotations
 import os
 
 import duckdb
-import pyarrow as pa
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
 ).split()
 
+SPARK_TYPES = {
+    "BIGINT": "bigint",
+    "INTEGER": "int",
+    "DOUBLE": "double",
+    "FLOAT": "float",
+    "VARCHAR": "string",
+    "BOOLEAN": "boolean",
+    "TIMESTAMP": "timestamp_ntz",
+}
+
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
@@ -27,33 +36,21 @@ def cell(value):
     return repr(value + 0.0) if isinstance(value, float) else str(value)
 
 
-def rows(table: pa.Table) -> list[tuple]:
-    columns = [[cell(v) for v in table[c].to_pylist()] for c in sorted(table.column_names)]
-    return sorted(zip(*columns)) if columns else []
-
-
-def kind(data_type: pa.DataType) -> str:
-    if pa.types.is_integer(data_type):
-        return f"int{data_type.bit_width}"
-    if pa.types.is_timestamp(data_type):
-        return "timestamp"
-    if pa.types.is_string(data_type) or pa.types.is_large_string(data_type):
-        return "string"
-    return str(data_type)
+def multiset(names, rows) -> list[tuple]:
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    return sorted(tuple(cell(row[i]) for i in order) for row in rows)
 
 
-def difference(left_table: pa.Table, right_table: pa.Table) -> str | None:
+def difference(df, con, sql: str) -> str | None:
     """None when equal in columns, types and values, else a short description."""
-    if sorted(left_table.column_names) != sorted(right_table.column_names):
-        return f"columns {sorted(left_table.column_names)} != {sorted(right_table.column_names)}"
-    if len(left_table) != len(right_table):
-        return f"rows {len(left_table)} != {len(right_table)}"
-    for c in left_table.column_names:
-        a, b = kind(left_table.schema.field(c).type), kind(right_table.schema.field(c).type)
-        if a != b:
-            return f"type of {c}: {a} != {b}"
-    left, right = rows(left_table), rows(right_table)
+    described = con.execute(f"DESCRIBE {sql}").fetchall()
+    sql_types = {name: SPARK_TYPES.get(kind, kind) for name, kind, *_ in described}
+    spark_types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    if sql_types != spark_types:
+        return f"schema {spark_types} != {sql_types}"
+    left = multiset(df.columns, df.collect())
+    right = multiset([d[0] for d in described], con.execute(sql).fetchall())
+    if len(left) != len(right):
+        return f"rows {len(left)} != {len(right)}"
     wrong = [(a, b) for a, b in zip(left, right) if a != b]
-    if wrong:
-        return f"{len(wrong)} of {len(left)} rows differ, e.g. {wrong[0]}"
-    return None
+    return f"{len(wrong)} of {len(left)} rows differ, e.g. {wrong[0]}" if wrong else None

@@ -74,6 +74,7 @@ class Scaler:
 
     means: list[float]
     stds: list[float]
+    variances: list[float]
 
     def apply(self, df: DataFrame) -> DataFrame:
         means, stds = F.lit(self.means), F.lit(self.stds)
@@ -81,17 +82,29 @@ class Scaler:
             "features", F.transform("features", lambda x, i: (x - F.get(means, i)) / F.get(stds, i))
         )
 
+    def passing(self, threshold: float, scaled: bool) -> list[int]:
+        """Features whose variance exceeds the threshold, before or after scaling.
+
+        A scaled column has variance 1, a constant one 0, so no second pass is needed.
+        """
+        values = [float(v > 0.0) for v in self.variances] if scaled else self.variances
+        return [i for i, v in enumerate(values) if v > threshold]
+
+    def subset(self, indices: Sequence[int]) -> "Scaler":
+        return Scaler(*[[column[i] for i in indices] for column in (self.means, self.stds, self.variances)])
+
 
 def fit_scaler(train: DataFrame) -> Scaler:
     """A constant column gets divisor 1, so it becomes 0 on the training rows."""
     rows = small_rows(moments(to_long(train)), MAX_FEATURES, "features")
     rows.sort(key=lambda r: r["feature"])
-    stds = [r["variance"] ** 0.5 for r in rows]
-    return Scaler([r["mean"] for r in rows], [s if s > 0.0 else 1.0 for s in stds])
+    variances = [r["variance"] for r in rows]
+    return Scaler([r["mean"] for r in rows], [v**0.5 if v > 0.0 else 1.0 for v in variances], variances)
 
 
 def center(df: DataFrame, means: Sequence[float]) -> DataFrame:
-    return Scaler(list(means), [1.0] * len(means)).apply(df)
+    middle = F.lit(list(means))
+    return df.withColumn("features", F.transform("features", lambda x, i: x - F.get(middle, i)))
 
 
 def feature_variances(df: DataFrame) -> DataFrame:

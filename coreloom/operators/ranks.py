@@ -53,17 +53,18 @@ def running_totals(
 
     Returns ``by + [value, next_value]`` and, for every measure ``m``, ``m``,
     ``cum_m`` (running sum including this value) and ``tot_m`` (sum of the group).
-    ``next_value`` is null at the largest value. Nulls in ``value`` are left out. The bucket offsets come straight from the raw rows (map-side
-    combined), so the distinct table is shuffled once for the combine and once for
-    the in-bucket window, which shares its partitioning with the offset join.
+    ``next_value`` is null at the largest value. Nulls in ``value`` are left out. The
+    bucket totals read the same combined rows (one reused exchange), and the in-bucket
+    window shares its partitioning with the offset join.
     """
     by = list(by)
     rows = df.where(F.col(value).isNotNull()).select(
         *by, value, *[m.alias(f"_{k}") for k, m in measures.items()]
     )
     rows = with_bucket(rows, by, value, bits)
-    totals = rows.groupBy(*by, "_bucket").agg(
-        F.min(value).alias("_first"), *[F.sum(f"_{k}").alias(f"_t_{k}") for k in measures]
+    distinct = rows.groupBy(*by, "_bucket", value).agg(*[F.sum(f"_{k}").alias(k) for k in measures])
+    totals = distinct.groupBy(*by, "_bucket").agg(
+        F.min(value).alias("_first"), *[F.sum(k).alias(f"_t_{k}") for k in measures]
     )
     group = Window.partitionBy(*by)
     ordered = group.orderBy("_bucket")
@@ -75,7 +76,6 @@ def running_totals(
         *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in measures],
         *[F.sum(f"_t_{k}").over(group).alias(f"tot_{k}") for k in measures],
     )
-    distinct = rows.groupBy(*by, "_bucket", value).agg(*[F.sum(f"_{k}").alias(k) for k in measures])
     sorted_inside = Window.partitionBy(*by, "_bucket").orderBy(value)
     inside = sorted_inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return distinct.join(offsets, [*by, "_bucket"]).select(

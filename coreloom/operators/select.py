@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from coreloom.functions.scalars import entropy, euclidean, hash_bucket, hash_order
 from coreloom.operators.bounded import pin_small
+from coreloom.operators.features import moments, to_long
 from coreloom.operators.ranks import exact_quantiles
 from coreloom.session import materialize
 
@@ -84,10 +85,14 @@ def kmeans_core_set(
 ) -> DataFrame:
     """One representative row per non-empty cluster.
 
-    Up to ``max_model_clusters`` the centres fit one broadcast model. Beyond that
+    A single cluster is the mean of all rows. Up to ``max_model_clusters`` the centres fit one broadcast model. Beyond that
     (k grows with the rows when it is set as rows / 100) the rows are first divided
     into cells of bounded size and each cell is clustered on its own.
     """
+    if k < 2:
+        means = moments(to_long(df)).agg(F.array_sort(F.collect_list(F.struct("feature", "mean"))).alias("_m"))
+        center = means.select(F.lit(0).alias("cluster"), F.transform("_m", lambda c: c["mean"]).alias("center"))
+        return nearest_to_center(df.withColumn("cluster", F.lit(0)), center, key).drop("distance")
     if k <= max_model_clusters:
         model, assigned = fit_kmeans(df, k, seed)
         return nearest_to_center(assigned, center_table(model, df.sparkSession), key).drop("distance")

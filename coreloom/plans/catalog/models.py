@@ -87,7 +87,8 @@ def importance_difference(spark, sf):
 def entropy_core_set(spark, sf):
     train, _ = parts(spark, sf)
     model = M.fit_forest(train, M.FULL_ANOMALY_ENTROPY_PCA)
-    bands = select.entropy_bands(select.with_entropy(M.predict(model, train)))
+    scored = select.with_entropy(M.predict(model, train)).select("row_id", "label", "entropy")
+    bands = select.entropy_bands(materialize(scored, "entropy"))
     return bands.select("row_id", "label", "band", "entropy")
 
 

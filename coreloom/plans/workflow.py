@@ -181,16 +181,11 @@ def run(df: DataFrame, plan: Plan, names: Sequence[str], time_column: str = "Tim
         train, test = split.stratified_split(df, 0.2, seed=plan.seed)
     train, test = train.select(*keep), test.select(*keep)
 
-    def filtered(train, test):
-        kept = FE.passing_features(train, plan.threshold)
-        return FE.keep_features(train, kept), FE.keep_features(test, kept), kept
-
-    if plan.filter_first:
-        train, test, kept = filtered(train, test)
+    # One pass over the training rows yields the moments for both the filter and the scaler.
     scaler = FE.fit_scaler(train)
-    train, test = scaler.apply(train), scaler.apply(test)
-    if not plan.filter_first:
-        train, test, kept = filtered(train, test)
+    kept = scaler.passing(plan.threshold, scaled=not plan.filter_first)
+    chosen = scaler.subset(kept)
+    train, test = chosen.apply(FE.keep_features(train, kept)), chosen.apply(FE.keep_features(test, kept))
     if plan.single:
         train, test = FE.cast_float32(train), FE.cast_float32(test)
         train, test = widen(train), widen(test)
@@ -199,7 +194,8 @@ def run(df: DataFrame, plan: Plan, names: Sequence[str], time_column: str = "Tim
 
     forests = {"full": fit("fit_full", train, plan.full)}
     if plan.select == "entropy":
-        scored = select.with_entropy(models.predict(forests["full"], train))
+        scored = select.with_entropy(models.predict(forests["full"], train)).select(*keep, "entropy")
+        scored = stage("entropy", lambda: scored)
         core = stage("core", lambda: banded_core(scored, keep))
     else:
         clusters = plan.cluster_count(train.count())

@@ -82,8 +82,13 @@ def dataset_fingerprint(spark, sf):
     return stages.fingerprint(lines, [F.col("row_id"), F.col("label"), *scaled])
 
 
-@query("export_datasets")
+@query(
+    "export_datasets",
+    f"""WITH {Q.LINES} SELECT 'full_dataset' AS dataset, CAST(label AS VARCHAR) AS "Value", count(*) AS n FROM lines GROUP BY label
+    UNION ALL SELECT 'core_dataset', CAST(label AS VARCHAR), count(*) FROM lines WHERE md5('42:' || row_id) < '05' GROUP BY label""",
+)
 def export_datasets(spark, sf):
+    """Write both feature tables as CSV, read them back and count."""
     full = S.wide_features(spark, sf)
     tables = {"full_dataset": full, "core_dataset": S.core_of(full)}
     paths = sinks.export_datasets(tables, scratch_path(spark, "export"), dict.fromkeys(tables, 4))

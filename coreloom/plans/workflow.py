@@ -188,8 +188,7 @@ def run(df: DataFrame, plan: Plan, names: Sequence[str], time_column: str = "Tim
     train, test = chosen.apply(FE.keep_features(train, kept)), chosen.apply(FE.keep_features(test, kept))
     if plan.single:
         train, test = FE.cast_float32(train), FE.cast_float32(test)
-        train, test = widen(train), widen(test)
-    train, test = stage("train", lambda: train), stage("test", lambda: test)
+    train, test = widen(stage("train", lambda: train)), widen(stage("test", lambda: test))
     names = [names[i] for i in kept]
 
     forests = {"full": fit("fit_full", train, plan.full)}
@@ -207,8 +206,7 @@ def run(df: DataFrame, plan: Plan, names: Sequence[str], time_column: str = "Tim
         components = fit_pca(core, plan.share)
         compressed = stage("compressed", lambda: components.transform(core, single=plan.single))
         test_compressed = components.transform(test, single=plan.single)
-        if plan.single:
-            compressed, test_compressed = widen(compressed), widen(test_compressed)
+        compressed, test_compressed = widen(compressed), widen(test_compressed)
     else:
         compressed = stage(
             "compressed", lambda: split.stratified_compress_guarded(core, plan.fraction, seed=plan.seed).select(*keep)
@@ -219,7 +217,7 @@ def run(df: DataFrame, plan: Plan, names: Sequence[str], time_column: str = "Tim
 
 
 def widen(df: DataFrame) -> DataFrame:
-    """Single-precision values in double arrays, the type the models compute in."""
+    """Features as double arrays, the type the models compute in; single precision only at rest."""
     return df.withColumn("features", F.col("features").cast("array<double>"))
 
 

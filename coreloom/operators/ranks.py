@@ -15,9 +15,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coreloom.functions.scalars import hash_bucket, hash_order
-from coreloom.operators.bounded import pin_small
+from coreloom.operators.bounded import pin_small, small_rows
 
+# Buckets start at 2**BUCKET_BITS per group and grow until one holds about BUCKET_ROWS rows.
 BUCKET_BITS = 8
+MAX_BUCKET_BITS = 15
+BUCKET_ROWS = 4_000_000
 
 
 def _search(df: DataFrame, value: str, cuts: Column, bits: int) -> DataFrame:
@@ -33,17 +36,41 @@ def _search(df: DataFrame, value: str, cuts: Column, bits: int) -> DataFrame:
     return df
 
 
-def with_bucket(df: DataFrame, by: Sequence[str], value: str, bits: int = BUCKET_BITS) -> DataFrame:
-    """Attach ``_bucket``, monotone in ``value`` within ``by`` and roughly even in rows."""
+def _bits_for(rows: int, bits: int) -> int:
+    """Bits that leave about BUCKET_ROWS of a group's rows in each bucket."""
+    while bits < MAX_BUCKET_BITS and rows > BUCKET_ROWS * 2**bits:
+        bits += 1
+    return bits
+
+
+def _sketch(value: str, bits: int) -> Column:
     n = 2**bits
-    points = [i / n for i in range(1, n)]
-    sketch = F.percentile_approx(value, points, 4 * n)
+    return F.percentile_approx(value, [i / n for i in range(1, n)], 4 * n)
+
+
+def with_bucket(df: DataFrame, by: Sequence[str], value: str, bits: int = BUCKET_BITS) -> DataFrame:
+    """Attach ``_bucket``, monotone in ``value`` within ``by`` and roughly even in rows.
+
+    ``bits`` is a minimum: very large groups get a finer sketch in a second pass, so
+    the rows of one bucket stay bounded while the data grows.
+    """
     if by:
-        cuts = pin_small(df.groupBy(*by).agg(sketch.alias("_cuts")))
-        return _search(df.join(cuts, list(by)), value, F.col("_cuts"), bits).drop("_cuts")
+        def cuts_at(b):
+            return pin_small(df.groupBy(*by).agg(_sketch(value, b).alias("_cuts"), F.count(value).alias("_rows")))
+
+        cuts = cuts_at(bits)
+        finer = _bits_for(cuts.agg(F.max("_rows")).first()[0] or 0, bits)
+        cuts = cuts if finer == bits else cuts_at(finer)
+        return _search(df.join(cuts, list(by)), value, F.col("_cuts"), finer).drop("_cuts", "_rows")
     data_type = df.schema[value].dataType.simpleString()
-    found = df.agg(sketch.cast("array<string>").alias("c")).first()["c"] or []
-    return _search(df, value, F.lit(found).cast(f"array<{data_type}>"), bits)
+
+    def found_at(b):
+        return df.agg(_sketch(value, b).cast("array<string>").alias("c"), F.count(value).alias("n")).first()
+
+    found = found_at(bits)
+    finer = _bits_for(found["n"], bits)
+    found = found if finer == bits else found_at(finer)
+    return _search(df, value, F.lit(found["c"] or []).cast(f"array<{data_type}>"), finer)
 
 
 def running_totals(
@@ -196,25 +223,44 @@ def hash_cuts(
     )
 
 
+def hash_digits(rows: int) -> int:
+    """Hex digits that leave at most BUCKET_ROWS of ``rows`` in one hash bucket (3 at least)."""
+    digits = 3
+    while rows > BUCKET_ROWS * 16**digits:
+        digits += 1
+    return digits
+
+
 def position_cut(df: DataFrame, order: str, position: int, bits: int = BUCKET_BITS):
     """The ``order`` value at a 1-based global position, and the rows still needed there.
 
     Returns ``(value as text, missing, ties)``: all rows below the value plus
     ``missing`` of the ``ties`` rows equal to it make up exactly ``position`` rows.
+    Only the bucket that holds the position is sorted.
     """
-    totals = running_totals(df, [], order, {"n": F.lit(1)}, bits)
+    rows = with_bucket(df.where(F.col(order).isNotNull()).select(order), [], order, bits)
+    counts = small_rows(rows.groupBy("_bucket").count(), 2**MAX_BUCKET_BITS, "buckets")
+    below = 0
+    for bucket, n in sorted((r["_bucket"], r["count"]) for r in counts):
+        if below + n >= position:
+            break
+        below += n
+    inside = Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    distinct = rows.where(F.col("_bucket") == bucket).groupBy("_bucket", order).agg(F.count(F.lit(1)).alias("n"))
     row = (
-        totals.where(F.col("cum_n") >= position)
-        .agg(F.min_by(F.struct(F.col(order).cast("string").alias("v"), "n", "cum_n"), order).alias("r"))
+        distinct.withColumn("cum", below + F.sum("n").over(inside))
+        .where(F.col("cum") >= position)
+        .agg(F.min_by(F.struct(F.col(order).cast("string").alias("v"), "n", "cum"), order).alias("r"))
         .first()["r"]
     )
-    return row["v"], int(position - (row["cum_n"] - row["n"])), int(row["n"])
+    return row["v"], int(position - (row["cum"] - row["n"])), int(row["n"])
 
 
 __all__ = [
     "BUCKET_BITS",
     "exact_quantiles",
     "hash_cuts",
+    "hash_digits",
     "position_cut",
     "running_totals",
     "with_bucket",

@@ -70,11 +70,13 @@ def center_table(model: KMeansModel, spark) -> DataFrame:
     return spark.createDataFrame(rows, "cluster int, center array<double>")
 
 
-def fit_kmeans(df: DataFrame, k: int, seed: int = 42, max_iter: int = 20) -> tuple[KMeansModel, DataFrame]:
+def fit_kmeans(
+    df: DataFrame, k: int, seed: int = 42, max_iter: int = 20, init: str = "k-means||"
+) -> tuple[KMeansModel, DataFrame]:
     """Full-batch Lloyd over the ``features`` arrays; adds the ``cluster`` column."""
     vectors = df.withColumn("_vector", array_to_vector("features"))
     estimator = KMeans(
-        k=k, seed=seed, maxIter=max_iter, featuresCol="_vector", predictionCol="cluster", initMode="k-means||"
+        k=k, seed=seed, maxIter=max_iter, featuresCol="_vector", predictionCol="cluster", initMode=init
     )
     model = estimator.fit(vectors)
     return model, model.transform(vectors).drop("_vector")
@@ -110,7 +112,7 @@ def divide_into_cells(
     combined aggregate) and each point moves to the nearest one. What is still too
     large after ``rounds`` is divided by hash, which needs no geometry.
     """
-    _, assigned = fit_kmeans(points, coarse, seed, max_iter=5)
+    _, assigned = fit_kmeans(points, coarse, seed, max_iter=5, init="random")
     cells = materialize(
         assigned.withColumn("cell", F.col("cluster").cast("string")).drop("cluster"), "cells"
     )
@@ -191,8 +193,8 @@ def weighted_lloyd(x: np.ndarray, weight: np.ndarray, k: int, iterations: int =
         distance = square[:, None] - 2.0 * (x @ centers.T) + (centers**2).sum(axis=1)
         owner = distance.argmin(axis=1)
         mass = np.bincount(owner, weights=weight, minlength=k)
-        sums = np.zeros_like(centers)
-        np.add.at(sums, owner, x * weight[:, None])
         filled = mass > 0
-        centers[filled] = sums[filled] / mass[filled, None]
+        for axis in range(x.shape[1]):
+            sums = np.bincount(owner, weights=x[:, axis] * weight, minlength=k)
+            centers[filled, axis] = sums[filled] / mass[filled]
     return centers, owner

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from coreloom.functions.scalars import hash_order
 from coreloom.operators.bounded import small_rows, typed_literal
-from coreloom.operators.ranks import hash_cuts, position_cut
+from coreloom.operators.ranks import hash_cuts, hash_digits, position_cut
 
 MAX_CLASSES = 10_000
 
@@ -58,7 +58,8 @@ def with_segment(
     found = {}
     if wanted:
         ranks = spark.createDataFrame(sorted(set(wanted)), f"{label} {label_type}, rank bigint")
-        cuts = hash_cuts(df, [label], key, F.broadcast(ranks), seed)
+        digits = hash_digits(max(r for _, r in wanted))
+        cuts = hash_cuts(df, [label], key, F.broadcast(ranks), seed, digits)
         found = {(r[label], r["rank"]): r["cut"] for r in small_rows(cuts, len(wanted), "cuts")}
     table = [(c, [found[(c, int(r))] if r > 0 else "" for r in ranks]) for c, ranks in ends.items()]
     cuts = spark.createDataFrame(table, f"{label} {label_type}, _cuts array<string>")
@@ -160,6 +161,6 @@ def time_split(
     if missing == ties:
         first = first | (F.col(time) == at)
     else:
-        cut = hash_cuts(df.where(F.col(time) == at), [], key, [missing], seed).first()["cut"]
+        cut = hash_cuts(df.where(F.col(time) == at), [], key, [missing], seed, hash_digits(ties)).first()["cut"]
         first = first | ((F.col(time) == at) & (hash_order(F.col(key), seed) <= F.lit(cut)))
     return df.where(first), df.where(~first)

@@ -99,3 +99,20 @@ def test_time_split_on_timestamps(spark):
     train, test = split.time_split(df, 0.8)
     assert sorted(r["row_id"] for r in train.collect()) == list(range(80))
     assert test.count() == 20
+
+
+def test_large_groups_get_finer_buckets(skewed, monkeypatch):
+    monkeypatch.setattr(ranks, "BUCKET_ROWS", 10)
+    assert ranks._bits_for(3000, 2) == 9 and ranks._bits_for(10**9, 2) == ranks.MAX_BUCKET_BITS
+    bucketed = ranks.with_bucket(skewed, ["g"], "v", bits=2)
+    assert bucketed.where("g = 'hot'").select("_bucket").distinct().count() > 64
+    got = {r["g"]: r for r in ranks.exact_quantiles(skewed, "v", [0.3], ["g"], 2).collect()}
+    for g, values in groups(skewed).items():
+        assert np.allclose(got[g]["quantiles"], np.percentile(values, [30]))
+    whole = ranks.running_totals(skewed, [], "v", {"n": F.lit(1)}, 2)
+    assert whole.agg(F.max("cum_n")).first()[0] == 3000
+
+
+def test_hash_digits_grow_with_the_rows():
+    assert ranks.hash_digits(10) == 3
+    assert ranks.hash_digits(10**11) == 4

@@ -30,8 +30,8 @@ def hash_order(key: Column, seed: int = 42) -> Column:
 
 
 def hash_bucket(order: Column, digits: int = 3) -> Column:
-    """Leading hex digits of a shuffling key as a bucket number (16**digits buckets)."""
-    return F.conv(F.substring(order, 1, digits), 16, 10).cast("int")
+    """Leading hex digits of a shuffling key: 16**digits buckets that sort like the key."""
+    return F.substring(order, 1, digits)
 
 
 def safe_ratio(num: Column, den: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coreloom.functions.scalars import hash_bucket, hash_order
-from coreloom.operators.bounded import pin_small, small_rows
+from coreloom.operators.bounded import pin_small, small_rows, typed_literal
 
 # Buckets start at 2**BUCKET_BITS per group and grow until one holds about BUCKET_ROWS rows.
 BUCKET_BITS = 8
@@ -238,15 +238,23 @@ def position_cut(df: DataFrame, order: str, position: int, bits: int = BUCKET_BI
     ``missing`` of the ``ties`` rows equal to it make up exactly ``position`` rows.
     Only the bucket that holds the position is sorted.
     """
-    rows = with_bucket(df.where(F.col(order).isNotNull()).select(order), [], order, bits)
-    counts = small_rows(rows.groupBy("_bucket").count(), 2**MAX_BUCKET_BITS, "buckets")
+    known = df.where(F.col(order).isNotNull()).select(order)
+    data_type = df.schema[order].dataType.simpleString()
+    summary = with_bucket(known, [], order, bits).groupBy("_bucket").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min(order).cast("string").alias("low"),
+        F.max(order).cast("string").alias("high"),
+    )
     below = 0
-    for bucket, n in sorted((r["_bucket"], r["count"]) for r in counts):
-        if below + n >= position:
+    for r in sorted(small_rows(summary, 2**MAX_BUCKET_BITS, "buckets"), key=lambda r: r["_bucket"]):
+        if below + r["n"] >= position:
             break
-        below += n
+        below += r["n"]
+    # The bucket's own bounds select its rows, so the filter reaches the scan.
+    low, high = typed_literal(r["low"], data_type), typed_literal(r["high"], data_type)
+    distinct = known.where(F.col(order).between(low, high)).groupBy(order).agg(F.count(F.lit(1)).alias("n"))
+    distinct = distinct.withColumn("_bucket", F.lit(r["_bucket"]))
     inside = Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    distinct = rows.where(F.col("_bucket") == bucket).groupBy("_bucket", order).agg(F.count(F.lit(1)).alias("n"))
     row = (
         distinct.withColumn("cum", below + F.sum("n").over(inside))
         .where(F.col("cum") >= position)

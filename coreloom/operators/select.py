@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,6 @@ from coreloom.session import materialize
 MAX_MODEL_CLUSTERS = 1_000
 COARSE_CLUSTERS = 256
 CELL_ROWS = 20_000
-CELL_FANOUT = 16
 
 
 def with_entropy(df: DataFrame, probs: str = "probability") -> DataFrame:
@@ -108,7 +108,7 @@ def divide_into_cells(
     """Attach ``cell`` so that no cell holds more than about ``cell_rows`` points.
 
     A coarse K-Means makes the first cells. Every oversized cell is then divided at
-    once: CELL_FANOUT of its points become pivots (lowest hash per residue, a map-side
+    once: sixteen of its points become pivots (lowest hash per leading digit, a map-side
     combined aggregate) and each point moves to the nearest one. What is still too
     large after ``rounds`` is divided by hash, which needs no geometry.
     """
@@ -119,7 +119,7 @@ def divide_into_cells(
     for level in range(rounds + 1):
         sizes = cells.groupBy("cell").count()
         oversized = sizes.where(F.col("count") > cell_rows)
-        if oversized.limit(1).count() == 0:
+        if oversized.isEmpty():
             return cells
         flagged = cells.join(pin_small(oversized), "cell", "left")
         if level == rounds:
@@ -129,7 +129,7 @@ def divide_into_cells(
         large = flagged.where("count is not null")
         hashed = hash_order(F.col("point_id"), seed + level + 1)
         pivots = (
-            large.groupBy("cell", (hash_bucket(hashed) % CELL_FANOUT).alias("sub"))
+            large.groupBy("cell", hash_bucket(hashed, 1).alias("sub"))
             .agg(F.min_by("features", hashed).alias("pivot"))
             .groupBy("cell")
             .agg(F.collect_list(F.struct("sub", "pivot")).alias("pivots"))
@@ -160,20 +160,32 @@ def clustered_cells(
     Equal feature arrays are first collapsed to one weighted point (its smallest key
     stands for all copies), so a large group of copies is one row from there on.
     Each cell receives clusters in proportion to its rows and is clustered in one
-    bounded task.
+    bounded task. Where a single cluster would already fill such a task, the cells
+    themselves are made cluster-sized and the row nearest each cell's mean is kept.
     """
     points = materialize(
         df.groupBy("features").agg(F.min(key).alias("point_id"), F.count(F.lit(1)).cast("double").alias("weight")),
         "points",
     )
     per_cluster = points.agg(F.sum("weight")).first()[0] / k
+    coarse = min(coarse, max(2, int(k) // 4))
+    if per_cluster > cell_rows / 8:
+        cells = divide_into_cells(points, seed, coarse, math.ceil(2 * per_cluster))
+        cells = cells.withColumnRenamed("cell", "cluster")
+        means = to_long(cells, "cluster", "weight").groupBy("cluster", "feature").agg(
+            (F.sum(F.col("x") * F.col("weight")) / F.sum("weight")).alias("m")
+        )
+        ordered = F.array_sort(F.collect_list(F.struct("feature", "m")))
+        centers = means.groupBy("cluster").agg(F.transform(ordered, lambda c: c["m"]).alias("center"))
+        return nearest_to_center(cells, centers, "point_id").select(F.col("point_id").alias(key))
     cells = divide_into_cells(points, seed, coarse, cell_rows)
     key_type = points.schema["point_id"].dataType.simpleString()
 
     def representatives(cell: pd.DataFrame) -> pd.DataFrame:
         x = np.asarray(cell["features"].to_list(), dtype="float64")
         weight = cell["weight"].to_numpy()
-        wanted = min(len(x), max(1, round(weight.sum() / per_cluster)))
+        # Copies beyond one cluster's worth ask for no further cluster.
+        wanted = min(len(x), max(1, round(np.minimum(weight, per_cluster).sum() / per_cluster)))
         centers, owner = weighted_lloyd(x, weight, wanted)
         gap = ((x - centers[owner]) ** 2).sum(axis=1)
         best = pd.DataFrame({"owner": owner, "gap": gap, "key": cell["point_id"].to_numpy()})

@@ -63,11 +63,13 @@ def with_segment(
         found = {(r[label], r["rank"]): r["cut"] for r in small_rows(cuts, len(wanted), "cuts")}
     table = [(c, [found[(c, int(r))] if r > 0 else "" for r in ranks]) for c, ranks in ends.items()]
     cuts = spark.createDataFrame(table, f"{label} {label_type}, _cuts array<string>")
-    hashed = hash_order(F.col(key), seed)
+    passed = F.lit(0)
+    for i in range(max(len(ranks) for ranks in ends.values())):
+        passed = passed + F.when(F.get("_cuts", F.lit(i)) < F.col("_h"), 1).otherwise(0)
     return (
-        df.join(F.broadcast(cuts), label)
-        .withColumn("_h", hashed)
-        .withColumn(name, F.size(F.filter("_cuts", lambda c: c < F.col("_h"))))
+        df.withColumn("_h", hash_order(F.col(key), seed))
+        .join(F.broadcast(cuts), label)
+        .withColumn(name, passed)
         .drop("_cuts", "_h")
     )
 

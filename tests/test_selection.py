@@ -57,6 +57,13 @@ def test_cells_cluster_any_number_of_groups(spark):
     assert gap.mean() < 0.25
 
 
+def test_clusters_larger_than_a_cell(spark):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, rng.normal(size=2).tolist()) for i in range(3000)], "row_id bigint, features array<double>")
+    chosen = [r["row_id"] for r in select.clustered_cells(df, 20, coarse=4, cell_rows=100).collect()]
+    assert len(chosen) == len(set(chosen)) and 10 <= len(chosen) <= 90
+
+
 def test_cells_stay_bounded(spark):
     rng = np.random.default_rng(8)
     rows = [(i, rng.exponential(size=2).tolist(), 1.0) for i in range(2000)]

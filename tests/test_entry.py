@@ -21,8 +21,8 @@ def test_entry_reports_every_class(spark):
 
 def test_names():
     names = entry.queries()
-    assert len(names) > 100
-    assert not [n for n in names if n.startswith("op") and n[2:3].isdigit()]
+    assert len(QUERIES) > 100 and set(QUERIES) <= set(names)
+    assert set(entry.oracle_sql()) <= set(names)
 
 
 def test_kmeans_assigns_every_row(spark, vectors_in):

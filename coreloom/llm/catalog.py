@@ -1,6 +1,17 @@
 """Imports every operator's module, so that its queries are registered."""
 
-from coreloom.llm import neardup, pieces  # noqa: F401
+from coreloom.llm import (  # noqa: F401
+    chat,
+    fingerprints,
+    lines,
+    neardup,
+    packing,
+    pieces,
+    quality,
+    sharding,
+    toxicity,
+    warc,
+)
 from coreloom.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -24,6 +24,7 @@ from coreloom.llm import simhash, text
 from coreloom.llm.blocks import covering_sets, mask_of, signed
 from coreloom.llm.graph import components
 from coreloom.llm.registry import query, table
+from coreloom.operators.bounded import pin_small
 from coreloom.session import materialize
 
 POSITIONS = 8
@@ -94,7 +95,9 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def classes(fingerprints: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Adds ``component_id``: the smallest ``key`` reachable over links, itself included.
+    """Adds ``component_id``, the smallest ``key`` reachable over links, itself included, and ``class``.
+
+    ``class`` is the smallest fingerprint of the class; it tells classes apart that have no key.
 
     Rows with equal fingerprints are one class from the start (combined before any
     shuffle). Null keys join in, but are never the smallest unless a class has no
@@ -109,9 +112,11 @@ def classes(fingerprints: DataFrame, key: str = "doc_id") -> DataFrame:
         .groupBy("component")
         .agg(F.min("_smallest").alias("_lowest"))
     )
-    joined = reached.join(lowest, "component").select(F.col("vertex").alias("fingerprint"), "_lowest")
+    joined = reached.join(lowest, "component").select(F.col("vertex").alias("fingerprint"), "component", "_lowest")
     chosen = distinct.join(joined, "fingerprint", "left").select(
-        "fingerprint", F.coalesce("_lowest", "_smallest").alias("component_id")
+        "fingerprint",
+        F.coalesce("component", "fingerprint").alias("class"),
+        F.coalesce("_lowest", "_smallest").alias("component_id"),
     )
     return fingerprints.join(chosen, "fingerprint")
 
@@ -122,6 +127,37 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return classes(prints).select("doc_id", simhash.hex64(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """The rows of ``docs`` that stay when each class of near-duplicates keeps one row.
+
+    The row with the smallest doc_id stays (null last, ties by a hash of the text); of fully repeated
+    rows one stays. Columns and texts are untouched. The ids to drop are broadcast if small
+    by a checked size, else joined.
+    """
+    mark = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    prints = fingerprint(docs.withColumn("_mark", mark), shingle, ("doc_id", "_mark"))
+    classed = materialize(classes(materialize(prints, "prints")), "classes")
+    key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_mark")
+    rows = classed.groupBy("class", "doc_id", "_mark").agg(F.count(F.lit(1)).alias("_rows"))
+    best = rows.groupBy("class").agg(F.min(key).alias("_best"))
+    judged = rows.join(best, "class").select("doc_id", "_mark", "_rows", key.eqNullSafe(F.col("_best")).alias("_first"))
+    judged = materialize(judged.where(~F.col("_first") | (F.col("_rows") > 1)), "judged")
+
+    def meets(left, right):
+        return (left["_mark"] == right["_other"]) & left["doc_id"].eqNullSafe(right["_id"])
+
+    out = judged.select(F.col("doc_id").alias("_id"), F.col("_mark").alias("_other"), "_first")
+    names = docs.columns
+    marked = docs.withColumn("_mark", mark)
+    dropped = pin_small(out.select("_id", "_other"))
+    kept = marked.join(dropped, meets(marked, dropped), "left_anti").select(*names)
+    repeated = out.where("_first").select("_id", "_other")
+    if repeated.isEmpty():
+        return kept
+    single = marked.join(repeated, meets(marked, repeated), "left_semi").dropDuplicates(["doc_id", "_mark"])
+    return kept.unionByName(single.select(*names))
+
+
 @query("op8_simhash_near_dedup")
 def op8(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))

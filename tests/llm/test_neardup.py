@@ -90,3 +90,26 @@ def test_components(spark):
     assert components(edges.limit(0)).count() == 0
     chain = spark.range(500).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     assert components(chain).select("component").distinct().count() == 1
+
+
+def test_one_of_each(spark, odd_docs, sf):
+    kept = neardup.one_of_each(odd_docs)
+    assert kept.columns == odd_docs.columns
+    got = sorted(map(str, (r["doc_id"] for r in kept.collect())))
+    # Documents without a word are one class: ids 3, 4, 6 and the row without id; 1 and both 2s are copies.
+    assert got == sorted(map(str, [1, 3, None, 5, 7, 8, 9]))
+    twice = odd_docs.unionAll(odd_docs)
+    assert sorted(map(str, (r["doc_id"] for r in neardup.one_of_each(twice).collect()))) == got
+    assert neardup.one_of_each(odd_docs.limit(0)).count() == 0
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    classes = {c for c in brute_components([(r["doc_id"], brute_print5(r["text"])) for r in docs.collect()]).values()}
+    assert {r["doc_id"] for r in neardup.one_of_each(docs).collect()} == classes
+
+
+def brute_print5(text):
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", low)
+    if not words:
+        return 0
+    hashes = [xxhash.xxh64(" ".join(words[i : i + 5]).encode(), seed=42).intdigest() for i in range(max(1, len(words) - 4))]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))

@@ -31,7 +31,8 @@ def test_base_counts(spark, sf, odd_docs):
 def binomial_most(n, alpha, level):
     total, most = 0.0, -1
     for k in range(n + 1):
-        total += math.comb(n, k) * alpha**k * (1 - alpha) ** (n - k)
+        logs = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+        total += math.exp(logs + k * math.log(alpha) + (n - k) * math.log(1 - alpha))
         if total > level:
             break
         most = k

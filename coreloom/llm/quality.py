@@ -76,8 +76,7 @@ def measure(docs: DataFrame) -> DataFrame:
     docs = docs.withColumn("_windows", _repeat_positions(F.col("_words")))
     docs = docs.withColumn("_positions", _repeated(F.col("_windows")))
     length = F.aggregate("_words", F.lit(0).cast("bigint"), lambda a, w: a + F.char_length(w))
-    docs = docs.select(
-        *[c for c in docs.columns if c not in ("_words", "_lines", "_windows", "_positions")],
+    counts = F.struct(
         F.size("_words").cast("bigint").alias("n_words"),
         length.alias("word_chars"),
         F.regexp_count(whole, F.lit("[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
@@ -87,6 +86,10 @@ def measure(docs: DataFrame) -> DataFrame:
         F.regexp_count(whole, F.lit("\\p{Lu}")).alias("_upper"),
         F.regexp_count(whole, F.lit("!")).alias("_shouts"),
     )
+    # A generated column, since a filter on a plain one would be pushed down with its expression and
+    # evaluate the nested array functions once per element.
+    kept = [c for c in docs.columns if c not in ("_words", "_lines", "_windows", "_positions")]
+    docs = docs.select(*kept, F.explode_outer(F.array(counts)).alias("_counts")).select(*kept, "_counts.*")
     n = F.greatest(F.col("n_words"), F.lit(1))
     chars = F.greatest(F.col("word_chars"), F.lit(1))
     return docs.select(

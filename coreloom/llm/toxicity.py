@@ -25,11 +25,11 @@ from coreloom.session import materialize
 
 #: Labelled rows that take part in fitting: those with the smallest hashes of their ids.
 FIT_ROWS = 20_000
-#: Stems kept, and the evidence (log-likelihood ratio) and lift a stem needs.
+#: Word beginnings kept, their lengths, and the evidence (log-likelihood ratio) and lift one needs.
 STEMS = 2_000
-STEM_LENGTH = 5
-EVIDENCE = 20.0
-LIFT = 4.0
+STEM_LENGTHS = (4, 5, 6, 7, 8)
+EVIDENCE = 16.0
+LIFT = 3.0
 NEAR_WORDS = 4
 THRESHOLD = 0.7
 TREES, DEPTH, STEP = 30, 3, 0.2
@@ -56,13 +56,15 @@ FEATURES = (
 
 def plain(word: str) -> str:
     """Lower case without signs, with look-alike digits undone and stretched letters shortened."""
-    core = word.lower().strip(".,;:!?\"'()[]{}*-_|#%&<>")
+    core = word.lower().strip(".,;:!?\"'()[]{}*-_|#%&<>$@")
     undone = core.translate(UNMASK) if re.search("[^\\W\\d_]", core) else core
     return re.sub(r"(.)\1{2,}", r"\1", re.sub(r"[\W_]", "", undone))
 
 
-def stem(word: str) -> str:
-    return plain(word)[:STEM_LENGTH]
+def stems(word: str) -> tuple[str, ...]:
+    """The word's beginnings of STEM_LENGTHS letters, and the whole word if it is short."""
+    flat = plain(word)
+    return tuple({flat[:k] for k in STEM_LENGTHS}) if len(flat) >= 3 else ()
 
 
 def words(text: str | None) -> list[str]:
@@ -81,7 +83,7 @@ def _marker(lexicon: frozenset, learned: frozenset, second: frozenset):
         inner = bool(letters) and bool(re.search(r"[\d@$!*_]", core)) or bool(re.search(r"([^\W\d_])\1\1", word.lower()))
         return (
             (flat in lexicon)
-            | (flat[:STEM_LENGTH] in learned and len(flat) >= 3) << 1
+            | (not learned.isdisjoint(stems(word))) << 1
             | (core.lower() in second) << 2
             | (letters > 1 and upper == letters) << 3
             | inner << 4
@@ -148,11 +150,11 @@ def _stems(rows: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     def compute(batches):
-        cache = _Cache(stem, CACHED_WORDS, LONGEST_CACHED)
+        cache = _Cache(stems, CACHED_WORDS // 4, LONGEST_CACHED)
         for batch in batches:
             labels, found = [], []
             for label, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = {s for s in map(cache.__getitem__, set(words(value.as_py()))) if len(s) >= 3}
+                own = set().union(*map(cache.__getitem__, set(words(value.as_py()))))
                 labels += [label] * len(own)
                 found += own
             yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(found, pa.string())], ["_label", "stem"])
@@ -166,7 +168,7 @@ def learn_stems(rows: DataFrame) -> list[str]:
     toxic, other = n.get(1, 0), n.get(0, 0)
     if not toxic or not other:
         return []
-    counts = _stems(rows).groupBy("stem").agg(F.count_if("_label = 1").alias("a"), F.count_if("_label = 0").alias("b"))
+    counts = _stems(rows).groupBy("stem").agg(F.count_if(F.col("_label") == 1).alias("a"), F.count_if(F.col("_label") == 0).alias("b"))
     a, b = F.col("a"), F.col("b")
     share = (a + b) / F.lit(float(toxic + other))
 
@@ -233,20 +235,20 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         return 0 < ones < n
 
     ones, n = (sum(v[i] for v in seen.values()) for i in (0, 1))
-    if not (both(range(3, 8)) and both(range(8, 10))):
+    if not (both(range(5, 8)) and both(range(8, 10))):
         return Model([], None, None, ones / n if n else 0.0)
-    learned = learn_stems(rows.where("_part < 3"))
-    fitted = materialize(features(rows.where("_part >= 3"), learned), "features").withColumn(
+    learned = learn_stems(rows.where("_part < 5"))
+    fitted = materialize(features(rows.where("_part >= 5"), learned), "features").withColumn(
         "_features", array_to_vector("_features")
     )
     trees = GBTClassifier(
         featuresCol="_features", labelCol="_label", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=7,
-        rawPredictionCol="_raw", probabilityCol="_share", predictionCol="_class", cacheNodeIds=False,
+        predictionCol="_class", cacheNodeIds=False,
     ).fit(fitted.where("_part < 8").withColumn("_label", F.col("_label").cast("double")))
     held = trees.transform(fitted.where("_part >= 8").withColumn("_label", F.col("_label").cast("double")))
     calibration = IsotonicRegression(
-        featuresCol="_share", featureIndex=1, labelCol="_label", predictionCol="_calibrated"
-    ).fit(held.select("_share", "_label"))
+        featuresCol="probability", featureIndex=1, labelCol="_label", predictionCol="_calibrated"
+    ).fit(held.select("probability", "_label"))
     return Model(learned, trees, calibration, ones / n)
 
 

@@ -17,7 +17,7 @@ each member to the smallest loses no connection and stays proportional to the me
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coreloom.llm import simhash, text
@@ -32,6 +32,10 @@ RADIUS = 2
 KEY_POSITIONS = 4
 #: Members of one key that are compared pair by pair; keys with more take the one-bit postings.
 PAIRWISE = 24
+#: Stage on shingles: words of a shingle, least Jaccard similarity, and number of word fingerprints that find candidates.
+SHINGLE = 5
+SIMILARITY = 0.8
+SEEDS = 4
 
 
 def fingerprint(docs: DataFrame, shingle: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -58,46 +62,45 @@ def shared_bytes(a, b):
     )
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """``(u, v)``: enough of the pairs within RADIUS bits to connect all of them.
+def links(distinct: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``by + (u, v)``: enough of the pairs within RADIUS bits to connect all of them.
 
-    ``distinct`` has one row per different ``fingerprint``.
+    ``distinct`` has one row per different ``fingerprint`` within ``by``; only those of equal ``by`` are linked.
     """
     sets = covering_sets(POSITIONS, KEY_POSITIONS, RADIUS)
     masks = F.array(*[F.lit(mask_of(s, POSITIONS)).cast("bigint") for s in sets])
-    posted = distinct.select("fingerprint", F.posexplode(masks).alias("list", "mask")).select(
-        "list", F.col("fingerprint").bitwiseAND(F.col("mask")).alias("key"), "fingerprint"
+    posted = distinct.select(*by, "fingerprint", F.posexplode(masks).alias("list", "mask")).select(
+        *by, "list", F.col("fingerprint").bitwiseAND(F.col("mask")).alias("key"), "fingerprint"
     )
-    met = posted.groupBy("list", "key").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
-    posted = materialize(posted.join(met, ["list", "key"]), "postings")
+    place = [*by, "list", "key"]
+    met = posted.groupBy(*place).agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
+    posted = materialize(posted.join(met, place), "postings")
     few = posted.where(F.col("members") <= PAIRWISE)
-    left = few.select("list", "key", F.col("fingerprint").alias("u"))
-    right = few.select("list", "key", F.col("fingerprint").alias("v"))
+    left = few.select(*place, F.col("fingerprint").alias("u"))
+    right = few.select(*place, F.col("fingerprint").alias("v"))
     pairs = (
-        left.join(right, ["list", "key"])
+        left.join(right, place)
         .where(F.col("u") < F.col("v"))
         .withColumn("tally", shared_bytes(F.col("u"), F.col("v")))
         .where(F.col("tally") >= POSITIONS - RADIUS)
         .where(simhash.distance(F.col("u"), F.col("v")) <= RADIUS)
-        .select("u", "v")
+        .select(*by, "u", "v")
         .distinct()
     )
-    many = posted.where(F.col("members") > PAIRWISE).select("fingerprint").distinct()
+    many = posted.where(F.col("members") > PAIRWISE).select(*by, "fingerprint").distinct()
     flips = F.array(*[F.lit(signed(1 << b)).cast("bigint") for b in range(64)], F.lit(0).cast("bigint"))
-    around = many.select("fingerprint", F.explode(flips).alias("flip")).select(
-        F.col("fingerprint").bitwiseXOR(F.col("flip")).alias("posting"), "fingerprint"
+    around = many.select(*by, "fingerprint", F.explode(flips).alias("flip")).select(
+        *by, F.col("fingerprint").bitwiseXOR(F.col("flip")).alias("posting"), "fingerprint"
     )
-    lowest = around.groupBy("posting").agg(
+    lowest = around.groupBy(*by, "posting").agg(
         F.min("fingerprint").alias("u"), F.count(F.lit(1)).alias("members")
     ).where(F.col("members") > 1).drop("members")
-    stars = around.join(lowest, "posting").select("u", F.col("fingerprint").alias("v")).where("u <> v").distinct()
+    stars = around.join(lowest, [*by, "posting"]).select(*by, "u", F.col("fingerprint").alias("v")).where("u <> v").distinct()
     return pairs.unionByName(stars)
 
 
 def classes(fingerprints: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Adds ``component_id``, the smallest ``key`` reachable over links, itself included, and ``class``.
-
-    ``class`` is the smallest fingerprint of the class; it tells classes apart that have no key.
+    """Adds ``component_id``: the smallest ``key`` reachable over links, itself included.
 
     Rows with equal fingerprints are one class from the start (combined before any
     shuffle). Null keys join in, but are never the smallest unless a class has no
@@ -112,11 +115,9 @@ def classes(fingerprints: DataFrame, key: str = "doc_id") -> DataFrame:
         .groupBy("component")
         .agg(F.min("_smallest").alias("_lowest"))
     )
-    joined = reached.join(lowest, "component").select(F.col("vertex").alias("fingerprint"), "component", "_lowest")
+    joined = reached.join(lowest, "component").select(F.col("vertex").alias("fingerprint"), "_lowest")
     chosen = distinct.join(joined, "fingerprint", "left").select(
-        "fingerprint",
-        F.coalesce("component", "fingerprint").alias("class"),
-        F.coalesce("_lowest", "_smallest").alias("component_id"),
+        "fingerprint", F.coalesce("_lowest", "_smallest").alias("component_id")
     )
     return fingerprints.join(chosen, "fingerprint")
 
@@ -127,35 +128,109 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return classes(prints).select("doc_id", simhash.hex64(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """The rows of ``docs`` that stay when each class of near-duplicates keeps one row.
+def _mark() -> Column:
+    """Identifies a text; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def candidates(docs: DataFrame, seeds: int = SEEDS) -> DataFrame:
+    """``_mark, component``: different texts that one of several word fingerprints links to others.
 
-    The row with the smallest doc_id stays (null last, ties by a hash of the text); of fully repeated
-    rows one stays. Columns and texts are untouched. The ids to drop are broadcast if small
-    by a checked size, else joined.
+    A text near another in five-word shingles may differ from it in many bits of a shingle
+    fingerprint, but in few of a fingerprint of its words, weighted by their length beyond three letters. ``seeds``
+    such fingerprints with hashes of their own go through the index; their links are joined.
+    """
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("_row"), _mark().alias("_mark"),
+        text.words(text.lower_ascii(F.col("text"))).alias("_words"),
+    )
+    terms = rows.select("_row", "_mark", F.explode_outer("_words").alias("_word"))
+    terms = terms.select("_row", "_mark", "_word", F.explode(F.lit(list(range(seeds)))).alias("seed"))
+    weight = F.coalesce(F.greatest(F.char_length("_word") - 3, F.lit(0)), F.lit(0)).cast("bigint")
+    votes = terms.select(
+        "_row", "_mark", "seed", F.xxhash64("_word", "seed").alias("_hash"), weight.alias("_weight")
+    ).groupBy("_row", "_mark", "seed").agg(*simhash.vote_sums(F.col("_hash"), F.col("_weight")))
+    prints = materialize(
+        votes.select("_mark", "seed", simhash.majority().alias("fingerprint")).distinct(), "word-prints"
+    )
+    firsts = materialize(prints.groupBy("seed", "fingerprint").agg(F.min("_mark").alias("_first")), "word-classes")
+    linked = links(firsts.select("seed", "fingerprint"), ("seed",))
+    left = firsts.select("seed", F.col("fingerprint").alias("u"), F.col("_first").alias("a"))
+    right = firsts.select("seed", F.col("fingerprint").alias("v"), F.col("_first").alias("b"))
+    across = linked.join(left, ["seed", "u"]).join(right, ["seed", "v"]).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    equal = prints.join(firsts, ["seed", "fingerprint"]).select(F.col("_mark").alias("u"), F.col("_first").alias("v"))
+    return components(across.unionByName(equal)).withColumnRenamed("vertex", "_mark")
+
+
+def resembling(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """``_mark``: texts that a kept text resembles, i.e. whose sets of word shingles have at least that Jaccard similarity.
+
+    Within each candidate component the text with the smallest doc_id (null last) leads; texts that resemble it go, the
+    rest choose a leader anew, until a round removes nothing. Each text is compared with its leader alone, so work grows with
+    the members, however many a component has. Texts without a word resemble each other.
+    """
+    found = candidates(docs)
+    members = docs.select("doc_id", "text", _mark().alias("_mark")).join(found, "_mark")
+    members = members.withColumn("_words", text.words(text.lower_ascii(F.col("text"))))
+    members = members.withColumn("_shingles", text.shingles(F.col("_words"), shingle))
+    grams = F.array_distinct(F.transform("_shingles", lambda x: F.xxhash64(x)))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("_mark").alias("mark"))
+    left = materialize(
+        members.select("component", "_mark", order.alias("_order"), grams.alias("_grams"))
+        .groupBy("component", "_mark").agg(F.min("_order").alias("_order"), F.first("_grams").alias("_grams")),
+        "members",
+    )
+    gone = []
+    while True:
+        leaders = left.groupBy("component").agg(F.min_by("_grams", "_order").alias("_of"), F.min("_order").alias("_leader"))
+        both = F.size(F.array_intersect("_grams", "_of"))
+        either = F.size("_grams") + F.size("_of") - both
+        judged = materialize(
+            left.join(leaders, "component")
+            .where(F.col("_order") != F.col("_leader"))
+            .select("component", "_mark", "_order", "_grams", ((either == 0) | (both >= similarity * either)).alias("_gone")),
+            "judged",
+        )
+        gone.append(judged.where("_gone").select("_mark"))
+        left = judged.where(~F.col("_gone")).drop("_gone")
+        if gone[-1].isEmpty() or left.isEmpty():
+            break
+    out = gone[0]
+    for more in gone[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` that stay when each group of copies and near-duplicates keeps one row.
+
+    Of equal texts the row with the smallest doc_id stays (null last); of fully repeated rows one stays. Columns
+    and texts are untouched. The rows to drop are broadcast if small by a checked size, else joined.
     """
-    mark = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    prints = fingerprint(docs.withColumn("_mark", mark), shingle, ("doc_id", "_mark"))
-    classed = materialize(classes(materialize(prints, "prints")), "classes")
-    key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_mark")
-    rows = classed.groupBy("class", "doc_id", "_mark").agg(F.count(F.lit(1)).alias("_rows"))
-    best = rows.groupBy("class").agg(F.min(key).alias("_best"))
-    judged = rows.join(best, "class").select("doc_id", "_mark", "_rows", key.eqNullSafe(F.col("_best")).alias("_first"))
-    judged = materialize(judged.where(~F.col("_first") | (F.col("_rows") > 1)), "judged")
+    near = materialize(resembling(docs, shingle, similarity), "resembling")
+    rows = docs.select("doc_id", _mark().alias("_mark")).groupBy("doc_id", "_mark").agg(F.count(F.lit(1)).alias("_rows"))
+    rows = materialize(rows, "rows")
+    key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id")
+    best = rows.groupBy("_mark").agg(F.min(key).alias("_best"), F.sum("_rows").alias("_copies")).where("_copies > 1")
+    copies = rows.join(best, "_mark").select("doc_id", "_mark", (key == F.col("_best")).alias("_first"))
+    near = near.withColumn("_near", F.lit(True))
+    judged = materialize(copies.join(near, "_mark", "left").withColumn("_first", F.col("_first") & F.col("_near").isNull()).drop("_near"), "judged")
 
     def meets(left, right):
         return (left["_mark"] == right["_other"]) & left["doc_id"].eqNullSafe(right["_id"])
 
-    out = judged.select(F.col("doc_id").alias("_id"), F.col("_mark").alias("_other"), "_first")
     names = docs.columns
-    marked = docs.withColumn("_mark", mark)
-    dropped = pin_small(out.select("_id", "_other"))
-    kept = marked.join(dropped, meets(marked, dropped), "left_anti").select(*names)
-    repeated = out.where("_first").select("_id", "_other")
+    marked = docs.withColumn("_mark", _mark())
+    dropped = pin_small(judged.where(~F.col("_first")).select(F.col("doc_id").alias("_id"), F.col("_mark").alias("_other")))
+    kept = marked.join(pin_small(near.select("_mark")), "_mark", "left_anti")
+    kept = kept.join(dropped, meets(kept, dropped), "left_anti")
+    counts = rows.where("_rows > 1").select("doc_id", "_mark")
+    repeated = judged.where("_first").drop("_first").join(counts, (judged["_mark"] == counts["_mark"]) & judged["doc_id"].eqNullSafe(counts["doc_id"]), "left_semi")
     if repeated.isEmpty():
-        return kept
-    single = marked.join(repeated, meets(marked, repeated), "left_semi").dropDuplicates(["doc_id", "_mark"])
-    return kept.unionByName(single.select(*names))
+        return kept.select(*names)
+    again = pin_small(repeated.select(F.col("doc_id").alias("_id"), F.col("_mark").alias("_other")))
+    single = kept.join(again, meets(kept, again), "left_semi").dropDuplicates(["doc_id", "_mark"])
+    return kept.join(again, meets(kept, again), "left_anti").unionByName(single).select(*names)
 
 
 @query("op8_simhash_near_dedup")

@@ -102,14 +102,32 @@ def test_one_of_each(spark, odd_docs, sf):
     assert sorted(map(str, (r["doc_id"] for r in neardup.one_of_each(twice).collect()))) == got
     assert neardup.one_of_each(odd_docs.limit(0)).count() == 0
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    classes = {c for c in brute_components([(r["doc_id"], brute_print5(r["text"])) for r in docs.collect()]).values()}
-    assert {r["doc_id"] for r in neardup.one_of_each(docs).collect()} == classes
-
-
-def brute_print5(text):
-    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
-    words = re.findall(r"[^\x20\x09-\x0D]+", low)
-    if not words:
-        return 0
-    hashes = [xxhash.xxh64(" ".join(words[i : i + 5]).encode(), seed=42).intdigest() for i in range(max(1, len(words) - 4))]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    sets = {d: grams(t) for d, t in texts.items()}
+    kept = {r["doc_id"] for r in neardup.one_of_each(docs).collect()}
+    assert len({texts[d] for d in kept}) == len(kept)
+    for d in set(texts) - kept:
+        assert any(len(sets[d] & sets[k]) >= 0.8 * len(sets[d] | sets[k]) for k in kept if k < d)
+
+
+def grams(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_edited_copies_go(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(4000)]
+    rows, planted = [], []
+    for i in range(60):
+        base = rng.choices(words, k=300)
+        rows.append((i, " ".join(base)))
+        for k in range(3):
+            copy = list(base)
+            for at in rng.sample(range(300), 2):
+                copy[at] = rng.choice(words)
+            rows.append((1000 + 10 * i + k, " ".join(copy)))
+            planted.append(1000 + 10 * i + k)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = {r["doc_id"] for r in neardup.one_of_each(df).collect()}
+    assert set(range(60)) <= kept and len(kept & set(planted)) < 0.1 * len(planted)

@@ -6,19 +6,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from coreloom.session import materialize
+
 MAX_PINNED_ROWS = 50_000
 MAX_PINNED_BYTES = 64 * 1024 * 1024
 
 
-def pin_small(df: DataFrame, max_rows: int = MAX_PINNED_ROWS) -> DataFrame:
-    """Evaluate a summary table once and mark it for broadcast if it is small.
+def pin_small(df: DataFrame, max_rows: int = MAX_PINNED_ROWS, max_bytes: int = MAX_PINNED_BYTES) -> DataFrame:
+    """Evaluate a summary table once, and mark it for broadcast if it is small.
 
-    At most ``max_rows + 1`` rows ever reach the driver. A table past either bound
-    comes back untouched, so the join that follows is an ordinary shuffled one.
+    The table is written to the shared folder and its rows and bytes are counted there; only
+    a table within both bounds comes to the driver. Past either the written table comes
+    back, so the join that follows is an ordinary shuffled one.
     """
-    table: pa.Table = df.limit(max_rows + 1).toArrow()
-    if table.num_rows > max_rows or table.nbytes > MAX_PINNED_BYTES:
-        return df
+    written = materialize(df, "pinned")
+    bytes_of = F.coalesce(F.octet_length(F.to_json(F.struct("*"))), F.lit(0)) if df.columns else F.lit(0)
+    rows, size = written.agg(F.count(F.lit(1)), F.coalesce(F.sum(bytes_of), F.lit(0))).first()
+    if rows > max_rows or size > max_bytes:
+        return written
+    table: pa.Table = written.toArrow()
     spark = df.sparkSession
     if table.num_rows == 0:
         return F.broadcast(spark.createDataFrame([], df.schema))

@@ -18,7 +18,8 @@ def assemble(df: DataFrame, columns: Sequence[str], null_policy: str = "error")
     """Replace the given columns by one ``features array<double>``.
 
     ``null_policy``: ``error`` fails on the first null cell, ``skip`` drops rows with
-    one, ``mean`` fills with the column mean of ``df``.
+    one, ``mean`` fills with the column mean of ``df``, ``keep`` leaves null cells for
+    :func:`fill_cells`.
     """
     cells = [F.col(f"`{c}`").cast("double") for c in columns]
     if null_policy == "mean":
@@ -30,12 +31,25 @@ def assemble(df: DataFrame, columns: Sequence[str], null_policy: str = "error")
     elif null_policy == "error":
         broken = F.exists(features, lambda x: x.isNull())
         features = F.when(broken, F.raise_error(F.lit("null feature cell")).cast("array<double>")).otherwise(features)
-    elif null_policy != "mean":
+    elif null_policy not in ("mean", "keep"):
         raise ValueError(f"unknown null policy {null_policy}")
     rest = [c for c in df.columns if c not in set(columns)]
     return df.select(*rest, features.alias("features"))
 
 
+def cell_means(df: DataFrame) -> DataFrame:
+    """One row, ``_means``: the mean of each feature over its known cells (0 if it has none)."""
+    known = moments(to_long(df)).select("feature", F.coalesce("mean", F.lit(0.0)).alias("mean"))
+    listed = known.agg(F.array_sort(F.collect_list(F.struct("feature", "mean"))).alias("_m"))
+    return listed.select(F.transform("_m", lambda c: c["mean"]).alias("_means"))
+
+
+def fill_cells(df: DataFrame, means: DataFrame) -> DataFrame:
+    """Put the means (one row, see :func:`cell_means`) into null feature cells."""
+    filled = F.transform("features", lambda x, i: F.coalesce(x, F.get("_means", i)))
+    return df.crossJoin(F.broadcast(means)).withColumn("features", filled).drop("_means")
+
+
 def to_long(df: DataFrame, *keep: str) -> DataFrame:
     """One row per feature cell: kept columns, ``feature`` (0-based int) and ``x``.
 

@@ -35,6 +35,7 @@ class Forest:
 # The forest settings of the eight workflows, by stage.
 FULL_ANOMALY_ENTROPY_PCA = Forest(trees=100, impurity="entropy")
 FULL_ANOMALY_ENTROPY_STRATIFIED = Forest(trees=100, min_leaf=6, impurity="entropy")
+FULL_ANOMALY_KMEANS_PCA = Forest(trees=100, depth=20, min_leaf=5, impurity="entropy")
 FULL_ANOMALY_KMEANS = Forest(trees=100, depth=20, min_leaf=5)
 FULL_APPLICATION = Forest(trees=250, depth=20, min_leaf=5, impurity="entropy")
 CORE_ANOMALY_ENTROPY_PCA = Forest(trees=150)

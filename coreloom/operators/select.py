@@ -4,22 +4,19 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coreloom.functions.scalars import entropy, euclidean, hash_bucket, hash_order
+from coreloom.functions.scalars import entropy, euclidean, hash_order
 from coreloom.operators.bounded import pin_small
-from coreloom.operators.features import moments, to_long
 from coreloom.operators.ranks import exact_quantiles
+from coreloom.operators.split import largest_remainder
 from coreloom.session import materialize
 
-MAX_MODEL_CLUSTERS = 1_000
-COARSE_CLUSTERS = 256
-CELL_ROWS = 20_000
+NESTED_ROUNDS = 5
 
 
 def with_entropy(df: DataFrame, probs: str = "probability") -> DataFrame:
@@ -83,130 +80,65 @@ def fit_kmeans(
 
 
 def kmeans_core_set(
-    df: DataFrame, k: int, seed: int = 42, key: str = "row_id", max_model_clusters: int = MAX_MODEL_CLUSTERS
+    df: DataFrame, k: int, seed: int = 42, key: str = "row_id", method: str = "lloyd"
 ) -> DataFrame:
-    """One representative row per non-empty cluster.
+    """``cluster, row_id, label, features``: the row nearest to its centre, per non-empty cluster.
 
-    A single cluster is the mean of all rows. Up to ``max_model_clusters`` the centres fit one broadcast model. Beyond that
-    (k grows with the rows when it is set as rows / 100) the rows are first divided
-    into cells of bounded size and each cell is clustered on its own.
+    ``method`` is the caller's choice at every size. ``lloyd`` fits one model of ``k``
+    centres, which every task holds: ``k`` times the width must fit its memory.
+    ``nested`` holds no table of ``k`` centres anywhere (see :func:`nested_clusters`).
+    A single cluster is the mean of all rows.
     """
     if k < 2:
-        means = moments(to_long(df)).agg(F.array_sort(F.collect_list(F.struct("feature", "mean"))).alias("_m"))
-        center = means.select(F.lit(0).alias("cluster"), F.transform("_m", lambda c: c["mean"]).alias("center"))
-        return nearest_to_center(df.withColumn("cluster", F.lit(0)), center, key).drop("distance")
-    if k <= max_model_clusters:
+        center = df.agg(Summarizer.mean(array_to_vector("features")).alias("_m")).select(
+            F.lit(0).alias("cluster"), vector_to_array("_m").alias("center")
+        )
+        picked = nearest_to_center(df.withColumn("cluster", F.lit(0)), center, key)
+    elif method == "lloyd":
         model, assigned = fit_kmeans(df, k, seed)
-        return nearest_to_center(assigned, center_table(model, df.sparkSession), key).drop("distance")
-    picked = clustered_cells(df, k, seed, key)
-    return gather(df, picked, key)
-
-
-def divide_into_cells(
-    points: DataFrame, seed: int = 42, coarse: int = COARSE_CLUSTERS, cell_rows: int = CELL_ROWS, rounds: int = 6
-) -> DataFrame:
-    """Attach ``cell`` so that no cell holds more than about ``cell_rows`` points.
-
-    A coarse K-Means makes the first cells. Every oversized cell is then divided at
-    once: sixteen of its points become pivots (lowest hash per leading digit, a map-side
-    combined aggregate) and each point moves to the nearest one. What is still too
-    large after ``rounds`` is divided by hash, which needs no geometry.
+        picked = nearest_to_center(assigned, center_table(model, df.sparkSession), key)
+    elif method == "nested":
+        assigned, centers = nested_clusters(df, k, seed, key)
+        picked = nearest_to_center(assigned, centers, key)
+    else:
+        raise ValueError(f"unknown method {method}")
+    rest = [c for c in picked.columns if c not in ("cluster", "distance")]
+    return picked.select(F.col("cluster").cast("bigint").alias("cluster"), *rest)
+
+
+def nested_clusters(
+    df: DataFrame, k: int, seed: int = 42, key: str = "row_id", rounds: int = NESTED_ROUNDS
+) -> tuple[DataFrame, DataFrame]:
+    """``(rows with cluster, centres)`` of about sqrt(k) clusters with about sqrt(k) clusters in each.
+
+    A first model of ceil(sqrt(k)) centres divides the rows; the k clusters are shared out over its
+    cells by largest remainder, one at least. Inside a cell, clusters start at the rows of
+    lowest hash and take ``rounds`` Lloyd steps, all cells at once: a row meets the centres of its own
+    cell, and means are combined before they shuffle, so a cell of any size is spread over all tasks.
     """
-    _, assigned = fit_kmeans(points, coarse, seed, max_iter=5, init="random")
-    cells = materialize(
-        assigned.withColumn("cell", F.col("cluster").cast("string")).drop("cluster"), "cells"
-    )
-    for level in range(rounds + 1):
-        sizes = cells.groupBy("cell").count()
-        oversized = sizes.where(F.col("count") > cell_rows)
-        if oversized.isEmpty():
-            return cells
-        flagged = cells.join(pin_small(oversized), "cell", "left")
-        if level == rounds:
-            shard = F.pmod(F.xxhash64("point_id", F.lit(seed)), F.ceil(2 * F.col("count") / cell_rows))
-            target = F.when(F.col("count").isNotNull(), F.concat_ws("#", "cell", shard)).otherwise(F.col("cell"))
-            return cells_like(flagged.withColumn("cell", target), cells)
-        large = flagged.where("count is not null")
-        hashed = hash_order(F.col("point_id"), seed + level + 1)
-        pivots = (
-            large.groupBy("cell", hash_bucket(hashed, 1).alias("sub"))
-            .agg(F.min_by("features", hashed).alias("pivot"))
-            .groupBy("cell")
-            .agg(F.collect_list(F.struct("sub", "pivot")).alias("pivots"))
-        )
+    coarse = min(k, math.ceil(math.sqrt(k)))
+    _, assigned = fit_kmeans(df, coarse, seed)
+    rows = materialize(assigned.withColumnRenamed("cluster", "cell"), "cells")
+    sizes = {r["cell"]: r["count"] for r in rows.groupBy("cell").count().collect()}  # at most ``coarse`` rows
+    quota = largest_remainder(sizes, min(k, sum(sizes.values())), 1)
+    shares = rows.sparkSession.createDataFrame(sorted(quota.items()), "cell int, share int")
+    hashed = hash_order(F.col(key), seed)
+    slot = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.col("share")).cast("int")
+    starts = rows.join(F.broadcast(shares), "cell").groupBy("cell", slot.alias("slot"))
+    centers = materialize(starts.agg(F.min_by("features", hashed).alias("center")), "centers")
+
+    def assign(centers: DataFrame) -> DataFrame:
+        listed = centers.groupBy("cell").agg(F.collect_list(F.struct("slot", "center")).alias("_centers"))
         near = F.array_min(
-            F.transform("pivots", lambda p: F.struct(euclidean(F.col("features"), p["pivot"]).alias("d"), p["sub"]))
-        )["sub"]
-        moved = flagged.drop("count").join(pin_small(pivots), "cell", "left")
-        target = F.when(F.col("pivots").isNotNull(), F.concat_ws(".", "cell", near)).otherwise(F.col("cell"))
-        cells = materialize(cells_like(moved.withColumn("cell", target), cells), "cells")
-    return cells
-
-
-def cells_like(df: DataFrame, template: DataFrame) -> DataFrame:
-    return df.select(*template.columns)
-
-
-def clustered_cells(
-    df: DataFrame,
-    k: int,
-    seed: int = 42,
-    key: str = "row_id",
-    coarse: int = COARSE_CLUSTERS,
-    cell_rows: int = CELL_ROWS,
-) -> DataFrame:
-    """Keys of about ``k`` representatives, one per cluster, for any k.
-
-    Equal feature arrays are first collapsed to one weighted point (its smallest key
-    stands for all copies), so a large group of copies is one row from there on.
-    Each cell receives clusters in proportion to its rows and is clustered in one
-    bounded task. Where a single cluster would already fill such a task, the cells
-    themselves are made cluster-sized and the row nearest each cell's mean is kept.
-    """
-    points = materialize(
-        df.groupBy("features").agg(F.min(key).alias("point_id"), F.count(F.lit(1)).cast("double").alias("weight")),
-        "points",
-    )
-    per_cluster = points.agg(F.sum("weight")).first()[0] / k
-    coarse = min(coarse, max(2, int(k) // 4))
-    if per_cluster > cell_rows / 8:
-        cells = divide_into_cells(points, seed, coarse, math.ceil(2 * per_cluster))
-        cells = cells.withColumnRenamed("cell", "cluster")
-        means = to_long(cells, "cluster", "weight").groupBy("cluster", "feature").agg(
-            (F.sum(F.col("x") * F.col("weight")) / F.sum("weight")).alias("m")
-        )
-        ordered = F.array_sort(F.collect_list(F.struct("feature", "m")))
-        centers = means.groupBy("cluster").agg(F.transform(ordered, lambda c: c["m"]).alias("center"))
-        return nearest_to_center(cells, centers, "point_id").select(F.col("point_id").alias(key))
-    cells = divide_into_cells(points, seed, coarse, cell_rows)
-    key_type = points.schema["point_id"].dataType.simpleString()
-
-    def representatives(cell: pd.DataFrame) -> pd.DataFrame:
-        x = np.asarray(cell["features"].to_list(), dtype="float64")
-        weight = cell["weight"].to_numpy()
-        # Copies beyond one cluster's worth ask for no further cluster.
-        wanted = min(len(x), max(1, round(np.minimum(weight, per_cluster).sum() / per_cluster)))
-        centers, owner = weighted_lloyd(x, weight, wanted)
-        gap = ((x - centers[owner]) ** 2).sum(axis=1)
-        best = pd.DataFrame({"owner": owner, "gap": gap, "key": cell["point_id"].to_numpy()})
-        best = best.sort_values(["owner", "gap", "key"]).drop_duplicates("owner")
-        return pd.DataFrame({key: best["key"]})
-
-    return cells.groupBy("cell").applyInPandas(representatives, f"{key} {key_type}")
-
-
-def weighted_lloyd(x: np.ndarray, weight: np.ndarray, k: int, iterations: int = 10) -> tuple[np.ndarray, np.ndarray]:
-    """Centres and owners of one bounded cell; starts from evenly spaced rows along the widest axis."""
-    order = np.argsort(x[:, np.argmax(x.var(axis=0))], kind="stable")
-    centers = x[order[np.linspace(0, len(x) - 1, k).round().astype(int)]].copy()
-    square = (x**2).sum(axis=1)
-    owner = np.zeros(len(x), dtype=int)
-    for _ in range(iterations):
-        distance = square[:, None] - 2.0 * (x @ centers.T) + (centers**2).sum(axis=1)
-        owner = distance.argmin(axis=1)
-        mass = np.bincount(owner, weights=weight, minlength=k)
-        filled = mass > 0
-        for axis in range(x.shape[1]):
-            sums = np.bincount(owner, weights=x[:, axis] * weight, minlength=k)
-            centers[filled, axis] = sums[filled] / mass[filled]
-    return centers, owner
+            F.transform(
+                "_centers", lambda c: F.struct(euclidean(F.col("features"), c["center"]).alias("d"), c["slot"].alias("s"))
+            )
+        )["s"]
+        return rows.join(pin_small(listed), "cell").withColumn("slot", near).drop("_centers")
+
+    for _ in range(rounds):
+        means = assign(centers).groupBy("cell", "slot").agg(Summarizer.mean(array_to_vector("features")).alias("_m"))
+        centers = materialize(means.select("cell", "slot", vector_to_array("_m").alias("center")), "centers")
+    cluster = F.shiftleft(F.col("cell").cast("bigint"), 32) + F.col("slot")
+    final = assign(centers).withColumn("cluster", cluster).drop("cell", "slot")
+    return final, centers.select(cluster.alias("cluster"), "center")

@@ -11,7 +11,6 @@ from coreloom.functions.labels import encode
 from coreloom.operators.bounded import small_rows
 
 MAX_COLUMNS = 100_000
-WIDE_LIMIT = 500
 
 
 def join_responses(sensors: DataFrame, responses: DataFrame) -> DataFrame:
@@ -22,9 +21,11 @@ def join_responses(sensors: DataFrame, responses: DataFrame) -> DataFrame:
 def label_per_time(labelled: DataFrame, codes: dict[str, int], nodes: Sequence[str]) -> DataFrame:
     """(Time, Value): the code of the first node, in list order, whose label is known.
 
-    A timestamp whose labels are all unknown stays, with a null code.
+    A timestamp whose labels are all unknown stays, with a null code. Nodes missing from the
+    list come after all listed ones.
     """
-    position = F.array_position(F.lit(list(nodes)), F.col("Node"))
+    found = F.array_position(F.lit(list(nodes)), F.col("Node"))
+    position = F.when(found > 0, found).otherwise(F.lit(len(nodes) + 1))
     code = encode(F.col("Value"), codes)
     rows = labelled.select("Time", position.alias("_at"), code.alias("_code"))
     return rows.groupBy("Time").agg(

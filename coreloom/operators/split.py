@@ -18,6 +18,8 @@ MAX_CLASSES = 10_000
 def class_sizes(df: DataFrame, label: str = "label") -> dict:
     """Rows per class; classes are few by nature, and that is checked."""
     rows = small_rows(df.groupBy(label).count(), MAX_CLASSES, "classes")
+    if any(r[label] is None for r in rows):
+        raise ValueError(f"rows without a {label}: leave them out or give them a class before splitting")
     return {r[label]: r["count"] for r in rows}
 
 
@@ -152,17 +154,30 @@ def stratified_compress_guarded(
 def time_split(
     df: DataFrame, ratio: float = 0.8, time: str = "Time", key: str = "row_id", seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:
-    """(train, test): the first int(n * ratio) rows by time, equal times in md5 order of ``key``."""
-    n = df.count()
+    """(train, test): the first int(n * ratio) rows by time, equal times in md5 order of ``key``.
+
+    Rows without a time count as the latest.
+    """
+    n, known = df.agg(F.count(F.lit(1)), F.count(time)).first()
     position = int(n * ratio)
     if position == 0:
         return df.limit(0), df
-    text, missing, ties = position_cut(df, time, position)
-    at = typed_literal(text, df.schema[time].dataType.simpleString())
-    first = F.col(time) < at
-    if missing == ties:
-        first = first | (F.col(time) == at)
+    unknown = F.col(time).isNull()
+    if position >= known:
+        # Rows without a time come last, in md5 order of the key.
+        first = ~unknown
+        if position > known:
+            missing = position - known
+            cut = hash_cuts(df.where(unknown), [], key, [missing], seed, hash_digits(n - known)).first()["cut"]
+            first = first | (hash_order(F.col(key), seed) <= F.lit(cut))
     else:
-        cut = hash_cuts(df.where(F.col(time) == at), [], key, [missing], seed, hash_digits(ties)).first()["cut"]
-        first = first | ((F.col(time) == at) & (hash_order(F.col(key), seed) <= F.lit(cut)))
+        text, missing, ties = position_cut(df, time, position)
+        at = typed_literal(text, df.schema[time].dataType.simpleString())
+        first = F.col(time) < at
+        if missing == ties:
+            first = first | (F.col(time) == at)
+        else:
+            cut = hash_cuts(df.where(F.col(time) == at), [], key, [missing], seed, hash_digits(ties)).first()["cut"]
+            first = first | ((F.col(time) == at) & (hash_order(F.col(key), seed) <= F.lit(cut)))
+    first = F.coalesce(first, F.lit(False))
     return df.where(first), df.where(~first)

@@ -117,11 +117,11 @@ def kmeans_core_set(spark, sf):
 
 @query("kmeans_core_set_cells")
 def kmeans_core_set_cells(spark, sf):
-    """One representative per hundred line items: far more clusters than one model holds."""
+    """One representative per hundred line items, by nested clusters."""
     lines = S.wide_features(spark, sf)
     scaled = materialize(FE.fit_scaler(lines).apply(lines), "lines")
-    keys = select.clustered_cells(scaled, max(1, scaled.count() // 100))
-    return select.gather(scaled, keys).select("row_id", "label")
+    core = select.kmeans_core_set(scaled, max(1, scaled.count() // 100), method="nested")
+    return core.select("row_id", "label")
 
 
 @query("pca_components_needed")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import partial
 
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ def sensor_features(spark, sf):
     """(row_id, Time, features, label) from the raw sensor and response series."""
     table = shape.feature_table(S.sensor_long(spark, sf), S.responses(spark, sf), S.EVENT_CODES, S.NODES, Q.CELLS)
     table = materialize(table, "feature_table")
-    rows = FE.assemble(table.where("Value is not null"), Q.CELLS, "mean")
+    rows = FE.assemble(table.where("Value is not null"), Q.CELLS, "keep")
     return rows.select(F.col("Time").cast("string").alias("row_id"), "Time", "features", F.col("Value").alias("label"))
 
 
@@ -27,7 +28,7 @@ def execute(name, spark, sf):
     """Anomaly plans read the embeddings, except where the raw-variance filter needs sensor units."""
     plan = workflow.PLANS[name]
     if plan.split == "time" or plan.filter_first:
-        return workflow.run(sensor_features(spark, sf), plan, Q.CELLS)
+        return workflow.run(sensor_features(spark, sf), replace(plan, impute=True), Q.CELLS)
     return workflow.run(S.features(spark, sf), plan, S.EMBEDDING_NAMES)
 
 

@@ -32,6 +32,9 @@ class Plan:
     fraction: float = 1.0
     share: float = 0.95
     single: bool = False
+    impute: bool = False
+    guarded: bool = True
+    method: str = "lloyd"
     seed: int = 42
 
     def cluster_count(self, rows: int) -> int:
@@ -49,11 +52,11 @@ PLANS = {
     "anomaly_entropy_stratified": Plan(
         "stratified", "entropy", "stratified",
         models.FULL_ANOMALY_ENTROPY_STRATIFIED, models.CORE_DEEP, models.COMPRESSED,
-        threshold=0.1, filter_first=True, fraction=1 / 50,
+        threshold=0.1, filter_first=True, fraction=1 / 50, guarded=False,
     ),
     "anomaly_kmeans_pca": Plan(
         "stratified", "kmeans", "pca",
-        models.FULL_ANOMALY_KMEANS, models.CORE_ANOMALY_KMEANS, models.COMPRESSED,
+        models.FULL_ANOMALY_KMEANS_PCA, models.CORE_ANOMALY_KMEANS, models.COMPRESSED,
         threshold=0.0001,
     ),
     "anomaly_kmeans_stratified": Plan(
@@ -69,7 +72,7 @@ PLANS = {
     "application_entropy_stratified": Plan(
         "time", "entropy", "stratified",
         models.FULL_APPLICATION, models.CORE_DEEP, models.COMPRESSED,
-        threshold=0.1, fraction=1 / 50,
+        threshold=0.1, fraction=1 / 50, guarded=False,
     ),
     "application_kmeans_pca": Plan(
         "time", "kmeans", "pca",
@@ -155,6 +158,8 @@ class Run:
 def run(df: DataFrame, plan: Plan, names: Sequence[str], time_column: str = "Time") -> Run:
     """Execute a plan on (row_id, features, label) rows, plus a time column for time splits.
 
+    With ``impute``, empty feature cells get the feature's mean over the training rows.
+
     Each stage result is written once to the shared folder: forests and clusterings
     read it many times, and a lost executor then costs a re-read, not a re-run.
     """
@@ -180,6 +185,9 @@ def run(df: DataFrame, plan: Plan, names: Sequence[str], time_column: str = "Tim
     else:
         train, test = split.stratified_split(df, 0.2, seed=plan.seed)
     train, test = train.select(*keep), test.select(*keep)
+    if plan.impute:
+        means = FE.cell_means(train)
+        train, test = FE.fill_cells(train, means), FE.fill_cells(test, means)
 
     # One pass over the training rows yields the moments for both the filter and the scaler.
     scaler = FE.fit_scaler(train)
@@ -198,7 +206,7 @@ def run(df: DataFrame, plan: Plan, names: Sequence[str], time_column: str = "Tim
         core = stage("core", lambda: banded_core(scored, keep))
     else:
         clusters = plan.cluster_count(train.count())
-        core = stage("core", lambda: select.kmeans_core_set(train, clusters, plan.seed).select(*keep))
+        core = stage("core", lambda: select.kmeans_core_set(train, clusters, plan.seed, method=plan.method).select(*keep))
     forests["core"] = fit("fit_core", core, plan.core)
 
     components = None
@@ -208,9 +216,8 @@ def run(df: DataFrame, plan: Plan, names: Sequence[str], time_column: str = "Tim
         test_compressed = components.transform(test, single=plan.single)
         compressed, test_compressed = widen(compressed), widen(test_compressed)
     else:
-        compressed = stage(
-            "compressed", lambda: split.stratified_compress_guarded(core, plan.fraction, seed=plan.seed).select(*keep)
-        )
+        shrink = split.stratified_compress_guarded if plan.guarded else split.stratified_compress
+        compressed = stage("compressed", lambda: shrink(core, plan.fraction, seed=plan.seed).select(*keep))
         test_compressed = test
     forests["compressed"] = fit("fit_compressed", compressed, plan.compressed)
     return Run(plan, names, train, test, core, compressed, test_compressed, forests, components, stages)

@@ -8,8 +8,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "coreloom", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings the operators expect; cluster defaults win elsewhere."""
+def build_session(
+    app: str = "coreloom", master: str | None = None, scratch: str | None = None, **conf: str
+) -> SparkSession:
+    """A session with the settings the operators expect; cluster defaults win elsewhere.
+
+    ``scratch`` is the shared folder for intermediate tables (``spark.checkpoint.dir``).
+    """
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.adaptive.enabled", "true")
@@ -20,25 +25,26 @@ def build_session(app: str = "coreloom", master: str | None = None, **conf: str)
     )
     if master:
         builder = builder.master(master)
+    if scratch:
+        builder = builder.config("spark.checkpoint.dir", scratch)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
+    """The folder named by ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the session names none (local tests) a private folder is made and
-    registered, so that later calls and ``checkpoint()`` use the same one.
+    Only in local mode, where they are one process on one machine, a private folder is
+    made if the session names none. Anywhere else that is an error.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="coreloom-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="coreloom-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

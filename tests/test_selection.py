@@ -41,43 +41,43 @@ def test_more_clusters_than_points(spark):
     assert core.count() <= 2 and core.where("features is null").count() == 0
 
 
-def test_cells_cluster_any_number_of_groups(spark):
-    """A third of the rows are copies of one point; cells are kept tiny on purpose."""
+def test_nested_clusters_cover_any_number_of_groups(spark):
+    """A third of the rows are copies of one point."""
     rng = np.random.default_rng(4)
-    points = [(i, [0.0, 0.0] if i % 3 == 0 else rng.normal(size=2).tolist()) for i in range(3000)]
-    df = spark.createDataFrame(points, "row_id bigint, features array<double>")
-    keys = select.clustered_cells(df, 200, coarse=4, cell_rows=150).collect()
-    chosen = [r["row_id"] for r in keys]
-    assert len(chosen) == len(set(chosen))
-    assert 80 <= len(chosen) <= 230
-    assert set(chosen) <= set(range(3000))
-    everything = np.array([p for _, p in points])
-    picked = everything[chosen]
-    gap = np.sqrt(((everything[:, None] - picked[None]) ** 2).sum(-1)).min(axis=1)
+    points = [(i, i % 2, [0.0, 0.0] if i % 3 == 0 else rng.normal(size=2).tolist()) for i in range(3000)]
+    df = spark.createDataFrame(points, "row_id bigint, label int, features array<double>")
+    core = select.kmeans_core_set(df, 200, method="nested").collect()
+    chosen = [r["row_id"] for r in core]
+    assert len(chosen) == len(set(chosen)) == len({r["cluster"] for r in core})
+    assert 80 <= len(chosen) <= 200
+    everything = np.array([p for *_, p in points])
+    gap = np.sqrt(((everything[:, None] - everything[chosen][None]) ** 2).sum(-1)).min(axis=1)
     assert gap.mean() < 0.25
 
 
-def test_clusters_larger_than_a_cell(spark):
-    rng = np.random.default_rng(6)
-    df = spark.createDataFrame([(i, rng.normal(size=2).tolist()) for i in range(3000)], "row_id bigint, features array<double>")
-    chosen = [r["row_id"] for r in select.clustered_cells(df, 20, coarse=4, cell_rows=100).collect()]
-    assert len(chosen) == len(set(chosen)) and 10 <= len(chosen) <= 90
-
-
-def test_cells_stay_bounded(spark):
-    rng = np.random.default_rng(8)
-    rows = [(i, rng.exponential(size=2).tolist(), 1.0) for i in range(2000)]
-    points = spark.createDataFrame(rows, "point_id bigint, features array<double>, weight double")
-    cells = select.divide_into_cells(points, coarse=2, cell_rows=200, rounds=3)
-    sizes = [r["count"] for r in cells.groupBy("cell").count().collect()]
-    assert sum(sizes) == 2000 and max(sizes) <= 200 * 1.5
-
-
-def test_oversized_cells_divide_by_hash_at_last(spark):
-    rows = [(i, [float(i)], 1.0) for i in range(400)]
-    points = spark.createDataFrame(rows, "point_id bigint, features array<double>, weight double")
-    cells = select.divide_into_cells(points, coarse=2, cell_rows=50, rounds=0)
-    assert cells.groupBy("cell").count().agg(F.max("count")).first()[0] < 100
+def test_the_method_is_the_callers_choice_at_every_size(spark):
+    """Below and above a thousand clusters: the same columns, one row per cluster, each nearest to its centre."""
+    rng = np.random.default_rng(5)
+    rows = [(i, 0, [float(i // 2), float(rng.normal())]) for i in range(2200)]
+    df = spark.createDataFrame(rows, "row_id bigint, label int, features array<double>")
+    schemas = set()
+    for k in (990, 1010):
+        for method in ("lloyd", "nested"):
+            core = select.kmeans_core_set(df, k, method=method)
+            schemas.add(core.schema.simpleString())
+            found = core.collect()
+            assert len({r["cluster"] for r in found}) == len(found) == len({r["row_id"] for r in found}) <= k
+    assert len(schemas) == 1
+    assigned, centers = select.nested_clusters(df, 50)
+    at = {r["cluster"]: np.array(r["center"]) for r in centers.collect()}
+    best = {}
+    for r in assigned.collect():
+        d = float(np.linalg.norm(np.array(r["features"]) - at[r["cluster"]]))
+        best[r["cluster"]] = min(best.get(r["cluster"], (np.inf, 0)), (d, r["row_id"]))
+    picked = {r["cluster"]: r["row_id"] for r in select.kmeans_core_set(df, 50, method="nested").collect()}
+    assert picked == {c: i for c, (_, i) in best.items()}
+    with pytest.raises(ValueError):
+        select.kmeans_core_set(df, 5, method="other")
 
 
 def test_forest_learns_and_importances_sum_to_one(spark, vectors):

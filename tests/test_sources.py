@@ -154,3 +154,40 @@ def test_label_integrity(spark):
     df = spark.createDataFrame([(0,), (7,)], "label int")
     got = {(r["label"], r["problem"]) for r in profile.label_integrity(df, domain).collect()}
     assert got == {(1, "missing"), (7, "unexpected")}
+
+
+def test_unlisted_node_comes_last(spark):
+    from coreloom.operators import shape
+
+    rows = spark.createDataFrame([(1, "n0", "A"), (1, "zz", "B"), (2, "zz", "B")], "Time int, Node string, Value string")
+    got = {r["Time"]: r["Value"] for r in shape.label_per_time(rows, {"A": 0, "B": 1}, ["n0"]).collect()}
+    assert got == {1: 0, 2: 1}
+
+
+def test_large_summary_is_not_pinned(spark):
+    from pyspark.sql import functions as F
+
+    from coreloom.operators.bounded import pin_small
+
+    wide = spark.range(40).select("id", F.transform(F.sequence(F.lit(1), F.lit(500)), lambda i: i * 1.5).alias("a"))
+    assert "broadcast" in pin_small(wide)._jdf.queryExecution().logical().toString().lower()
+    far = pin_small(wide, max_bytes=50_000)
+    assert "broadcast" not in far._jdf.queryExecution().logical().toString().lower() and far.count() == 40
+    assert pin_small(wide, max_rows=39).count() == 40
+
+
+def test_cluster_needs_a_shared_folder():
+    from coreloom.session import scratch_root
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_root(Session())

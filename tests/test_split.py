@@ -79,3 +79,18 @@ def test_null_policies(spark):
 def test_class_weight_sums_to_rows(uneven):
     total = uneven.agg(F.sum(FE.class_weight(uneven))).first()[0]
     assert abs(total - 400) < 1e-9
+
+
+def test_rows_without_time_come_last(spark):
+    df = spark.createDataFrame([(i, None if i % 10 == 0 else i) for i in range(100)], "row_id bigint, Time bigint")
+    for ratio in (0.5, 0.8, 0.9, 0.95, 1.0):
+        train, test = split.time_split(df, ratio)
+        a, b = [r["row_id"] for r in train.collect()], [r["row_id"] for r in test.collect()]
+        assert len(a) == int(100 * ratio) and sorted(a + b) == list(range(100))
+        assert ratio > 0.9 or all(i % 10 for i in a)
+
+
+def test_null_label_is_refused(spark):
+    df = spark.createDataFrame([(1, 0), (2, None)], "row_id bigint, label int")
+    with pytest.raises(ValueError, match="without a label"):
+        split.stratified_split(df)

@@ -194,3 +194,26 @@ def test_boxplot(spark):
     row = profile.boxplot_stats(column(spark, [1, 2, 3, 4, 5, 100])).first()
     assert (row["q1"], row["median"], row["q3"]) == (2.25, 3.5, 4.75)
     assert row["whisker_low"] == 1 and row["whisker_high"] == 5 and row["outliers"] == 1
+
+
+def test_kde_feels_far_values(spark):
+    import numpy as np
+
+    xs = [float(i % 2) for i in range(99)] + [1000.0]
+    df = spark.createDataFrame([("d", 0, x) for x in xs], "dataset string, feature int, x double")
+    got = sorted((r["point"], r["x"], r["density"]) for r in similarity.kde_curves(df).collect())
+    h = np.std(xs, ddof=1) * len(xs) ** -0.2
+    for _, x, density in got:
+        want = np.exp(-0.5 * ((x - np.array(xs)) / h) ** 2).sum() / (len(xs) * h * np.sqrt(2 * np.pi))
+        assert abs(density - want) <= 1e-12 + 1e-9 * want
+    assert all(d > 0 for *_, d in got)
+
+
+def test_means_come_from_the_training_rows(spark):
+    from coreloom.operators import features as FE
+
+    train = spark.createDataFrame([(1, [1.0, None]), (2, [None, None]), (3, [3.0, None])], "row_id int, features array<double>")
+    test = spark.createDataFrame([(4, [None, 7.0])], "row_id int, features array<double>")
+    means = FE.cell_means(train)
+    assert FE.fill_cells(train, means).where("row_id = 2").first()["features"] == [2.0, 0.0]
+    assert FE.fill_cells(test, means).first()["features"] == [2.0, 7.0]

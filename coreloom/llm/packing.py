@@ -29,8 +29,12 @@ GRAIN = 16
 END_ID = 2
 #: Column generation stops after this many new patterns (the solution so far is a valid packing).
 ROUNDS = 4_000
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 700_000
 LONGEST_CACHED = 48
+#: A sign that is a token of its own, put between words that are encoded together; words and characters at a time.
+MARK = "\x01"
+TOGETHER = 512
+CHARS_TOGETHER = 2_000_000
 
 
 class ChunkTokenizer:
@@ -47,17 +51,53 @@ class ChunkTokenizer:
         if one != [i for c in "abc" for i in self.tokenizer.encode(c, add_special_tokens=False).ids]:
             raise ValueError(f"{tokenizer_file} does not drop white space")
         self.chunks = _Cache(self._encode, CACHED_CHUNKS, LONGEST_CACHED)
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
 
     def _encode(self, chunk: str) -> bytes:
         if not chunk:
             return b""
+        core, tail = self._parts(chunk)
+        if core != chunk:
+            return self.chunks[core] + (self.chunks[tail] if tail else b"")
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    @staticmethod
+    def _parts(chunk: str) -> tuple[str, str]:
+        """A word and the comma or full stop behind it, which never share a token; ASCII words in lower case."""
+        core, tail = (chunk[:-1], chunk[-1]) if chunk[-1] in ",." and chunk[-2:-1].isalpha() else (chunk, "")
+        return (core.lower() if core.isascii() and "<|" not in core else core), tail
+
+    def _learn(self, texts: list[list[str]]) -> None:
+        """Encode what the cache lacks of the texts' plain words together, a mark between each two."""
+        if self.mark is None:
+            return
+        lacking = {self._parts(c)[0] for c in set().union(*texts) if c and c not in self.chunks}
+        plain = [c for c in lacking if c.isalpha() and c not in self.chunks]
+        for at in range(0, len(plain), TOGETHER):
+            some = plain[at : at + TOGETHER]
+            ids = np.array(self.tokenizer.encode(f" {MARK} ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            ends = np.flatnonzero(ids == self.mark)
+            for word, part in zip(some, np.split(ids, ends)):
+                own = part if word is some[0] else part[1:]
+                self.chunks.put(word, own.tobytes())
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            split, size = [], 0
+            while at < len(texts) and size < CHARS_TOGETHER:
+                split.append((texts[at] or "").replace("\n", " ").split(" "))
+                size += len(texts[at] or "")
+                at += 1
+            self._learn(split)
+            out += [b"".join(map(self.chunks.__getitem__, chunks)) for chunks in split]
+        return out
+
     def encode_bytes(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
+        return self.encode_many([text])[0]
 
 
 _TOKENIZERS: dict[str, ChunkTokenizer] = {}
@@ -83,8 +123,9 @@ def cut(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id:
         width = 4 * capacity
         for batch in batches:
             rows, raw = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                whole = own.encode_bytes(text.as_py()) + last
+            encoded = own.encode_many(batch.column(1).to_pylist())
+            for doc, body in zip(batch.column(0).to_pylist(), encoded):
+                whole = body + last
                 for at in range(0, len(whole), width):
                     part = whole[at : at + width]
                     rows.append((doc, at // 4, len(part) // 4, zlib.crc32(part), len(whole) // 4))

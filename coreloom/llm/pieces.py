@@ -44,12 +44,15 @@ class _Cache(dict):
         value = self.older.get(key)
         if value is None:
             value = self.compute(key)
+        self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
         if len(key) <= self.longest:
             if len(self) >= self.most:
                 self.older = dict(self)
                 self.clear()
             self[key] = value
-        return value
 
 
 def _replaced(error):

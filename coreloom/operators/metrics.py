@@ -126,20 +126,27 @@ def one_vs_rest(df: DataFrame, label: str = "label", probability: str = "probabi
 def roc_curve(df: DataFrame, by: Sequence[str] = ("class",)) -> DataFrame:
     """ROC points at every distinct score, from (by, score, positive).
 
-    A point counts the rows scoring at or above the threshold.
+    A point counts the rows scoring at or above the threshold. Each curve starts at
+    (0, 0), whose threshold is null.
     """
     positive = F.col("positive").cast("bigint")
     totals = running_totals(df, by, "score", {"p": positive, "q": 1 - positive})
     tp = F.col("tot_p") - F.col("cum_p") + F.col("p")
     fp = F.col("tot_q") - F.col("cum_q") + F.col("q")
-    return totals.select(
-        *by,
+    point = F.struct(
         F.col("score").alias("threshold"),
         fp.alias("fp"),
         tp.alias("tp"),
         safe_ratio(fp, F.col("tot_q")).alias("fpr"),
         safe_ratio(tp, F.col("tot_p")).alias("tpr"),
     )
+    # The largest score's row also gives the start point.
+    last = F.col("next_value").isNull()
+    none = {"threshold": F.lit(None), "fp": F.lit(0), "tp": F.lit(0), "fpr": F.lit(0.0), "tpr": F.lit(0.0)}
+    types = totals.select(point.alias("p")).schema["p"].dataType.fields
+    start = F.struct(*[none[f.name].cast(f.dataType).alias(f.name) for f in types])
+    points = totals.select(*by, F.explode(F.when(last, F.array(point, start)).otherwise(F.array(point))).alias("_p"))
+    return points.select(*by, "_p.*")
 
 
 def roc_auc(df: DataFrame, by: Sequence[str] = ("class",)) -> DataFrame:

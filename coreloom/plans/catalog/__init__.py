@@ -1,6 +1,7 @@
 """Every registered query; importing this package fills the registry."""
 
 from coreloom.plans.catalog import (  # noqa: F401
+    facts,
     metrics,
     models,
     profiles,

@@ -79,7 +79,9 @@ def _ovr(spark, sf):
 @query(
     "roc_curve",
     f"""WITH {OVR} SELECT class, {Q.r('score')} AS threshold, CAST(fp AS BIGINT) AS fp, CAST(tp AS BIGINT) AS tp,
-    {Q.r('fp / nq')} AS fpr, {Q.r('tp / np')} AS tpr FROM c""",
+    {Q.r('fp / nq')} AS fpr, {Q.r('tp / np')} AS tpr FROM c
+    UNION ALL SELECT DISTINCT class, CAST(NULL AS DOUBLE), CAST(0 AS BIGINT), CAST(0 AS BIGINT),
+      CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM c""",
 )
 def roc_curve(spark, sf):
     return rounded(ME.roc_curve(_ovr(spark, sf)), ["threshold", "fpr", "tpr"])
@@ -96,7 +98,8 @@ def roc_auc_ovr(spark, sf):
       FROM predictions GROUP BY score),
     c AS (SELECT score, sum(p) OVER w AS tp, sum(q) OVER w AS fp, CAST(sum(p) OVER () AS DOUBLE) AS np,
                  CAST(sum(q) OVER () AS DOUBLE) AS nq FROM d WINDOW w AS (ORDER BY score DESC))
-    SELECT score AS threshold, CAST(fp AS BIGINT) AS fp, CAST(tp AS BIGINT) AS tp, {Q.r('fp / nq')} AS fpr, {Q.r('tp / np')} AS tpr FROM c""",
+    SELECT score AS threshold, CAST(fp AS BIGINT) AS fp, CAST(tp AS BIGINT) AS tp, {Q.r('fp / nq')} AS fpr, {Q.r('tp / np')} AS tpr FROM c
+    UNION ALL SELECT NULL, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE)""",
 )
 def roc_curve_binary(spark, sf):
     rows = S.predictions(spark, sf).select("score", (F.col("label") == 1).cast("int").alias("positive"))

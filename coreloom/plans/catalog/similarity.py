@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from coreloom.functions.scalars import hash_order
 from coreloom.operators import features as FE
 from coreloom.operators import similarity as SI
 from coreloom.plans import standins as S
@@ -111,13 +112,15 @@ def class_contingency(spark, sf):
     "chi_square_classes",
     f"""WITH {CONTINGENCY}, t AS (SELECT *, CAST(sum(full_count) OVER () AS DOUBLE) AS a,
       CAST(sum(other_count) OVER () AS DOUBLE) AS b, full_count + other_count AS r FROM table_),
-    x AS (SELECT *, r * a / (a + b) AS ea, r * b / (a + b) AS eb FROM t)
-    SELECT {Q.r('sum(pow(full_count - ea, 2) / ea + pow(other_count - eb, 2) / eb)')} AS chi2, count(*) - 1 AS dof FROM x""",
+    x AS (SELECT *, r * a / (a + b) AS ea, r * b / (a + b) AS eb FROM t),
+    c AS (SELECT sum(pow(full_count - ea, 2) / ea + pow(other_count - eb, 2) / eb) AS chi2, count(*) - 1 AS dof FROM x)
+    -- three classes: two degrees of freedom, whose tail is exp(-x / 2)
+    SELECT {Q.r('chi2')} AS chi2, dof, {Q.r('exp(-chi2 / 2)')} AS p_value, exp(-chi2 / 2) > 0.05 AS similar FROM c""",
 )
 def chi_square_classes(spark, sf):
     lines = S.wide_num(spark, sf)
     test = SI.chi_square_classes(SI.class_contingency(lines, S.core_of(lines)))
-    return rounded(test.select("chi2", "dof"), ["chi2"])
+    return rounded(test, ["chi2", "p_value"])
 
 
 HISTOGRAMS = f"""{Q.STACKED},
@@ -169,13 +172,19 @@ def feature_similarity_log(spark, sf):
     return rounded(rounded(log, ["ks_stat", "ks_p", "js_distance"]), ["wasserstein"], 5)
 
 
+_CELLS_OF_A_ROW = "l_quantity, l_extendedprice, l_discount, l_tax"
+
+
 @query(
     "leakage_check",
     f"""WITH {Q.LINES}, shared AS (
-      SELECT l_quantity, l_discount, l_tax FROM lines WHERE label = 0
-      INTERSECT SELECT l_quantity, l_discount, l_tax FROM lines WHERE label = 1)
+      SELECT {_CELLS_OF_A_ROW} FROM lines WHERE md5('42:' || row_id) < '05'
+      INTERSECT SELECT {_CELLS_OF_A_ROW} FROM lines WHERE md5('42:' || row_id) >= '05')
     SELECT count(*) AS overlap, count(*) > 0 AS leakage FROM shared""",
 )
 def leakage_check(spark, sf):
-    rows = S.wide_num(spark, sf).select("label", F.array("l_quantity", "l_discount", "l_tax").alias("features"))
-    return SI.leakage(rows.where("label = 0"), rows.where("label = 1"))
+    """Core rows against all others, over every column."""
+    lines = S.wide_num(spark, sf)
+    features = F.array(*[F.col(c) for c in S.NUMERIC]).alias("features")
+    rest = lines.where(hash_order(F.col("row_id")) >= F.lit("05"))
+    return SI.leakage(S.core_of(lines).select(features), rest.select(features))

@@ -43,23 +43,23 @@ def sensors_wide_by_node(spark, sf):
     return rounded(shape.sensors_to_wide(S.sensor_long(spark, sf), Q.EVENT_TYPES), Q.EVENT_TYPES)
 
 
-_NODE_SENSORS = {"node0": ["click", "error", "view"], "node1": ["purchase", "signup", "view"]}
+# Every node, each without one of the sensors, so that the union has columns to fill.
+_MISSING = {f"node{i}": Q.EVENT_TYPES[i] for i in range(4)}
 _UNION_SQL = ", ".join(
-    "round(avg(reading) FILTER (WHERE sensor = '{s}' AND \"Node\" IN ({n})), 6) + 0.0 AS {s}".format(
-        s=s, n=", ".join(f"'{node}'" for node, have in _NODE_SENSORS.items() if s in have)
+    "round(avg(reading) FILTER (WHERE sensor = '{s}' AND \"Node\" NOT IN ({n})), 6) + 0.0 AS {s}".format(
+        s=s, n=", ".join([f"'{node}'" for node, gone in _MISSING.items() if gone == s] or ["''"])
     )
     for s in Q.EVENT_TYPES
 )
 
 
-@query(
-    "union_nodes",
-    f"""WITH {Q.SENSORS} SELECT "Time", "Node", {_UNION_SQL} FROM sensor_long
-    WHERE "Node" IN ('node0', 'node1') GROUP BY "Time", "Node" """,
-)
+@query("union_nodes", f"""WITH {Q.SENSORS} SELECT "Time", "Node", {_UNION_SQL} FROM sensor_long GROUP BY "Time", "Node" """)
 def union_nodes(spark, sf):
     long = S.sensor_long(spark, sf)
-    parts = [shape.sensors_to_wide(long.where(F.col("Node") == n), s) for n, s in _NODE_SENSORS.items()]
+    parts = [
+        shape.sensors_to_wide(long.where(F.col("Node") == n), [s for s in Q.EVENT_TYPES if s != gone])
+        for n, gone in _MISSING.items()
+    ]
     return rounded(shape.union_nodes(parts), Q.EVENT_TYPES)
 
 

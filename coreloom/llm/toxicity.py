@@ -9,7 +9,6 @@ hash of the id: one part finds stems, one fits the trees, one calibrates their s
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +27,7 @@ FIT_ROWS = 20_000
 #: Word beginnings kept, their lengths, and the evidence (log-likelihood ratio) and lift one needs.
 STEMS = 2_000
 STEM_LENGTHS = (4, 5, 6, 7, 8)
+SHORTEST = 3
 EVIDENCE = 16.0
 LIFT = 3.0
 NEAR_WORDS = 4
@@ -54,11 +54,20 @@ FEATURES = (
 )
 
 
+EDGES = ".,;:!?\"'()[]{}"
+STRETCHED = re.compile(r"([^\W\d_])\1\1+")
+
+
 def plain(word: str) -> str:
     """Lower case without signs, with look-alike digits undone and stretched letters shortened."""
-    core = word.lower().strip(".,;:!?\"'()[]{}*-_|#%&<>$@")
-    undone = core.translate(UNMASK) if re.search("[^\\W\\d_]", core) else core
-    return re.sub(r"(.)\1{2,}", r"\1", re.sub(r"[\W_]", "", undone))
+    core = word.strip(EDGES)
+    if core.isalpha():
+        flat = core.lower()
+    else:
+        core = word.lower().strip(EDGES + "*-_|#%&<>$@")
+        undone = core.translate(UNMASK) if re.search("[^\\W\\d_]", core) else core
+        flat = re.sub(r"[\W_]", "", undone)
+    return STRETCHED.sub(r"\1", flat)
 
 
 def stems(word: str) -> tuple[str, ...]:
@@ -74,16 +83,23 @@ def words(text: str | None) -> list[str]:
 def _marker(lexicon: frozenset, learned: frozenset, second: frozenset):
     """Packs what matters of one word into an integer: flags, and counts of letters and signs."""
 
+    first = frozenset(s[:SHORTEST] for s in learned)
+
     def mark(word: str) -> int:
-        core = word.strip(".,;:!?\"'()[]{}")
+        core = word.strip(EDGES)
         flat = plain(word)
-        upper = sum(c.isupper() for c in word)
-        signs = sum(not c.isalnum() for c in word)
-        letters = sum(c.isalpha() for c in word)
-        inner = bool(letters) and bool(re.search(r"[\d@$!*_]", core)) or bool(re.search(r"([^\W\d_])\1\1", word.lower()))
+        if core.isalpha():
+            letters = len(core)
+            signs = len(word) - letters
+            inner = len(flat) != len(core.lower())
+        else:
+            letters = sum(map(str.isalpha, word))
+            signs = len(word) - sum(map(str.isalnum, word))
+            inner = bool(letters) and bool(re.search(r"[\d@$!*_]", core)) or bool(STRETCHED.search(word.lower()))
+        upper = 0 if word.islower() else sum(map(str.isupper, word))
         return (
             (flat in lexicon)
-            | (not learned.isdisjoint(stems(word))) << 1
+            | (flat[:SHORTEST] in first and not learned.isdisjoint(stems(word))) << 1
             | (core.lower() in second) << 2
             | (letters > 1 and upper == letters) << 3
             | inner << 4
@@ -96,6 +112,17 @@ def _marker(lexicon: frozenset, learned: frozenset, second: frozenset):
     return mark
 
 
+_MARKS: dict[tuple, _Cache] = {}
+
+
+def _marks(sets: tuple[frozenset, frozenset, frozenset]) -> _Cache:
+    """The worker's remembered words, of the latest lexicons."""
+    if sets not in _MARKS:
+        _MARKS.clear()
+        _MARKS[sets] = _Cache(_marker(*sets), CACHED_WORDS, LONGEST_CACHED)
+    return _MARKS[sets]
+
+
 def row_features(marks: np.ndarray) -> list[float]:
     """FEATURES of a text from the marks of its words; a text without words is all zeros."""
     n = len(marks)
@@ -129,7 +156,7 @@ def features(docs: DataFrame, learned: list[str], lexicon=tuple(LEXICON), text:
     sets = frozenset(lexicon), frozenset(learned), frozenset(SECOND)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _Cache(_marker(*sets), CACHED_WORDS, LONGEST_CACHED)
+        cache = _marks(sets)
         for batch in batches:
             rows = []
             for value in batch.column(len(names)):

@@ -275,6 +275,21 @@ def round_trip(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES)
     )
 
 
-@query("op7_warc_salvage")
+_GROUPS = " || ".join(
+    f"lpad(to_base(CAST('0x' || substr(digest, {1 + 5 * i}, 5) AS BIGINT), 32), 4, '0')" for i in range(8)
+)
+SQL = f"""
+WITH stored AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+marked AS (
+  SELECT page_id, payload, sha1(payload) AS digest, min(page_id) OVER (PARTITION BY payload) AS first FROM stored)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+  translate({_GROUPS}, '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+  CASE WHEN first IS NOT NULL AND first IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
+FROM marked
+"""
+
+
+@query("op7_warc_salvage", SQL)
 def op7(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))

@@ -6,6 +6,8 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -129,9 +131,17 @@ def elbow(df: DataFrame, ks: list[int], seed: int = 42) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "k int, inertia double")
 
 
-def clustering_report(df: DataFrame, k: int = 10, seed: int = 42, key: str = "row_id") -> DataFrame:
-    """Cluster the rows into k groups and score the result."""
-    model, assigned = fit_kmeans(df, k, seed)
-    scores = silhouette(assigned, "cluster", key).select(F.lit("silhouette").alias("measure"), F.col("silhouette").alias("value"))
+def clustering_report(df: DataFrame, k: int = 10, seed: int = 42) -> DataFrame:
+    """Cluster the rows into k groups and score the result in linear time.
+
+    The silhouette is the squared-Euclidean one, which needs only sums per cluster;
+    :func:`silhouette` has the exact Euclidean form for core-sized tables.
+    """
+    _, assigned = fit_kmeans(df, k, seed)
+    vectors = assigned.select("cluster", array_to_vector("features").alias("_vector"))
+    evaluator = ClusteringEvaluator(featuresCol="_vector", predictionCol="cluster")
+    found = assigned.select("cluster").distinct().limit(2).count()
+    value = float(evaluator.evaluate(vectors)) if found > 1 else None
+    scores = df.sparkSession.createDataFrame([("silhouette", value)], "measure string, value double")
     index = davies_bouldin(assigned).select(F.lit("davies_bouldin").alias("measure"), F.col("davies_bouldin").alias("value"))
     return scores.unionByName(index)

@@ -176,4 +176,5 @@ def cv_summary(spark, sf):
 
 @query("clustering_report")
 def clustering_report(spark, sf):
-    return clusters.clustering_report(S.features(spark, sf), 10)
+    """Scores of a clustering of the core set."""
+    return clusters.clustering_report(core_rows(parts(spark, sf)[0]), 10)

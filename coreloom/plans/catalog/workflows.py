@@ -50,6 +50,25 @@ def summary_table(spark, sf):
     return execute("anomaly_kmeans_pca", spark, sf).summary()
 
 
+@query(
+    "run_evaluation",
+    """WITH s AS (SELECT count(*) AS n, CAST(ceil(0.2 * count(*)) AS BIGINT) AS held FROM embeddings)
+    SELECT n - held AS full_rows, CAST(10 AS BIGINT) AS curves, true AS curves_start_at_zero,
+    CAST(0 AS BIGINT) AS leaked_rows, true AS shares_sum_to_one FROM s""",
+)
+def run_evaluation(spark, sf):
+    """A finished run's ROC curves (one per label), leakage, core report and component importances, as facts SQL can state."""
+    run = execute("anomaly_kmeans_pca", spark, sf)
+    curves = run.roc().where("model = 'full'").groupBy("class").agg(
+        F.count_if(F.col("threshold").isNull() & (F.col("fpr") == 0) & (F.col("tpr") == 0)).alias("starts")
+    )
+    curves = curves.agg(F.count(F.lit(1)).alias("curves"), F.every(F.col("starts") == 1).alias("curves_start_at_zero"))
+    full = run.core_report().agg(F.sum("full_rows").cast("bigint").alias("full_rows"))
+    shares = run.component_importances().agg((F.abs(F.sum("importance") - 1) < 1e-6).alias("shares_sum_to_one"))
+    leaked = run.leakage().select(F.col("overlap").alias("leaked_rows"))
+    return full.crossJoin(curves).crossJoin(leaked).crossJoin(shares)
+
+
 @query("top_feature_similarity_log")
 def top_feature_similarity_log(spark, sf):
     """The similarity log restricted to the features the full forest ranks highest."""

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coreloom.operators import features as FE
-from coreloom.operators import metrics, models, profile, select, similarity, split
+from coreloom.operators import clusters, metrics, models, profile, select, similarity, split
 from coreloom.operators.models import Forest
 from coreloom.operators.reduce import Components, fit_pca
 from coreloom.session import materialize
@@ -136,6 +136,46 @@ class Run:
     def class_test(self) -> DataFrame:
         return similarity.chi_square_classes(similarity.class_contingency(self.train, self.compressed))
 
+    def roc(self) -> DataFrame:
+        """ROC points per model and class, from the forests' probabilities on the test rows."""
+        return metrics.roc_curve(self._class_scores(), by=("model", "class"))
+
+    def auc(self) -> DataFrame:
+        return metrics.roc_auc(self._class_scores(), by=("model", "class"))
+
+    def _class_scores(self) -> DataFrame:
+        tests = {"full": self.test, "core": self.test, "compressed": self.test_compressed}
+        scored = {n: metrics.one_vs_rest(models.predict(m, tests[n])) for n, m in self.forests.items()}
+        return profile.tagged(scored, ["class", "score", "positive"], "model")
+
+    def leakage(self) -> DataFrame:
+        """Feature rows that the core set shares with the test set."""
+        return similarity.leakage(self.core, self.test)
+
+    def cross_validation(self, table: str = "core", k: int = 5) -> DataFrame:
+        """Accuracy and F1 per fold of the named table, refitted with that table's forest settings."""
+        forest = {"full": self.plan.full, "core": self.plan.core, "compressed": self.plan.compressed}[table]
+        return models.cross_validate(self.tables()[table], forest, k, self.plan.seed)
+
+    def importance_difference(self, top: int = 10) -> DataFrame:
+        """The features whose importance differs most between the full and the core forest."""
+        spark = self.train.sparkSession
+        full = models.importances(self.forests["full"], self.names, spark)
+        return models.importance_difference(full, models.importances(self.forests["core"], self.names, spark), top)
+
+    def component_importances(self) -> DataFrame:
+        """Importance of each principal component in the compressed table's forest."""
+        if self.components is None:
+            raise ValueError("this plan compresses rows, not columns")
+        names = [f"PC{i + 1}" for i in range(self.components.k)]
+        return models.importances(self.forests["compressed"], names, self.train.sparkSession)
+
+    def clustering(self, k: int = 10) -> DataFrame:
+        return clusters.clustering_report(self.core, k, self.plan.seed)
+
+    def core_report(self) -> DataFrame:
+        return profile.core_set_report(self.train, self.core)
+
     def similarity_log(self, top: int = 50) -> DataFrame:
         """The four distances for the most important features, like with like.
 

@@ -134,6 +134,22 @@ def test_workflow(vectors, name):
     assert stages[0] == "train" and "fit_compressed" in stages
 
 
+def test_evaluation_of_a_run(vectors):
+    run = workflow.run(vectors, small(workflow.PLANS["anomaly_kmeans_pca"]), ["a", "b", "c", "d"])
+    points = run.roc().collect()
+    assert {(r["model"], r["class"]) for r in points} == {(m, c) for m in ("full", "core", "compressed") for c in range(3)}
+    starts = [r for r in points if r["threshold"] is None]
+    assert len(starts) == 9 and all(r["fpr"] == 0 and r["tpr"] == 0 for r in starts)
+    assert all(r["auc"] > 0.9 for r in run.auc().where("model = 'full'").collect())
+    assert run.leakage().first()["overlap"] == 0
+    assert run.cross_validation("full", 3).count() == 3
+    assert run.importance_difference(2).count() == 2
+    shares = run.component_importances()
+    assert shares.count() == run.components.k and abs(shares.agg(F.sum("importance")).first()[0] - 1) < 1e-9
+    assert {r["measure"] for r in run.clustering(3).collect()} == {"silhouette", "davies_bouldin"}
+    assert run.core_report().agg(F.sum("core_rows")).first()[0] == run.core.count()
+
+
 def test_plans_cover_both_applications():
     plans = workflow.PLANS.values()
     assert len({(p.split, p.select, p.compress) for p in plans}) == 8

@@ -69,11 +69,15 @@ class ChunkTokenizer:
         return (core.lower() if core.isascii() and "<|" not in core else core), tail
 
     def _learn(self, texts: list[list[str]]) -> None:
-        """Encode what the cache lacks of the texts' plain words together, a mark between each two."""
+        """Encode what the cache lacks of the texts' words together, a mark between each two.
+
+        Spaces keep words and marks apart in every step of the tokenizer; words with the mark or
+        a special token's beginning are left to :meth:`_encode`.
+        """
         if self.mark is None:
             return
         lacking = {self._parts(c)[0] for c in set().union(*texts) if c and c not in self.chunks}
-        plain = [c for c in lacking if c.isalpha() and c not in self.chunks]
+        plain = [c for c in lacking if c not in self.chunks and MARK not in c and "<|" not in c]
         for at in range(0, len(plain), TOGETHER):
             some = plain[at : at + TOGETHER]
             ids = np.array(self.tokenizer.encode(f" {MARK} ".join(some), add_special_tokens=False).ids, dtype="<u4")

@@ -262,17 +262,21 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         return 0 < ones < n
 
     ones, n = (sum(v[i] for v in seen.values()) for i in (0, 1))
-    if not (both(range(5, 8)) and both(range(8, 10))):
+    if not both(range(10)):
         return Model([], None, None, ones / n if n else 0.0)
-    learned = learn_stems(rows.where("_part < 5"))
-    fitted = materialize(features(rows.where("_part >= 5"), learned), "features").withColumn(
+    # A sample too small to show both classes in each part is used whole in every step.
+    enough = both(range(5)) and both(range(5, 8)) and both(range(8, 10))
+    part = F.col("_part")
+    found, grown, held_back = (part < 5, part.between(5, 7), part > 7) if enough else (F.lit(True),) * 3
+    learned = learn_stems(rows.where(found))
+    fitted = materialize(features(rows.where(grown | held_back), learned), "features").withColumn(
         "_features", array_to_vector("_features")
-    )
+    ).withColumn("_label", F.col("_label").cast("double"))
     trees = GBTClassifier(
         featuresCol="_features", labelCol="_label", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=7,
         predictionCol="_class", cacheNodeIds=False,
-    ).fit(fitted.where("_part < 8").withColumn("_label", F.col("_label").cast("double")))
-    held = trees.transform(fitted.where("_part >= 8").withColumn("_label", F.col("_label").cast("double")))
+    ).fit(fitted.where(grown))
+    held = trees.transform(fitted.where(held_back))
     calibration = IsotonicRegression(
         featuresCol="probability", featureIndex=1, labelCol="_label", predictionCol="_calibrated"
     ).fit(held.select("probability", "_label"))

@@ -29,7 +29,7 @@ GRAIN = 16
 END_ID = 2
 #: Column generation stops after this many new patterns (the solution so far is a valid packing).
 ROUNDS = 4_000
-CACHED_CHUNKS = 500_000
+CACHED_CHUNKS = 700_000
 LONGEST_CACHED = 48
 #: A sign that is a token of its own, put between words that are encoded together; words and characters at a time.
 MARK = "\x01"
@@ -76,8 +76,10 @@ class ChunkTokenizer:
         """
         if self.mark is None:
             return
-        lacking = {self._parts(c)[0] for c in set().union(*texts) if c and c not in self.chunks}
-        plain = [c for c in lacking if c not in self.chunks and MARK not in c and "<|" not in c]
+        new, older = self.chunks, self.chunks.older
+        unknown = [c for c in set().union(*texts).difference(new) if c and c not in older]
+        cores = {self._parts(c)[0] for c in unknown}
+        plain = [c for c in cores if c not in new and c not in older and MARK not in c and "<|" not in c]
         for at in range(0, len(plain), TOGETHER):
             some = plain[at : at + TOGETHER]
             ids = np.array(self.tokenizer.encode(f" {MARK} ".join(some), add_special_tokens=False).ids, dtype="<u4")

@@ -36,6 +36,12 @@ PAIRWISE = 24
 SHINGLE = 5
 SIMILARITY = 0.8
 SEEDS = 4
+#: Hashes in the lowest three tenths of their range are counted to find crowded shingles.
+FREQUENT_BELOW = -(1 << 63) + 3 * (1 << 64) // 10
+#: A round over crowded keys that leaves more than this share of their rows is the last.
+SLOW = 0.9
+#: Keeps products of the similarity and a count from being rounded past a whole number.
+SLACK = 1e-6
 
 
 def fingerprint(docs: DataFrame, shingle: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -162,43 +168,125 @@ def candidates(docs: DataFrame, seeds: int = SEEDS) -> DataFrame:
     return components(across.unionByName(equal)).withColumnRenamed("vertex", "_mark")
 
 
+def texts_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(_mark, text)`` with each different text once, and ``(_mark, _order)``: its place by smallest doc_id, null last."""
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("_mark").alias("mark"))
+    marked = docs.select("doc_id", _mark().alias("_mark"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = materialize(
+        marked.groupBy("_mark").agg(F.min(order).alias("_order"), F.count(F.lit(1)).alias("_copies")), "texts"
+    )
+    several = pin_small(rows.where("_copies > 1").select("_mark"))
+    texts = marked.select("_mark", "text")
+    once = texts.join(several, "_mark", "left_anti")
+    copied = texts.join(several, "_mark", "left_semi").groupBy("_mark").agg(F.any_value("text").alias("text"))
+    return once.unionByName(copied), rows.select("_mark", "_order")
+
+
+def with_grams(texts: DataFrame, shingle: int) -> DataFrame:
+    """Adds ``_grams``, the sorted hashes of a text's different shingles, for ``text``; without a word it is one 0."""
+    rest = [c for c in texts.columns if c != "text"]
+    rows = texts.select(*rest, text.words(text.lower_ascii(F.col("text"))).alias("_words"))
+    rows = rows.select(*rest, text.shingles(F.col("_words"), shingle).alias("_shingles"))
+    rows = rows.select(*rest, F.array_sort(F.array_distinct(F.transform("_shingles", lambda x: F.xxhash64(x)))).alias("_grams"))
+    return rows.withColumn("_grams", F.when(F.size("_grams") > 0, F.col("_grams")).otherwise(F.array(F.lit(0).cast("bigint"))))
+
+
+def prefix_postings(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``_key, _mark, _size, _members``: under which shingles texts meet; those of one member are left out.
+
+    Of n shingles in an order common to all texts, two texts of Jaccard similarity s share one of each one's first
+    n - ceil(s n) + 1. The order is that of the hashes, after which come the crowded ones below FREQUENT_BELOW, such as
+    those of lines that many texts repeat. Any order finds every pair; this one keeps the postings short.
+    """
+    low = F.filter("_grams", lambda x: x < F.lit(FREQUENT_BELOW))
+    spread = with_grams(texts, shingle).select("_mark", F.explode(low).alias("_key"))
+    often = spread.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > PAIRWISE).select("_key")
+    own = spread.join(pin_small(often), "_key").groupBy("_mark").agg(F.array_sort(F.collect_set("_key")).alias("_often"))
+    rows = with_grams(texts.join(pin_small(own), "_mark", "left"), shingle)
+    ordered = F.when(F.col("_often").isNull(), F.col("_grams")).otherwise(
+        F.concat(F.array_except("_grams", "_often"), F.col("_often"))
+    )
+    rows = rows.select("_mark", F.size("_grams").alias("_size"), ordered.alias("_ordered"))
+    first = F.col("_size") - F.ceil(F.col("_size") * similarity - SLACK).cast("int") + 1
+    posted = materialize(
+        rows.select("_mark", "_size", F.explode(F.slice("_ordered", F.lit(1), first)).alias("_key")), "prefixes"
+    )
+    return met(posted)
+
+
+def met(posted: DataFrame) -> DataFrame:
+    """Adds ``_members``, the rows of a key; keys of one row go."""
+    counts = posted.groupBy("_key").agg(F.count(F.lit(1)).alias("_members")).where("_members > 1")
+    return materialize(posted.drop("_members").join(counts, "_key"), "met")
+
+
+def pairs_of(posted: DataFrame, similarity: float) -> DataFrame:
+    """``u, v``: the texts that meet under a key and whose sizes allow the similarity."""
+    left = posted.select("_key", F.col("_mark").alias("u"), F.col("_size").alias("a"))
+    right = posted.select("_key", F.col("_mark").alias("v"), F.col("_size").alias("b"))
+    fits = F.least("a", "b") >= F.greatest("a", "b") * similarity - SLACK
+    return left.join(right, "_key").where((F.col("u") < F.col("v")) & fits).select("u", "v").distinct()
+
+
+def alike(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sets of shingles reach the similarity, as ``u, v`` with the earlier text as ``u``."""
+    heads = pin_small(known.join(pairs.select(F.col("u").alias("_mark")).distinct(), "_mark", "left_semi"))
+    heads = heads.select(F.col("_mark").alias("u"), F.col("_order").alias("a"), F.col("_grams").alias("x"))
+    tails = known.select(F.col("_mark").alias("v"), F.col("_order").alias("b"), F.col("_grams").alias("y"))
+    rows = pairs.join(tails, "v").join(heads, "u")
+    both = F.size(F.array_intersect("x", "y"))
+    rows = rows.where(both >= similarity * (F.size("x") + F.size("y") - both))
+    first = F.col("a") < F.col("b")
+    return rows.select(F.when(first, F.col("u")).otherwise(F.col("v")).alias("u"), F.when(first, F.col("v")).otherwise(F.col("u")).alias("v"))
+
+
+def without(rows: DataFrame, marks: DataFrame, *ends: str) -> DataFrame:
+    for end in ends:
+        rows = rows.join(marks.select(F.col("_mark").alias(end)), end, "left_anti")
+    return rows
+
+
 def resembling(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """``_mark``: texts that a kept text resembles, i.e. whose sets of word shingles have at least that Jaccard similarity.
+    """``_mark``: texts that an earlier kept text resembles, i.e. whose sets of word shingles have at least that Jaccard similarity.
 
-    Within each candidate component the text with the smallest doc_id (null last) leads; texts that resemble it go, the
-    rest choose a leader anew, until a round removes nothing. Each text is compared with its leader alone, so work grows with
-    the members, however many a component has. Texts without a word resemble each other.
+    Exact: each text that goes resembles a kept one with a smaller doc_id (null last), and no two kept texts resemble
+    each other. Texts without a word resemble each other. Texts that meet under a key of few members are compared
+    with each other. Under a crowded key (near copies of one text) each is compared with the first one alone, round
+    after round: the first of all it meets stays, those that resemble it go. Once a round decides few, the texts left
+    there are unlike, and are compared pair by pair.
     """
-    found = candidates(docs)
-    members = docs.select("doc_id", "text", _mark().alias("_mark")).join(found, "_mark")
-    members = members.withColumn("_words", text.words(text.lower_ascii(F.col("text"))))
-    members = members.withColumn("_shingles", text.shingles(F.col("_words"), shingle))
-    grams = F.array_distinct(F.transform("_shingles", lambda x: F.xxhash64(x)))
-    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("_mark").alias("mark"))
-    left = materialize(
-        members.select("component", "_mark", order.alias("_order"), grams.alias("_grams"))
-        .groupBy("component", "_mark").agg(F.min("_order").alias("_order"), F.first("_grams").alias("_grams")),
-        "members",
-    )
-    gone = []
-    while True:
-        leaders = left.groupBy("component").agg(F.min_by("_grams", "_order").alias("_of"), F.min("_order").alias("_leader"))
-        both = F.size(F.array_intersect("_grams", "_of"))
-        either = F.size("_grams") + F.size("_of") - both
-        judged = materialize(
-            left.join(leaders, "component")
-            .where(F.col("_order") != F.col("_leader"))
-            .select("component", "_mark", "_order", "_grams", ((either == 0) | (both >= similarity * either)).alias("_gone")),
-            "judged",
-        )
-        gone.append(judged.where("_gone").select("_mark"))
-        left = judged.where(~F.col("_gone")).drop("_gone")
-        if gone[-1].isEmpty() or left.isEmpty():
-            break
-    out = gone[0]
-    for more in gone[1:]:
-        out = out.unionByName(more)
-    return out
+    texts, order = texts_of(docs)
+    found = candidates(docs).select("_mark")
+    texts = texts.join(materialize(found, "candidates"), "_mark", "left_semi")
+    posted = prefix_postings(texts, shingle, similarity)
+    few = materialize(pairs_of(posted.where(F.col("_members") <= PAIRWISE), similarity), "pairs")
+    crowded = materialize(posted.where(F.col("_members") > PAIRWISE).join(order, "_mark"), "crowded")
+    needed = few.select(F.col("u").alias("_mark")).unionByName(few.select(F.col("v").alias("_mark")))
+    needed = materialize(needed.unionByName(crowded.select("_mark")).distinct(), "needed")
+    known = with_grams(texts.join(needed, "_mark", "left_semi"), shingle).join(order, "_mark")
+    known = materialize(known, "known")
+    edges = materialize(alike(few, known, similarity), "edges")
+    gone = edges.select(F.col("v").alias("_mark")).limit(0)
+    left = crowded.count()
+    while left or not edges.isEmpty():
+        firsts = pin_small(crowded.groupBy("_key").agg(F.min_by("_mark", "_order").alias("u")))
+        follow = crowded.join(firsts, "_key").where(F.col("_mark") != F.col("u"))
+        follow = materialize(follow.select("u", F.col("_mark").alias("v")).distinct(), "follow")
+        later = edges.select(F.col("v").alias("_mark")).unionByName(follow.select(F.col("v").alias("_mark")))
+        earlier = edges.select(F.col("u").alias("_mark")).unionByName(follow.select(F.col("u").alias("_mark")))
+        kept = materialize(earlier.distinct().join(later.distinct(), "_mark", "left_anti"), "kept")
+        heads = kept.select(F.col("_mark").alias("u"))
+        near = edges.join(heads, "u", "left_semi").unionByName(alike(follow.join(heads, "u", "left_semi"), known, similarity))
+        lost = materialize(near.select(F.col("v").alias("_mark")).distinct(), "lost")
+        gone = gone.unionByName(lost)
+        decided = kept.unionByName(lost)
+        edges = materialize(without(edges, decided, "u", "v"), "edges")
+        before, crowded = left, met(without(crowded, decided, "_mark"))
+        left = crowded.count()
+        if left > SLOW * before:
+            edges = materialize(edges.unionByName(alike(materialize(pairs_of(crowded, similarity), "pairs"), known, similarity)).distinct(), "edges")
+            crowded, left = crowded.limit(0), 0
+    return gone
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

@@ -131,3 +131,44 @@ def test_edited_copies_go(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     kept = {r["doc_id"] for r in neardup.one_of_each(df).collect()}
     assert set(range(60)) <= kept and len(kept & set(planted)) < 0.1 * len(planted)
+
+
+def greedy(texts):
+    """Ids that stay when each text goes that resembles an earlier kept one."""
+    kept = {}
+    for d, t in sorted(texts.items()):
+        g = grams(t or "")
+        if not any(len(g & k) >= 0.8 * len(g | k) for k in kept.values()):
+            kept[d] = g
+    return set(kept)
+
+
+def edited(rng, base, words, changes):
+    copy = list(base)
+    for at in rng.sample(range(len(copy)), changes):
+        copy[at] = rng.choice(words)
+    return copy
+
+
+def test_near_copies_beside_an_unlike_first_text(spark):
+    # Words of up to three letters weigh nothing: all word fingerprints are 0.
+    base = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    texts = {1: None, 2: " ".join(base), 3: " ".join([*base[:50], "zz", *base[51:]])}
+    df = spark.createDataFrame(sorted(texts.items()), "doc_id bigint, text string")
+    assert {r["doc_id"] for r in neardup.one_of_each(df).collect()} == greedy(texts) == {1, 2}
+
+
+def test_no_pair_is_kept_twice(spark, monkeypatch):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(1, 3))) for _ in range(400)]
+    texts = {i: " ".join(rng.choices(words, k=rng.choice([3, 6, 40]))) for i in range(500, 540)}
+    for group, changes in enumerate((1, 3, 5, 8)):
+        base = rng.choices(words, k=200)
+        for k in range(45):
+            texts[rng.randrange(1000 * group, 100_000)] = " ".join(edited(rng, base, words, rng.randint(0, changes)))
+    df = spark.createDataFrame(sorted(texts.items()), "doc_id bigint, text string")
+    want = greedy(texts)
+    assert 40 < len(want) < len(texts) - 40
+    for most in (1, 24):
+        monkeypatch.setattr(neardup, "PAIRWISE", most)
+        assert {r["doc_id"] for r in neardup.one_of_each(df).collect()} == want

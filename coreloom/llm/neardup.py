@@ -32,10 +32,9 @@ RADIUS = 2
 KEY_POSITIONS = 4
 #: Members of one key that are compared pair by pair; keys with more take the one-bit postings.
 PAIRWISE = 24
-#: Stage on shingles: words of a shingle, least Jaccard similarity, and number of word fingerprints that find candidates.
+#: Stage on shingles: words of a shingle and least Jaccard similarity.
 SHINGLE = 5
 SIMILARITY = 0.8
-SEEDS = 4
 #: Hashes in the lowest three tenths of their range are counted to find crowded shingles.
 FREQUENT_BELOW = -(1 << 63) + 3 * (1 << 64) // 10
 #: A round over crowded keys that leaves more than this share of their rows is the last.
@@ -139,35 +138,6 @@ def _mark() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
-def candidates(docs: DataFrame, seeds: int = SEEDS) -> DataFrame:
-    """``_mark, component``: different texts that one of several word fingerprints links to others.
-
-    A text near another in five-word shingles may differ from it in many bits of a shingle
-    fingerprint, but in few of a fingerprint of its words, weighted by their length beyond three letters. ``seeds``
-    such fingerprints with hashes of their own go through the index; their links are joined.
-    """
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("_row"), _mark().alias("_mark"),
-        text.words(text.lower_ascii(F.col("text"))).alias("_words"),
-    )
-    terms = rows.select("_row", "_mark", F.explode_outer("_words").alias("_word"))
-    terms = terms.select("_row", "_mark", "_word", F.explode(F.lit(list(range(seeds)))).alias("seed"))
-    weight = F.coalesce(F.greatest(F.char_length("_word") - 3, F.lit(0)), F.lit(0)).cast("bigint")
-    votes = terms.select(
-        "_row", "_mark", "seed", F.xxhash64("_word", "seed").alias("_hash"), weight.alias("_weight")
-    ).groupBy("_row", "_mark", "seed").agg(*simhash.vote_sums(F.col("_hash"), F.col("_weight")))
-    prints = materialize(
-        votes.select("_mark", "seed", simhash.majority().alias("fingerprint")).distinct(), "word-prints"
-    )
-    firsts = materialize(prints.groupBy("seed", "fingerprint").agg(F.min("_mark").alias("_first")), "word-classes")
-    linked = links(firsts.select("seed", "fingerprint"), ("seed",))
-    left = firsts.select("seed", F.col("fingerprint").alias("u"), F.col("_first").alias("a"))
-    right = firsts.select("seed", F.col("fingerprint").alias("v"), F.col("_first").alias("b"))
-    across = linked.join(left, ["seed", "u"]).join(right, ["seed", "v"]).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    equal = prints.join(firsts, ["seed", "fingerprint"]).select(F.col("_mark").alias("u"), F.col("_first").alias("v"))
-    return components(across.unionByName(equal)).withColumnRenamed("vertex", "_mark")
-
-
 def texts_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(_mark, text)`` with each different text once, and ``(_mark, _order)``: its place by smallest doc_id, null last."""
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("_mark").alias("mark"))
@@ -183,11 +153,11 @@ def texts_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def with_grams(texts: DataFrame, shingle: int) -> DataFrame:
-    """Adds ``_grams``, the sorted hashes of a text's different shingles, for ``text``; without a word it is one 0."""
+    """Adds ``_grams``, the hashes of a text's different shingles, for ``text``; without a word it is one 0."""
     rest = [c for c in texts.columns if c != "text"]
     rows = texts.select(*rest, text.words(text.lower_ascii(F.col("text"))).alias("_words"))
     rows = rows.select(*rest, text.shingles(F.col("_words"), shingle).alias("_shingles"))
-    rows = rows.select(*rest, F.array_sort(F.array_distinct(F.transform("_shingles", lambda x: F.xxhash64(x)))).alias("_grams"))
+    rows = rows.select(*rest, F.array_distinct(F.transform("_shingles", lambda x: F.xxhash64(x))).alias("_grams"))
     return rows.withColumn("_grams", F.when(F.size("_grams") > 0, F.col("_grams")).otherwise(F.array(F.lit(0).cast("bigint"))))
 
 
@@ -199,12 +169,12 @@ def prefix_postings(texts: DataFrame, shingle: int, similarity: float) -> DataFr
     those of lines that many texts repeat. Any order finds every pair; this one keeps the postings short.
     """
     low = F.filter("_grams", lambda x: x < F.lit(FREQUENT_BELOW))
-    spread = with_grams(texts, shingle).select("_mark", F.explode(low).alias("_key"))
+    spread = materialize(with_grams(texts, shingle).select("_mark", F.explode(low).alias("_key")), "low")
     often = spread.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > PAIRWISE).select("_key")
-    own = spread.join(pin_small(often), "_key").groupBy("_mark").agg(F.array_sort(F.collect_set("_key")).alias("_often"))
+    own = spread.join(pin_small(often), "_key").groupBy("_mark").agg(F.sort_array(F.collect_set("_key")).alias("_often"))
     rows = with_grams(texts.join(pin_small(own), "_mark", "left"), shingle)
-    ordered = F.when(F.col("_often").isNull(), F.col("_grams")).otherwise(
-        F.concat(F.array_except("_grams", "_often"), F.col("_often"))
+    ordered = F.when(F.col("_often").isNull(), F.sort_array("_grams")).otherwise(
+        F.concat(F.sort_array(F.array_except("_grams", "_often")), F.col("_often"))
     )
     rows = rows.select("_mark", F.size("_grams").alias("_size"), ordered.alias("_ordered"))
     first = F.col("_size") - F.ceil(F.col("_size") * similarity - SLACK).cast("int") + 1
@@ -256,8 +226,6 @@ def resembling(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMI
     there are unlike, and are compared pair by pair.
     """
     texts, order = texts_of(docs)
-    found = candidates(docs).select("_mark")
-    texts = texts.join(materialize(found, "candidates"), "_mark", "left_semi")
     posted = prefix_postings(texts, shingle, similarity)
     few = materialize(pairs_of(posted.where(F.col("_members") <= PAIRWISE), similarity), "pairs")
     crowded = materialize(posted.where(F.col("_members") > PAIRWISE).join(order, "_mark"), "crowded")

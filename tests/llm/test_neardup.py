@@ -172,3 +172,18 @@ def test_no_pair_is_kept_twice(spark, monkeypatch):
     for most in (1, 24):
         monkeypatch.setattr(neardup, "PAIRWISE", most)
         assert {r["doc_id"] for r in neardup.one_of_each(df).collect()} == want
+
+
+def test_copies_just_beyond_the_similarity_go(spark):
+    rng = random.Random(13)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(4000)]
+    texts = {}
+    for i in range(40):
+        base = rng.choices(words, k=300)
+        texts[i] = " ".join(base)
+        texts[100 + i] = " ".join(edited(rng, base, words, 6))
+    sets = {d: grams(t) for d, t in texts.items()}
+    near = [len(sets[i] & sets[100 + i]) / len(sets[i] | sets[100 + i]) for i in range(40)]
+    assert sum(0.8 <= j <= 0.85 for j in near) >= 30
+    df = spark.createDataFrame(sorted(texts.items()), "doc_id bigint, text string")
+    assert {r["doc_id"] for r in neardup.one_of_each(df).collect()} == greedy(texts)

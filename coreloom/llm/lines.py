@@ -13,11 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coreloom.llm.registry import query, table
+from coreloom.llm.text import words
 from coreloom.operators.bounded import pin_small
 
 #: A line goes if more than this share of its host's pages have it, and at least MIN_PAGES of them.
 RATIO = 0.1
 MIN_PAGES = 5
+#: Documents of a large mixed source: the share of its different texts by the least number of words of the line.
+#: Short lines repeat by chance, long ones never do. Shares are from sf0.1 (README).
+DOCUMENT_RATIOS = ((0, 0.02), (4, 0.01), (20, 0.001))
 
 #: What is taken out of a page, and which tags end a line.
 HIDDEN = r"(?is)<!--.*?-->|<script.*?</script>|<style.*?</style>"
@@ -73,11 +77,32 @@ def without_boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int =
     )
 
 
-def clean_documents(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def document_boilerplate(docs: DataFrame, ratios: tuple[tuple[int, float], ...], min_pages: int) -> DataFrame:
+    """Like :func:`boilerplate`, counting different texts (``_mark``), with the ratio of the line's number of words.
+
+    Copies of a text count once, so that a text that is copied often does not lose its lines in all copies.
+    """
+    totals = docs.groupBy("_host").agg(F.count_distinct("_mark").alias("_pages"))
+    lines = F.array_distinct(
+        F.transform("_lines", lambda x: F.struct(F.unhex(F.md5(x)).alias("sum"), F.size(words(x)).alias("words")))
+    )
+    found = docs.select("_host", "_mark", F.explode(lines).alias("_l"))
+    found = found.select("_host", "_mark", F.col("_l.sum").alias("_line"), F.col("_l.words").alias("_words"))
+    counted = found.groupBy("_host", "_line", "_words").agg(F.count_distinct("_mark").alias("_with"))
+    often = counted.where(F.col("_with") >= min_pages).join(pin_small(totals), "_host")
+    ratio = F.lit(None).cast("double")
+    for least, share in sorted(ratios):
+        ratio = F.when(F.col("_words") >= least, F.lit(share)).otherwise(ratio)
+    return often.where(F.col("_with") > F.col("_pages") * ratio).groupBy("_host").agg(
+        F.collect_list("_line").alias("_dropped")
+    )
+
+
+def clean_documents(docs: DataFrame, ratio: float | None = None, min_pages: int = MIN_PAGES) -> DataFrame:
     """``docs`` with boilerplate lines of their ``source`` taken out of ``text``; ``n_chars`` follows.
 
-    Blank lines are no lines: they stay where they are. Null texts and sources stay null (null sources
-    are one group).
+    ``ratio`` holds for all lines; without it DOCUMENT_RATIOS do. Blank lines are no lines: they stay where they
+    are. Null texts and sources stay null (null sources are one group).
     """
     names = docs.columns
     inner = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], "source", "text")
@@ -85,11 +110,13 @@ def clean_documents(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_
         *[f"c{i}" for i in range(len(names))],
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_host"),
         F.split("text", "\n").alias("_all"),
+        F.xxhash64("text").alias("_mark"),
     )
     lined = split.withColumn(
         "_lines", F.filter(F.coalesce("_all", F.array().cast("array<string>")), lambda x: F.trim(x) != "")
     )
-    lists = pin_small(boilerplate(lined, ratio, min_pages))
+    ratios = DOCUMENT_RATIOS if ratio is None else ((0, ratio),)
+    lists = pin_small(document_boilerplate(lined, ratios, min_pages))
     joined = lined.join(lists, "_host", "left").withColumn(
         "_dropped", F.coalesce("_dropped", F.array().cast("array<binary>"))
     )

@@ -29,3 +29,19 @@ def test_odd_pages(spark):
     )
     got = pages.select("page_id", lines.host(pages.url).alias("h"), lines.visible_lines(pages.html).alias("l")).collect()
     assert [tuple(r) for r in got] == [(1, "", []), (2, "a.com", ["One", "Two x"]), (2, "a.com", []), (None, "", ["text"])]
+
+
+def test_default_shares_of_a_large_source(spark):
+    medium, long = "one line of some six words", " ".join(f"word{i}" for i in range(25))
+    rare = " ".join(f"rare{i}" for i in range(25))
+    texts = [f"own text number {i}\nlast {i}" for i in range(1000)]
+    for i in range(15):
+        texts[i] += f"\n{medium}\nYes."
+    for i in range(100, 106):
+        texts[i] += f"\n{long}"
+    for i in range(200, 203):
+        texts[i] += f"\n{rare}"
+    texts += ["a text of many words that is copied\nwhole and often"] * 40
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    out = {r["doc_id"]: r["text"] for r in lines.clean_documents(docs).collect()}
+    assert out == {i: t.replace(f"\n{medium}", "").replace(f"\n{long}", "") for i, t in enumerate(texts)}

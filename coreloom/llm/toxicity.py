@@ -112,6 +112,18 @@ def _marker(lexicon: frozenset, learned: frozenset, second: frozenset):
     return mark
 
 
+def excess(found: list[str]) -> tuple[int, int, int, int]:
+    """Capitals, signs, exclamations and characters of the words beyond what their marks can hold."""
+    out = [0, 0, 0, 0]
+    if max(map(len, found), default=0) > 255:
+        for word in found:
+            if len(word) > 255:
+                counts = sum(map(str.isupper, word)), len(word) - sum(map(str.isalnum, word)), word.count("!") + word.count("?")
+                for i, (count, most) in enumerate(zip((*counts, len(word)), (255, 255, 255, 65535))):
+                    out[i] += max(0, count - most)
+    return tuple(out)
+
+
 _MARKS: dict[tuple, _Cache] = {}
 
 
@@ -123,8 +135,8 @@ def _marks(sets: tuple[frozenset, frozenset, frozenset]) -> _Cache:
     return _MARKS[sets]
 
 
-def row_features(marks: np.ndarray) -> list[float]:
-    """FEATURES of a text from the marks of its words; a text without words is all zeros."""
+def row_features(marks: np.ndarray, beyond: tuple[int, int, int, int] = (0, 0, 0, 0)) -> list[float]:
+    """FEATURES of a text from the marks of its words and their :func:`excess`; a text without words is all zeros."""
     n = len(marks)
     if not n:
         return [0.0] * len(FEATURES)
@@ -140,11 +152,12 @@ def row_features(marks: np.ndarray) -> list[float]:
         )
         near = int((gap <= NEAR_WORDS).sum())
     hidden = (marks >> 4 & 1).astype(bool)
-    chars = max(1, int((marks >> 32).sum()))
+    upper, signs, exclaims, more = beyond
+    chars = max(1, int((marks >> 32).sum()) + more)
     return [
         listed.sum() / n, learned.sum() / n, np.log1p(listed.sum()), np.log1p(learned.sum()), second.sum() / n, near / n,
-        int((marks >> 8 & 255).sum()) / chars, (marks >> 3 & 1).sum() / n, (marks >> 24 & 255).sum() / n,
-        int((marks >> 16 & 255).sum()) / chars, hidden.sum() / n, (hidden & hits).sum() / n, np.log1p(n),
+        (int((marks >> 8 & 255).sum()) + upper) / chars, (marks >> 3 & 1).sum() / n, (int((marks >> 24 & 255).sum()) + exclaims) / n,
+        (int((marks >> 16 & 255).sum()) + signs) / chars, hidden.sum() / n, (hidden & hits).sum() / n, np.log1p(n),
     ]
 
 
@@ -161,7 +174,8 @@ def features(docs: DataFrame, learned: list[str], lexicon=tuple(LEXICON), text:
             rows = []
             for value in batch.column(len(names)):
                 found = words(value.as_py())
-                rows.append(row_features(np.fromiter(map(cache.__getitem__, found), np.int64, len(found))))
+                marks = np.fromiter(map(cache.__getitem__, found), np.int64, len(found))
+                rows.append(row_features(marks, excess(found)))
             column = pa.array([list(map(float, r)) for r in rows], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], column], [*inner, "features"])
 

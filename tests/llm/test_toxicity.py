@@ -53,3 +53,11 @@ def test_second_person_near():
     near = np.array([mark(w) for w in ("x " * 30 + "you idiot").split()])
     at = toxicity.FEATURES.index("near_second")
     assert toxicity.row_features(far)[at] == 0 and toxicity.row_features(near)[at] > 0
+
+
+def test_long_words_count_whole(spark):
+    texts = ["A" * 10_000, "a" * 70_000 + " " + "!" * 70_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = {r["doc_id"]: dict(zip(toxicity.FEATURES, r["_features"])) for r in toxicity.features(docs, []).collect()}
+    assert rows[0]["capitals"] == 1.0 and rows[0]["punctuation"] == 0
+    assert rows[1]["capitals"] == 0 and rows[1]["punctuation"] == 0.5 and rows[1]["exclaims"] == 35_000

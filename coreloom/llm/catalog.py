@@ -2,12 +2,15 @@
 
 from coreloom.llm import (  # noqa: F401
     chat,
+    exact,
     fingerprints,
     lines,
     neardup,
+    negatives,
     packing,
     pieces,
     quality,
+    search,
     sharding,
     toxicity,
     warc,

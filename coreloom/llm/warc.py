@@ -23,17 +23,18 @@ from pyspark.sql import functions as F
 
 from coreloom.llm.registry import query, table
 from coreloom.operators.bounded import pin_small
-from coreloom.session import scratch_path
+from coreloom.session import materialize, scratch_path
 
 CRLF = "\r\n"
 #: Payloads of fewer bytes are always stored in full.
 MIN_REVISIT_BYTES = 0
-#: Records of one archive file. A file is read back by one task, which holds its bytes.
-RECORDS_PER_ARCHIVE = 2_000
+#: One task reads a file back and holds its bytes, so payloads of different sizes go to files of their own: up to so many
+#: bytes each, so many records a file. Longer ones share a file as long as they stay below ARCHIVE_BYTES together.
+SIZES = ((128 << 10, 2_000), (4 << 20, 64))
+ARCHIVE_BYTES = 256 << 20
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
-#: Where a record may begin: a version line at a line start, or a gzip member.
-CANDIDATE = re.compile(rb"(?:(?<=\n)|\A)WARC/1\.[01]\r\n|\x1f\x8b\x08")
-LONGEST_HEADER = 1 << 20
+#: Where a record may begin: any version line (junk or a cut record may stand before it on the same line), or a gzip member.
+CANDIDATE = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 
 
 def base32_sha1(data: Column) -> Column:
@@ -56,7 +57,8 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYT
 
     Of rows with equal payloads of at least ``min_bytes``, those with the smallest page_id become responses and the
     others revisits that refer to it; null ids come last. Null html is an empty payload. The smallest ids
-    come from a grouped minimum over digests, broadcast if small by a checked size, else joined.
+    come from a grouped minimum over digests, broadcast if small by a checked size, else joined. Files are bounded by
+    records and bytes (SIZES, ARCHIVE_BYTES); only a single longer record makes a larger one.
     """
     rows = pages.select(
         F.col("page_id").cast("bigint").alias("page_id"),
@@ -90,18 +92,21 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYT
             ("WARC-Block-Digest", F.concat(F.lit("sha1:"), base32_sha1(F.col("block").cast("binary")))),
             ("WARC-Refers-To", F.when(F.col("revisit"), F.concat(F.lit("<urn:x-page:"), F.col("first").cast("string"), F.lit(">")))),
             ("WARC-Profile", F.when(F.col("revisit"), F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
-            ("X-Payload-Length", F.col("bytes").cast("string")),
             ("Content-Type", F.lit("application/http; msgtype=response")),
             ("Content-Length", F.octet_length("block").cast("string")),
         ],
         F.col("block"),
     )
-    (
-        rows.select(record.alias("value"))
-        .write.option("lineSep", CRLF + CRLF)
-        .option("maxRecordsPerFile", RECORDS_PER_ARCHIVE)
-        .text(path)
-    )
+    stored = F.when(F.col("revisit"), F.lit(0)).otherwise(F.col("bytes")) + F.coalesce(F.octet_length("url"), F.lit(0))
+    rows = rows.select(record.alias("value"), stored.alias("stored"))
+    sizes = pages.select((F.coalesce(F.octet_length("html"), F.lit(0)) + F.coalesce(F.octet_length("url"), F.lit(0))).alias("size"))
+    longest = sizes.agg(F.max("size")).first()[0] or 0
+    above = -1
+    for k, (most, records) in enumerate((*SIZES, (longest, max(1, ARCHIVE_BYTES // max(1, longest))))):
+        if k == 0 or longest > above:
+            some = rows.where((F.col("stored") > above) & (F.col("stored") <= most)).select("value")
+            some.write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", records).text(f"{path}/size{k}")
+        above = max(above, most)
 
 
 class Damaged(ValueError):
@@ -114,21 +119,32 @@ def _sha1(data: bytes) -> str:
 
 def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     """Headers, block and end of the record at ``at``; Damaged if any check fails."""
-    if not VERSION.match(data, at):
+    version = VERSION.match(data, at)
+    if not version:
         raise Damaged("no version line")
-    head = data.find(b"\r\n\r\n", at, at + LONGEST_HEADER)
-    if head < 0:
-        raise Damaged("headers do not end")
     headers: dict[str, str] = {}
-    for line in data[at:head].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
+    here, name = version.end(), ""
+    while True:  # a false start ends at the next version line at the latest, since that line is no header
+        stop = data.find(b"\r\n", here)
+        if stop < 0:
+            raise Damaged("headers do not end")
+        line, here = data[here:stop], stop + 2
+        if not line:
+            break
+        if line[:1] in (b" ", b"\t") and name:
+            headers[name] += " " + line.strip().decode("utf-8", "replace")
+            continue
+        title, colon, value = line.partition(b":")
         if not colon:
             raise Damaged("bad header line")
-        headers[name.strip().decode("utf-8", "replace").lower()] = value.strip().decode("utf-8", "replace")
+        name = title.strip().decode("utf-8", "replace").lower()
+        if name in headers and name != "warc-concurrent-to":  # the one field that may repeat
+            raise Damaged("a header repeats: two records run into each other")
+        headers[name] = value.strip().decode("utf-8", "replace")
     length = headers.get("content-length", "")
     if not re.fullmatch(r"[0-9]{1,18}", length):
         raise Damaged("no length")
-    start = head + 4
+    start = here
     end = start + int(length)
     if data[end : end + 4] != b"\r\n\r\n":
         raise Damaged("block is cut or its length is wrong")
@@ -203,9 +219,9 @@ def _payload(headers: dict[str, str], block: bytes) -> bytes:
 def read_archives(spark, path: str, payloads: bool = True) -> DataFrame:
     """Records and gaps of every file below ``path`` (``gap`` is null for records).
 
-    ``path, start, end`` say where; for records also type, ids, payload digest (from the
-    headers; computed from the payload for responses), full payload length and, if ``payloads``, the
-    payload. One task reads a whole file. A response whose payload does not fit its stated digest is a gap.
+    ``path, start, end`` say where; for records also type, ids, payload digest, payload length and, if ``payloads``, the
+    payload. Digest and length are computed from the payload; a revisit has the digest its headers state and no
+    length (see :func:`resolved`). One task reads a whole file. A response whose payload does not fit its stated digest is a gap.
     """
     import pyarrow as pa
 
@@ -241,7 +257,7 @@ def read_archives(spark, path: str, payloads: bool = True) -> DataFrame:
                         warc_type=what.get("warc-type"), record_id=what.get("warc-record-id"),
                         refers_to=what.get("warc-refers-to"), target_uri=what.get("warc-target-uri"),
                         payload_digest=(_sha1(body) if full else told).removeprefix("sha1:"),
-                        payload_length=len(body) if full else int(what.get("x-payload-length") or 0),
+                        payload_length=len(body) if full else None,
                         payload=body if payloads and full else None,
                     )
             yield row
@@ -254,6 +270,23 @@ def read_archives(spark, path: str, payloads: bool = True) -> DataFrame:
     return files.mapInArrow(read, FOUND)
 
 
+def resolved(found: DataFrame) -> DataFrame:
+    """Records of :func:`read_archives` with each revisit's payload length taken from the response it refers to.
+
+    The response must have the id the revisit refers to and the digest it states; if it is lost, the length stays null. Responses that are
+    referred to are broadcast if small by a checked size, else joined. ``found`` is read twice: pass a written table.
+    """
+    revisit = F.coalesce(F.col("warc_type") == "revisit", F.lit(False))
+    same = ["refers_to", "payload_digest"]
+    asked = found.where(revisit).select(*same).distinct()
+    stored = found.where(~revisit).groupBy(F.col("record_id").alias("refers_to"), "payload_digest").agg(
+        F.max("payload_length").alias("stored_length")
+    )
+    told = pin_small(stored.join(asked, same, "left_semi"))
+    length = F.when(revisit, F.col("stored_length")).otherwise(F.col("payload_length"))
+    return found.join(told, same, "left").withColumn("payload_length", length).select(*found.columns)
+
+
 def round_trip(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """Write ``pages`` below ``path`` and describe what the reader finds there, one row per record.
 
@@ -261,7 +294,8 @@ def round_trip(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES)
     each; an empty table writes no record.
     """
     write_archives(pages, path, min_bytes)
-    found = read_archives(pages.sparkSession, path, payloads=False).where("gap IS NULL")
+    found = read_archives(pages.sparkSession, path, payloads=False).where("gap IS NULL").drop("target_uri", "payload", "gap")
+    found = resolved(materialize(found, "records"))
 
     def page(column: str) -> Column:
         return F.expr(f"try_cast(regexp_extract({column}, '^<urn:x-page:(-?[0-9]+)>$', 1) AS bigint)")

@@ -35,9 +35,9 @@ def test_salvage(pack):
     spoilt[ends[1] + len(parts[2]) // 2] ^= 0xFF
     ids, gaps = found(bytes(spoilt))
     assert ids == ["0", "1", "3", "4"] and gaps == [(ends[1], ends[2])]
-    junk = whole[: ends[0]] + b"\x00junk WARC/1.1 \x1f\x8b\x08more" + whole[ends[0] :]
-    ids, gaps = found(junk)
-    assert ids == ["0", "1", "2", "3", "4"] and gaps == [(ends[0], ends[0] + 26)]
+    junk = b"\x00junk WARC/1.1 \x1f\x8b\x08more"
+    ids, gaps = found(whole[: ends[0]] + junk + whole[ends[0] :])
+    assert ids == ["0", "1", "2", "3", "4"] and gaps == [(ends[0], ends[0] + len(junk))]
     ids, gaps = found(whole[:-6])
     assert ids == ["0", "1", "2", "3"] and gaps == [(ends[3], len(whole) - 6)]
     ids, gaps = found(whole[5:])
@@ -45,6 +45,27 @@ def test_salvage(pack):
     assert found(b"") == ([], []) and found(b"nothing here") == ([], [(0, 12)])
 
 
+def test_salvage_finds_records_that_no_line_feed_precedes():
+    parts = [record(n, b"payload %d" % n) for n in range(4)]
+    ends = [sum(map(len, parts[: k + 1])) for k in range(4)]
+    glued = parts[0] + parts[1][:-4] + parts[2] + parts[3]  # the second record lost its closing blank lines
+    assert found(glued) == (["0", "2", "3"], [(ends[0], ends[1] - 4)])
+    cut = parts[0] + parts[1][: len(parts[1]) // 2] + parts[2] + parts[3]
+    assert found(cut) == (["0", "2", "3"], [(ends[0], ends[0] + len(parts[1]) // 2)])
+    wrong = parts[1].replace(b"Content-Length: ", b"Content-Length: 9")
+    assert found(parts[0] + wrong + parts[2]) == (["0", "2"], [(ends[0], ends[0] + len(wrong))])
+    false = b"WARC/1.1\r\n" * 2000
+    assert found(false + parts[0]) == (["0"], [(0, len(false))])
+
+
+def test_long_and_folded_headers():
+    uri = "http://host/" + "a" * (2 << 20)
+    part = record(1, b"x").replace(b"Content-Type", f"WARC-Target-URI: {uri}\r\nX-Note: one\r\n two\r\nContent-Type".encode())
+    kinds = list(warc.salvage(part + record(2, b"y")))
+    assert [k[0] for k in kinds] == ["record", "record"]
+    assert kinds[0][3]["warc-target-uri"] == uri and kinds[0][3]["x-note"] == "one two"
+
+
 def test_every_byte_is_in_a_record_or_a_gap():
     rng = random.Random(4)
     parts = [gzip.compress(record(n, bytes(rng.choices(range(256), k=60)))) if n % 2 else record(n, b"p" * n) for n in range(12)]
@@ -77,7 +98,8 @@ def want(rows, least=0):
 
 
 def test_round_trip(spark, sf, tmp_path, monkeypatch):
-    monkeypatch.setattr(warc, "RECORDS_PER_ARCHIVE", 7)
+    monkeypatch.setattr(warc, "SIZES", ((900, 7), (1200, 3)))
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 4000)
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     got = warc.round_trip(pages, str(tmp_path / "a"))
     assert sorted(map(str, map(tuple, got.collect()))) == want([(r["page_id"], r["html"]) for r in pages.collect()])
@@ -92,11 +114,24 @@ def test_odd_pages(spark, tmp_path):
     assert warc.round_trip(pages.limit(0), str(tmp_path / "c")).count() == 0
 
 
+def test_long_url_and_revisits_of_other_writers(spark, tmp_path):
+    long_url = "http://h/" + "p" * (2 << 20)
+    pages = spark.createDataFrame([(1, long_url, "one"), (2, "u", "one"), (3, None, "z" * (5 << 20))], "page_id bigint, url string, html string")
+    warc.write_archives(pages, str(tmp_path / "f"))
+    assert len({p.parent for p in (tmp_path / "f").glob("*/part-*")}) == 3
+    found = warc.read_archives(spark, str(tmp_path / "f"))
+    assert sorted((r["record_id"], r["payload_length"]) for r in warc.resolved(found).collect()) == [
+        ("<urn:x-page:1>", 3), ("<urn:x-page:2>", 3), ("<urn:x-page:3>", 5 << 20)
+    ]
+    lost = warc.resolved(found.where("warc_type = 'revisit'")).collect()
+    assert [r["payload_length"] for r in lost] == [None]
+
+
 def test_damaged_file_on_disk(spark, tmp_path):
     pages = spark.createDataFrame([(i, "u", f"payload {i}") for i in range(20)], "page_id bigint, url string, html string").coalesce(1)
     warc.write_archives(pages, str(tmp_path / "d"))
     (tmp_path / "e").mkdir()
-    for part in (tmp_path / "d").glob("part-*"):
+    for part in (tmp_path / "d").glob("*/part-*"):
         data = part.read_bytes().replace(b"payload 7", b"payl#ad 7")
         (tmp_path / "e" / "x.warc").write_bytes(data)
     rows = warc.read_archives(spark, str(tmp_path / "e")).collect()

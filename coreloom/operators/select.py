@@ -7,16 +7,21 @@ import math
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coreloom.functions.scalars import entropy, euclidean, hash_order
-from coreloom.operators.bounded import pin_small
+from coreloom.functions.scalars import entropy, euclidean
+from coreloom.operators.bounded import join_summary, pin_small
 from coreloom.operators.ranks import exact_quantiles
-from coreloom.operators.split import largest_remainder
 from coreloom.session import materialize
 
 NESTED_ROUNDS = 5
+#: Steps that divide a cell further, and centres that a row meets in one step.
+DIVIDING_ROUNDS = 2
+FAN = 20
+#: Features up to which distances are written out, and means taken feature by feature.
+WRITTEN_OUT = 8
+AVERAGED = 128
 
 
 def with_entropy(df: DataFrame, probs: str = "probability") -> DataFrame:
@@ -56,7 +61,11 @@ def nearest_to_center(assigned: DataFrame, centers: DataFrame, key: str = "row_i
     a cluster without rows simply has no output.
     """
     rows = assigned.join(pin_small(centers), "cluster")
-    rows = rows.withColumn("distance", euclidean(F.col("features"), F.col("center"))).drop("center")
+    return closest(rows.withColumn("distance", euclidean(F.col("features"), F.col("center"))).drop("center"), key)
+
+
+def closest(rows: DataFrame, key: str = "row_id") -> DataFrame:
+    """Per ``cluster`` the row of least ``distance``, the smaller key on equal distance."""
     whole = F.struct(*[c for c in rows.columns if c != "cluster"])
     picked = rows.groupBy("cluster").agg(F.min_by(whole, F.struct("distance", key)).alias("_r"))
     return picked.select("cluster", "_r.*")
@@ -98,8 +107,7 @@ def kmeans_core_set(
         model, assigned = fit_kmeans(df, k, seed)
         picked = nearest_to_center(assigned, center_table(model, df.sparkSession), key)
     elif method == "nested":
-        assigned, centers = nested_clusters(df, k, seed, key)
-        picked = nearest_to_center(assigned, centers, key)
+        picked = closest(nested_clusters(df, k, seed, key)[0], key)
     else:
         raise ValueError(f"unknown method {method}")
     rest = [c for c in picked.columns if c not in ("cluster", "distance")]
@@ -109,36 +117,109 @@ def kmeans_core_set(
 def nested_clusters(
     df: DataFrame, k: int, seed: int = 42, key: str = "row_id", rounds: int = NESTED_ROUNDS
 ) -> tuple[DataFrame, DataFrame]:
-    """``(rows with cluster, centres)`` of about sqrt(k) clusters with about sqrt(k) clusters in each.
+    """``(rows with cluster and distance, centres)`` of about ``k`` clusters, found down a tree of cells.
+
+    Every cell has a quota of clusters. As long as some cell's quota is above FAN, such cells are divided into at most
+    FAN cells by a few Lloyd steps, and the quota goes to them by largest remainder, one at least; then every cell is clustered into its quota by
+    ``rounds`` steps. All cells take a step at once, and a row meets at most FAN centres, whatever ``k`` is and however the rows
+    are spread: a cell with a third of them is divided more often, and one of equal rows is one cluster. Means are
+    combined before they shuffle. Equal rows always share a cluster.
+    """
+    width = df.agg(F.max(F.size("features"))).first()[0] or 0
+    rows = materialize(df.repartition(key).withColumn("cell", F.lit(0).cast("bigint")), "cells")
+    whole = rows.agg(F.count(F.lit(1)).alias("size"), _one_point().alias("point"))
+    quota = F.when(F.col("point"), 1).otherwise(F.least(F.lit(k), F.col("size")))
+    cells = materialize(whole.select(F.lit(0).cast("bigint").alias("cell"), "size", quota.cast("bigint").alias("quota")), "quotas")
+    tables, quotas, level = [rows], [cells], 0
+    while (cells.agg(F.max("quota")).first()[0] or 0) > FAN:
+        crowded = cells.where(F.col("quota") > FAN)
+        # as few levels as FAN allows, each dividing by about the same number
+        depth = F.ceil(F.log("quota") / math.log(FAN) - 1e-9)
+        parts = F.greatest(F.lit(2), F.least(F.lit(FAN), F.ceil(F.pow("quota", 1.0 / depth) - 1e-9)))
+        divided, _ = _lloyd(rows, crowded, parts, width, DIVIDING_ROUNDS, seed + level, key)
+        rows = materialize(divided.withColumn("cell", _below()).drop("slot", "distance"), "cells")
+        cells = materialize(_shared_quotas(rows, crowded), "quotas")
+        tables, quotas, level = [*tables, rows], [*quotas, cells], level + 1
+    # rows of divided cells meet no quota below and drop out of these
+    for table, quota in zip(tables[:-1], quotas[:-1]):
+        rows, cells = rows.unionByName(table), cells.unionByName(quota)
+    cells = cells.where(F.col("quota") <= FAN)
+    assigned, centers = _lloyd(rows, cells, F.col("quota"), width, rounds, seed + level, key)
+    cluster = _below().alias("cluster")
+    return assigned.withColumn("cluster", _below()).drop("cell", "slot"), centers.select(cluster, "center")
+
+
+def _below() -> Column:
+    """The number of a cell's part: those of one cell follow each other, and no two cells of any level share one."""
+    return F.col("cell") * FAN + F.col("slot") + 1
+
+
+def _one_point() -> Column:
+    return F.coalesce(F.min("features") == F.max("features"), F.lit(False))
+
+
+def _shared_quotas(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """``cell, size, quota`` of the divided cells: the old cell's quota by largest remainder, one at least."""
+    inside = Window.partitionBy("parent")
+    new = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), _one_point().alias("point"))
+    new = new.withColumn("parent", F.floor((F.col("cell") - 1) / FAN))
+    old = cells.select(F.col("cell").alias("parent"), F.col("quota").alias("_quota"))
+    shared = new.join(old, "parent").withColumn("_extra", F.col("_quota") - F.count(F.lit(1)).over(inside))
+    exact = F.col("_extra") * F.col("size") / F.sum("size").over(inside)
+    shared = shared.withColumn("_exact", exact).withColumn("_base", F.floor("_exact"))
+    shared = shared.withColumn("_left", F.col("_extra") - F.sum("_base").over(inside))
+    place = F.row_number().over(inside.orderBy(F.desc(F.col("_exact") - F.col("_base")), "cell"))
+    quota = 1 + F.col("_base") + F.when(place <= F.col("_left"), 1).otherwise(0)
+    quota = F.when(F.col("point"), 1).otherwise(F.least(quota, F.col("size")))
+    return shared.select("cell", "size", quota.cast("bigint").alias("quota"))
+
+
+def _distances(width: int) -> Column:
+    """Squared distances to FAN ``_centers`` (one flat array); written out for a few features, as generated code."""
+    if width > WRITTEN_OUT:
+        part = f"slice(_centers, i * {width} + 1, {width})"
+        cells = f"zip_with(features, {part}, (x, y) -> (x - y) * (x - y))"
+        return F.expr(f"transform(sequence(0, {FAN - 1}), i -> aggregate({cells}, 0D, (total, v) -> total + v))")
+    found = []
+    for i in range(FAN):
+        gaps = [f"(features[{f}] - _centers[{i * width + f}])" for f in range(width)]
+        found.append(" + ".join(["0D", *(f"{gap} * {gap}" for gap in gaps)]))
+    return F.expr(f"array({', '.join(found)})")
+
+
+def _lloyd(
+    rows: DataFrame, cells: DataFrame, parts: Column, width: int, rounds: int, seed: int, key: str
+) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``slot`` and ``distance``, and the centres (cell, slot, center), after ``rounds`` steps inside every cell.
 
-    A first model of ceil(sqrt(k)) centres divides the rows; the k clusters are shared out over its
-    cells by largest remainder, one at least. Inside a cell, clusters start at the rows of
-    lowest hash and take ``rounds`` Lloyd steps, all cells at once: a row meets the centres of its own
-    cell, and means are combined before they shuffle, so a cell of any size is spread over all tasks.
+    ``parts`` says, over the columns of ``cells``, into how many slots a cell goes. Slots start at the rows of lowest hash among
+    those that a hash of the features deals to them.
     """
-    coarse = min(k, math.ceil(math.sqrt(k)))
-    _, assigned = fit_kmeans(df, coarse, seed)
-    rows = materialize(assigned.withColumnRenamed("cluster", "cell"), "cells")
-    sizes = {r["cell"]: r["count"] for r in rows.groupBy("cell").count().collect()}  # at most ``coarse`` rows
-    quota = largest_remainder(sizes, min(k, sum(sizes.values())), 1)
-    shares = rows.sparkSession.createDataFrame(sorted(quota.items()), "cell int, share int")
-    hashed = hash_order(F.col(key), seed)
-    slot = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.col("share")).cast("int")
-    starts = rows.join(F.broadcast(shares), "cell").groupBy("cell", slot.alias("slot"))
-    centers = materialize(starts.agg(F.min_by("features", hashed).alias("center")), "centers")
+    shares = cells.select("cell", parts.cast("bigint").alias("_parts"))
+    dealt = join_summary(rows, shares, "cell", key, cells)
+    slot = F.pmod(F.xxhash64("features", F.lit(seed)), F.col("_parts")).cast("int")
+    order = F.xxhash64("features", F.lit(seed + 1))
+    centers = dealt.groupBy("cell", slot.alias("slot")).agg(F.min_by("features", order).alias("center"))
 
     def assign(centers: DataFrame) -> DataFrame:
-        listed = centers.groupBy("cell").agg(F.collect_list(F.struct("slot", "center")).alias("_centers"))
-        near = F.array_min(
-            F.transform(
-                "_centers", lambda c: F.struct(euclidean(F.col("features"), c["center"]).alias("d"), c["slot"].alias("s"))
-            )
-        )["s"]
-        return rows.join(pin_small(listed), "cell").withColumn("slot", near).drop("_centers")
+        near = F.array_sort(F.collect_list(F.struct("slot", "center")))  # at most FAN; missing ones lie infinitely far away
+        far = F.array_repeat(F.lit(float("inf")), FAN * width)
+        flat = F.slice(F.concat(F.flatten(F.transform(near, lambda c: c["center"])), far), 1, FAN * width)
+        listed = centers.groupBy("cell").agg(flat.alias("_centers"), F.transform(near, lambda c: c["slot"]).alias("_slots"))
+        far_apart = join_summary(rows, listed, "cell", key, cells).withColumn("_d", _distances(width))
+        nearest = far_apart.withColumn("_least", F.array_min("_d"))
+        slot = F.get("_slots", (F.array_position("_d", F.col("_least")) - 1).cast("int"))
+        nearest = nearest.withColumn("slot", slot).withColumn("distance", F.sqrt("_least"))
+        return nearest.drop("_centers", "_slots", "_d", "_least")
 
     for _ in range(rounds):
-        means = assign(centers).groupBy("cell", "slot").agg(Summarizer.mean(array_to_vector("features")).alias("_m"))
-        centers = materialize(means.select("cell", "slot", vector_to_array("_m").alias("center")), "centers")
-    cluster = F.shiftleft(F.col("cell").cast("bigint"), 32) + F.col("slot")
-    final = assign(centers).withColumn("cluster", cluster).drop("cell", "slot")
-    return final, centers.select(cluster.alias("cluster"), "center")
+        near = assign(centers).groupBy("cell", "slot")
+        if width <= AVERAGED:
+            means = near.agg(*[F.avg(F.get("features", F.lit(f))).alias(f"_m{f}") for f in range(width)])
+            center = F.array(*[F.col(f"_m{f}") for f in range(width)])
+        else:
+            means = near.agg(Summarizer.mean(array_to_vector("features")).alias("_m"))
+            center = vector_to_array("_m")
+        centers = means.select("cell", "slot", center.alias("center"))
+    centers = materialize(centers, "centers")
+    return assign(centers), centers

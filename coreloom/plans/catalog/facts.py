@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from coreloom.functions.scalars import euclidean
+from coreloom.operators import features as FE
 from coreloom.operators import reduce, select
 from coreloom.operators import models as M
 from coreloom.plans import standins as S
@@ -48,6 +50,50 @@ def kmeans_core_set_facts(spark, sf):
     )
 
 
+@query(
+    "kmeans_core_set_cells_facts",
+    """SELECT count(*) AS rows, greatest(1, count(*) // 500) AS wanted, true AS within_wanted, true AS one_row_each,
+    true AS every_row_once, true AS nearest_centre_of_its_cell, true AS distances_fit, true AS picks_are_nearest FROM lineitem""",
+)
+def kmeans_core_set_cells_facts(spark, sf):
+    """Nested clusters of the line items: each row is with a centre of its cell that no other one of the cell beats, each pick nearest to its centre."""
+    lines = S.wide_features(spark, sf)
+    scaled = materialize(FE.fit_scaler(lines).apply(lines).withColumn("row_id", F.monotonically_increasing_id()), "lines")
+    n = scaled.count()
+    k = max(1, n // 500)
+    assigned, centers = select.nested_clusters(scaled, k)
+    assigned, centers = materialize(assigned.select("row_id", "features", "cluster", "distance"), "assigned"), materialize(centers, "centers")
+    cell = F.floor((F.col("cluster") - 1) / select.FAN).alias("cell")
+    others = centers.select(cell, F.col("cluster").alias("other"), F.col("center").alias("x"))
+    met = assigned.withColumn("cell", cell).join(others, "cell").withColumn("d", euclidean(F.col("features"), F.col("x")))
+    met = met.groupBy("row_id").agg(
+        F.min("d").alias("least"), F.max(F.when(F.col("cluster") == F.col("other"), F.col("d"))).alias("own"), F.max("distance").alias("distance")
+    )
+    rows = met.agg(
+        F.count(F.lit(1)).alias("met"),
+        F.every(F.col("own") <= F.col("least") + 1e-9).alias("nearest_centre_of_its_cell"),
+        F.every(F.abs(F.col("own") - F.col("distance")) < 1e-9).alias("distances_fit"),
+    )
+    picks = select.closest(assigned)
+    least = assigned.groupBy("cluster").agg(F.min("distance").alias("_least"))
+    picked = picks.join(least, "cluster", "full").agg(
+        F.count(F.lit(1)).alias("picks"),
+        F.count_distinct("row_id").alias("ids"),
+        F.every(F.coalesce(F.col("distance") == F.col("_least"), F.lit(False))).alias("picks_are_nearest"),
+    )
+    counts = assigned.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("row_id").alias("different"))
+    return counts.crossJoin(rows).crossJoin(picked).select(
+        "rows",
+        F.lit(k).cast("bigint").alias("wanted"),
+        (F.col("picks") <= k).alias("within_wanted"),
+        (F.col("picks") == F.col("ids")).alias("one_row_each"),
+        ((F.col("rows") == n) & (F.col("different") == n) & (F.col("met") == n)).alias("every_row_once"),
+        "nearest_centre_of_its_cell",
+        "distances_fit",
+        "picks_are_nearest",
+    )
+
+
 @query(
     "kmeans_fit_facts",
     "SELECT count(*) AS rows, true AS every_row_once, true AS known_clusters FROM embeddings",

@@ -55,6 +55,27 @@ def test_nested_clusters_cover_any_number_of_groups(spark):
     assert gap.mean() < 0.25
 
 
+def test_nested_clusters_with_a_crowded_cell(spark, monkeypatch):
+    """A third of the rows crowd round one place: its cell is divided on, and no summary is broadcast."""
+    from coreloom.operators import bounded
+
+    monkeypatch.setattr(bounded, "MAX_PINNED_ROWS", 0)
+    monkeypatch.setattr(bounded, "HOT_PART", 10)
+    rng = np.random.default_rng(6)
+    spots = rng.normal(size=(30, 2)) * 100
+    points = [(i, i % 2, (rng.normal(size=2) if i % 3 == 0 else spots[i % 30] + rng.normal(size=2)).tolist()) for i in range(3000)]
+    df = spark.createDataFrame(points, "row_id bigint, label int, features array<double>").coalesce(1)
+    assigned, centers = select.nested_clusters(df, 300)
+    sizes = assigned.groupBy("cluster").count().agg(F.count(F.lit(1)), F.sum("count"), F.max("count")).first()
+    assert sizes[1] == 3000 and 200 <= sizes[0] <= 300 and sizes[2] < 150
+    assert centers.count() <= 300 and centers.select("cluster").distinct().count() == centers.count()
+    near = [i for i, _, x in points if np.hypot(*x) < 4]
+    inside = assigned.where(F.col("row_id").isin(near)).select("cluster").distinct().count()
+    assert inside >= 60  # about a third of the clusters, as of the rows
+    equal = spark.range(500).select(F.col("id").alias("row_id"), F.lit(0).alias("label"), F.array(F.lit(1.0), F.lit(2.0)).alias("features"))
+    assert select.kmeans_core_set(equal, 90, method="nested").count() == 1
+
+
 def test_the_method_is_the_callers_choice_at_every_size(spark):
     """Below and above a thousand clusters: the same columns, one row per cluster, each nearest to its centre."""
     rng = np.random.default_rng(5)

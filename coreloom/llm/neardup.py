@@ -24,7 +24,7 @@ from coreloom.llm import simhash, text
 from coreloom.llm.blocks import covering_sets, mask_of, signed
 from coreloom.llm.graph import components
 from coreloom.llm.registry import query, table
-from coreloom.operators.bounded import pin_small
+from coreloom.operators.bounded import join_summary, pin_small
 from coreloom.session import materialize
 
 POSITIONS = 8
@@ -32,15 +32,6 @@ RADIUS = 2
 KEY_POSITIONS = 4
 #: Members of one key that are compared pair by pair; keys with more take the one-bit postings.
 PAIRWISE = 24
-#: Stage on shingles: words of a shingle and least Jaccard similarity.
-SHINGLE = 5
-SIMILARITY = 0.8
-#: Hashes in the lowest three tenths of their range are counted to find crowded shingles.
-FREQUENT_BELOW = -(1 << 63) + 3 * (1 << 64) // 10
-#: A round over crowded keys that leaves more than this share of their rows is the last.
-SLOW = 0.9
-#: Keeps products of the similarity and a count from being rounded past a whole number.
-SLACK = 1e-6
 
 
 def fingerprint(docs: DataFrame, shingle: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -108,11 +99,11 @@ def classes(fingerprints: DataFrame, key: str = "doc_id") -> DataFrame:
     """Adds ``component_id``: the smallest ``key`` reachable over links, itself included.
 
     Rows with equal fingerprints are one class from the start (combined before any
-    shuffle). Null keys join in, but are never the smallest unless a class has no
+    shuffle), and a fingerprint that very many rows share is dealt to several tasks. Null keys join in, but are never the smallest unless a class has no
     other. ``fingerprints`` is read more than once: pass a written table.
     """
     distinct = materialize(
-        fingerprints.groupBy("fingerprint").agg(F.min(key).alias("_smallest")), "fingerprints"
+        fingerprints.groupBy("fingerprint").agg(F.min(key).alias("_smallest"), F.count(F.lit(1)).alias("size")), "fingerprints"
     )
     reached = components(links(distinct.select("fingerprint")))
     lowest = (
@@ -124,7 +115,7 @@ def classes(fingerprints: DataFrame, key: str = "doc_id") -> DataFrame:
     chosen = distinct.join(joined, "fingerprint", "left").select(
         "fingerprint", F.coalesce("_lowest", "_smallest").alias("component_id")
     )
-    return fingerprints.join(chosen, "fingerprint")
+    return join_summary(fingerprints, chosen, "fingerprint", key, distinct)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -133,160 +124,38 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return classes(prints).select("doc_id", simhash.hex64(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
-def _mark() -> Column:
-    """Identifies a text; null counts as empty."""
-    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+def one_of_each(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """The rows of ``docs`` that stay when each component of linked fingerprints (see :func:`classes`) keeps one row.
 
-
-def texts_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(_mark, text)`` with each different text once, and ``(_mark, _order)``: its place by smallest doc_id, null last."""
-    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("_mark").alias("mark"))
-    marked = docs.select("doc_id", _mark().alias("_mark"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = materialize(
-        marked.groupBy("_mark").agg(F.min(order).alias("_order"), F.count(F.lit(1)).alias("_copies")), "texts"
-    )
-    several = pin_small(rows.where("_copies > 1").select("_mark"))
-    texts = marked.select("_mark", "text")
-    once = texts.join(several, "_mark", "left_anti")
-    copied = texts.join(several, "_mark", "left_semi").groupBy("_mark").agg(F.any_value("text").alias("text"))
-    return once.unionByName(copied), rows.select("_mark", "_order")
-
-
-def with_grams(texts: DataFrame, shingle: int) -> DataFrame:
-    """Adds ``_grams``, the hashes of a text's different shingles, for ``text``; without a word it is one 0."""
-    rest = [c for c in texts.columns if c != "text"]
-    rows = texts.select(*rest, text.words(text.lower_ascii(F.col("text"))).alias("_words"))
-    rows = rows.select(*rest, text.shingles(F.col("_words"), shingle).alias("_shingles"))
-    rows = rows.select(*rest, F.array_distinct(F.transform("_shingles", lambda x: F.xxhash64(x))).alias("_grams"))
-    return rows.withColumn("_grams", F.when(F.size("_grams") > 0, F.col("_grams")).otherwise(F.array(F.lit(0).cast("bigint"))))
-
-
-def prefix_postings(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``_key, _mark, _size, _members``: under which shingles texts meet; those of one member are left out.
-
-    Of n shingles in an order common to all texts, two texts of Jaccard similarity s share one of each one's first
-    n - ceil(s n) + 1. The order is that of the hashes, after which come the crowded ones below FREQUENT_BELOW, such as
-    those of lines that many texts repeat. Any order finds every pair; this one keeps the postings short.
+    The row with the smallest doc_id stays (null last; of rows that share it, the one whose text's md5 is smallest; of fully equal
+    ones any). All columns and texts are untouched, whatever the columns' names; null, empty and wordless texts
+    have fingerprint 0 and are linked like any other. An empty table stays empty. Rows are told apart by doc_id and the
+    128-bit md5 of the text. The keys of the rows to drop are broadcast if small by a checked size, else joined. ``docs`` is
+    read more than once: pass a written table.
     """
-    low = F.filter("_grams", lambda x: x < F.lit(FREQUENT_BELOW))
-    spread = materialize(with_grams(texts, shingle).select("_mark", F.explode(low).alias("_key")), "low")
-    often = spread.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > PAIRWISE).select("_key")
-    own = spread.join(pin_small(often), "_key").groupBy("_mark").agg(F.sort_array(F.collect_set("_key")).alias("_often"))
-    rows = with_grams(texts.join(pin_small(own), "_mark", "left"), shingle)
-    ordered = F.when(F.col("_often").isNull(), F.sort_array("_grams")).otherwise(
-        F.concat(F.sort_array(F.array_except("_grams", "_often")), F.col("_often"))
-    )
-    rows = rows.select("_mark", F.size("_grams").alias("_size"), ordered.alias("_ordered"))
-    first = F.col("_size") - F.ceil(F.col("_size") * similarity - SLACK).cast("int") + 1
-    posted = materialize(
-        rows.select("_mark", "_size", F.explode(F.slice("_ordered", F.lit(1), first)).alias("_key")), "prefixes"
-    )
-    return met(posted)
-
-
-def met(posted: DataFrame) -> DataFrame:
-    """Adds ``_members``, the rows of a key; keys of one row go."""
-    counts = posted.groupBy("_key").agg(F.count(F.lit(1)).alias("_members")).where("_members > 1")
-    return materialize(posted.drop("_members").join(counts, "_key"), "met")
-
-
-def pairs_of(posted: DataFrame, similarity: float) -> DataFrame:
-    """``u, v``: the texts that meet under a key and whose sizes allow the similarity."""
-    left = posted.select("_key", F.col("_mark").alias("u"), F.col("_size").alias("a"))
-    right = posted.select("_key", F.col("_mark").alias("v"), F.col("_size").alias("b"))
-    fits = F.least("a", "b") >= F.greatest("a", "b") * similarity - SLACK
-    return left.join(right, "_key").where((F.col("u") < F.col("v")) & fits).select("u", "v").distinct()
-
-
-def alike(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose sets of shingles reach the similarity, as ``u, v`` with the earlier text as ``u``."""
-    heads = pin_small(known.join(pairs.select(F.col("u").alias("_mark")).distinct(), "_mark", "left_semi"))
-    heads = heads.select(F.col("_mark").alias("u"), F.col("_order").alias("a"), F.col("_grams").alias("x"))
-    tails = known.select(F.col("_mark").alias("v"), F.col("_order").alias("b"), F.col("_grams").alias("y"))
-    rows = pairs.join(tails, "v").join(heads, "u")
-    both = F.size(F.array_intersect("x", "y"))
-    rows = rows.where(both >= similarity * (F.size("x") + F.size("y") - both))
-    first = F.col("a") < F.col("b")
-    return rows.select(F.when(first, F.col("u")).otherwise(F.col("v")).alias("u"), F.when(first, F.col("v")).otherwise(F.col("u")).alias("v"))
-
-
-def without(rows: DataFrame, marks: DataFrame, *ends: str) -> DataFrame:
-    for end in ends:
-        rows = rows.join(marks.select(F.col("_mark").alias(end)), end, "left_anti")
-    return rows
-
-
-def resembling(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """``_mark``: texts that an earlier kept text resembles, i.e. whose sets of word shingles have at least that Jaccard similarity.
-
-    Exact: each text that goes resembles a kept one with a smaller doc_id (null last), and no two kept texts resemble
-    each other. Texts without a word resemble each other. Texts that meet under a key of few members are compared
-    with each other. Under a crowded key (near copies of one text) each is compared with the first one alone, round
-    after round: the first of all it meets stays, those that resemble it go. Once a round decides few, the texts left
-    there are unlike, and are compared pair by pair.
-    """
-    texts, order = texts_of(docs)
-    posted = prefix_postings(texts, shingle, similarity)
-    few = materialize(pairs_of(posted.where(F.col("_members") <= PAIRWISE), similarity), "pairs")
-    crowded = materialize(posted.where(F.col("_members") > PAIRWISE).join(order, "_mark"), "crowded")
-    needed = few.select(F.col("u").alias("_mark")).unionByName(few.select(F.col("v").alias("_mark")))
-    needed = materialize(needed.unionByName(crowded.select("_mark")).distinct(), "needed")
-    known = with_grams(texts.join(needed, "_mark", "left_semi"), shingle).join(order, "_mark")
-    known = materialize(known, "known")
-    edges = materialize(alike(few, known, similarity), "edges")
-    gone = edges.select(F.col("v").alias("_mark")).limit(0)
-    left = crowded.count()
-    while left or not edges.isEmpty():
-        firsts = pin_small(crowded.groupBy("_key").agg(F.min_by("_mark", "_order").alias("u")))
-        follow = crowded.join(firsts, "_key").where(F.col("_mark") != F.col("u"))
-        follow = materialize(follow.select("u", F.col("_mark").alias("v")).distinct(), "follow")
-        later = edges.select(F.col("v").alias("_mark")).unionByName(follow.select(F.col("v").alias("_mark")))
-        earlier = edges.select(F.col("u").alias("_mark")).unionByName(follow.select(F.col("u").alias("_mark")))
-        kept = materialize(earlier.distinct().join(later.distinct(), "_mark", "left_anti"), "kept")
-        heads = kept.select(F.col("_mark").alias("u"))
-        near = edges.join(heads, "u", "left_semi").unionByName(alike(follow.join(heads, "u", "left_semi"), known, similarity))
-        lost = materialize(near.select(F.col("v").alias("_mark")).distinct(), "lost")
-        gone = gone.unionByName(lost)
-        decided = kept.unionByName(lost)
-        edges = materialize(without(edges, decided, "u", "v"), "edges")
-        before, crowded = left, met(without(crowded, decided, "_mark"))
-        left = crowded.count()
-        if left > SLOW * before:
-            edges = materialize(edges.unionByName(alike(materialize(pairs_of(crowded, similarity), "pairs"), known, similarity)).distinct(), "edges")
-            crowded, left = crowded.limit(0), 0
-    return gone
-
-
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` that stay when each group of copies and near-duplicates keeps one row.
-
-    Of equal texts the row with the smallest doc_id stays (null last); of fully repeated rows one stays. Columns
-    and texts are untouched. The rows to drop are broadcast if small by a checked size, else joined.
-    """
-    near = materialize(resembling(docs, shingle, similarity), "resembling")
-    rows = docs.select("doc_id", _mark().alias("_mark")).groupBy("doc_id", "_mark").agg(F.count(F.lit(1)).alias("_rows"))
-    rows = materialize(rows, "rows")
-    key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id")
-    best = rows.groupBy("_mark").agg(F.min(key).alias("_best"), F.sum("_rows").alias("_copies")).where("_copies > 1")
-    copies = rows.join(best, "_mark").select("doc_id", "_mark", (key == F.col("_best")).alias("_first"))
-    near = near.withColumn("_near", F.lit(True))
-    judged = materialize(copies.join(near, "_mark", "left").withColumn("_first", F.col("_first") & F.col("_near").isNull()).drop("_near"), "judged")
-
-    def meets(left, right):
-        return (left["_mark"] == right["_other"]) & left["doc_id"].eqNullSafe(right["_id"])
-
-    names = docs.columns
-    marked = docs.withColumn("_mark", _mark())
-    dropped = pin_small(judged.where(~F.col("_first")).select(F.col("doc_id").alias("_id"), F.col("_mark").alias("_other")))
-    kept = marked.join(pin_small(near.select("_mark")), "_mark", "left_anti")
-    kept = kept.join(dropped, meets(kept, dropped), "left_anti")
-    counts = rows.where("_rows > 1").select("doc_id", "_mark")
-    repeated = judged.where("_first").drop("_first").join(counts, (judged["_mark"] == counts["_mark"]) & judged["doc_id"].eqNullSafe(counts["doc_id"]), "left_semi")
-    if repeated.isEmpty():
-        return kept.select(*names)
-    again = pin_small(repeated.select(F.col("doc_id").alias("_id"), F.col("_mark").alias("_other")))
-    single = kept.join(again, meets(kept, again), "left_semi").dropDuplicates(["doc_id", "_mark"])
-    return kept.join(again, meets(kept, again), "left_anti").unionByName(single).select(*names)
+    mark = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    prints = fingerprint(docs.select("doc_id", "text", mark.alias("_mark")), shingle, ("doc_id", "_mark"))
+    prints = materialize(prints, "prints")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("_mark").alias("mark"))
+    distinct = materialize(prints.groupBy("fingerprint").agg(F.min(place).alias("_first")), "fingerprints")
+    reached = components(links(distinct.select("fingerprint"))).withColumnRenamed("vertex", "fingerprint")
+    group = F.coalesce("component", "fingerprint")
+    firsts = distinct.join(reached, "fingerprint", "left").groupBy(group.alias("_group")).agg(F.min("_first").alias("_first"))
+    firsts = materialize(firsts.select(F.col("_first.id").alias("_id"), F.col("_first.mark").alias("_own")), "firsts")
+    keys = prints.groupBy("doc_id", "_mark").agg(F.count(F.lit(1)).alias("_copies"))
+    keys = materialize(keys.select(F.col("doc_id").alias("_id"), F.col("_mark").alias("_own"), "_copies"), "keys")
+
+    def same(left: DataFrame, right: DataFrame) -> Column:
+        return left["_id"].eqNullSafe(right["_id"]) & (left["_own"] == right["_own"])
+
+    dropped = pin_small(keys.join(firsts, same(keys, firsts), "left_anti").select("_id", "_own"))
+    repeated = pin_small(keys.where("_copies > 1").join(firsts, same(keys, firsts), "left_semi").select("_id", "_own"))
+    rows = docs.select(F.struct("*").alias("_whole"), F.col("doc_id").alias("_id"), mark.alias("_own"))
+    kept = rows.join(dropped, same(rows, dropped), "left_anti")
+    if not repeated.isEmpty():
+        single = kept.join(repeated, same(kept, repeated), "left_semi").dropDuplicates(["_id", "_own"])
+        kept = kept.join(repeated, same(kept, repeated), "left_anti").unionByName(single)
+    return kept.select("_whole.*")
 
 
 @query("op8_simhash_near_dedup")

@@ -92,98 +92,58 @@ def test_components(spark):
     assert components(chain).select("component").distinct().count() == 1
 
 
+def first_of_each(rows):
+    """Per component of the brute-force links the smallest id, as (id, text); null last."""
+    prints = [(d, brute_print(t)) for d, t in rows]
+    best = {}
+    links = {}
+    for _, p in prints:
+        links[p] = p
+
+    def find(x):
+        while links[x] != x:
+            x = links[x]
+        return x
+
+    distinct = sorted(links)
+    for i, a in enumerate(distinct):
+        for b in distinct[i + 1 :]:
+            if bin(a ^ b).count("1") <= 2:
+                links[find(b)] = find(a)
+    for (d, p) in prints:
+        key = (d is None, d or 0)
+        best[find(p)] = min(key, best.get(find(p), key))
+    return sorted(str(None if last else d) for last, d in best.values())
+
+
 def test_one_of_each(spark, odd_docs, sf):
     kept = neardup.one_of_each(odd_docs)
-    assert kept.columns == odd_docs.columns
-    got = sorted(map(str, (r["doc_id"] for r in kept.collect())))
-    # Documents without a word are one class: ids 3, 4, 6 and the row without id; 1 and both 2s are copies.
-    assert got == sorted(map(str, [1, 3, None, 5, 7, 8, 9]))
-    twice = odd_docs.unionAll(odd_docs)
-    assert sorted(map(str, (r["doc_id"] for r in neardup.one_of_each(twice).collect()))) == got
+    assert kept.schema == odd_docs.schema
+    rows = [(r["doc_id"], r["text"]) for r in odd_docs.collect()]
+    got = sorted(str(r["doc_id"]) for r in kept.collect())
+    assert got == first_of_each(rows)
+    assert sorted(str(r["doc_id"]) for r in neardup.one_of_each(odd_docs.unionAll(odd_docs)).collect()) == got
     assert neardup.one_of_each(odd_docs.limit(0)).count() == 0
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
-    sets = {d: grams(t) for d, t in texts.items()}
-    kept = {r["doc_id"] for r in neardup.one_of_each(docs).collect()}
-    assert len({texts[d] for d in kept}) == len(kept)
-    for d in set(texts) - kept:
-        assert any(len(sets[d] & sets[k]) >= 0.8 * len(sets[d] | sets[k]) for k in kept if k < d)
+    want = first_of_each([(r["doc_id"], r["text"]) for r in docs.collect()])
+    stays = neardup.one_of_each(docs)
+    assert sorted(str(r["doc_id"]) for r in stays.collect()) == want
+    assert stays.exceptAll(docs).count() == 0
 
 
-def grams(t):
-    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
-    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+def test_copies_go_without_a_broadcast(spark, monkeypatch):
+    from coreloom.operators import bounded
 
-
-def test_edited_copies_go(spark):
+    monkeypatch.setattr(bounded, "MAX_PINNED_ROWS", 0)
+    monkeypatch.setattr(bounded, "HOT_PART", 5)
     rng = random.Random(11)
-    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(4000)]
-    rows, planted = [], []
-    for i in range(60):
-        base = rng.choices(words, k=300)
-        rows.append((i, " ".join(base)))
-        for k in range(3):
-            copy = list(base)
-            for at in rng.sample(range(300), 2):
-                copy[at] = rng.choice(words)
-            rows.append((1000 + 10 * i + k, " ".join(copy)))
-            planted.append(1000 + 10 * i + k)
-    df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    kept = {r["doc_id"] for r in neardup.one_of_each(df).collect()}
-    assert set(range(60)) <= kept and len(kept & set(planted)) < 0.1 * len(planted)
-
-
-def greedy(texts):
-    """Ids that stay when each text goes that resembles an earlier kept one."""
-    kept = {}
-    for d, t in sorted(texts.items()):
-        g = grams(t or "")
-        if not any(len(g & k) >= 0.8 * len(g | k) for k in kept.values()):
-            kept[d] = g
-    return set(kept)
-
-
-def edited(rng, base, words, changes):
-    copy = list(base)
-    for at in rng.sample(range(len(copy)), changes):
-        copy[at] = rng.choice(words)
-    return copy
-
-
-def test_near_copies_beside_an_unlike_first_text(spark):
-    # Words of up to three letters weigh nothing: all word fingerprints are 0.
-    base = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
-    texts = {1: None, 2: " ".join(base), 3: " ".join([*base[:50], "zz", *base[51:]])}
-    df = spark.createDataFrame(sorted(texts.items()), "doc_id bigint, text string")
-    assert {r["doc_id"] for r in neardup.one_of_each(df).collect()} == greedy(texts) == {1, 2}
-
-
-def test_no_pair_is_kept_twice(spark, monkeypatch):
-    rng = random.Random(5)
-    words = ["".join(rng.choices("abcdefgh", k=rng.randint(1, 3))) for _ in range(400)]
-    texts = {i: " ".join(rng.choices(words, k=rng.choice([3, 6, 40]))) for i in range(500, 540)}
-    for group, changes in enumerate((1, 3, 5, 8)):
-        base = rng.choices(words, k=200)
-        for k in range(45):
-            texts[rng.randrange(1000 * group, 100_000)] = " ".join(edited(rng, base, words, rng.randint(0, changes)))
-    df = spark.createDataFrame(sorted(texts.items()), "doc_id bigint, text string")
-    want = greedy(texts)
-    assert 40 < len(want) < len(texts) - 40
-    for most in (1, 24):
-        monkeypatch.setattr(neardup, "PAIRWISE", most)
-        assert {r["doc_id"] for r in neardup.one_of_each(df).collect()} == want
-
-
-def test_copies_just_beyond_the_similarity_go(spark):
-    rng = random.Random(13)
-    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(4000)]
-    texts = {}
-    for i in range(40):
-        base = rng.choices(words, k=300)
-        texts[i] = " ".join(base)
-        texts[100 + i] = " ".join(edited(rng, base, words, 6))
-    sets = {d: grams(t) for d, t in texts.items()}
-    near = [len(sets[i] & sets[100 + i]) / len(sets[i] | sets[100 + i]) for i in range(40)]
-    assert sum(0.8 <= j <= 0.85 for j in near) >= 30
-    df = spark.createDataFrame(sorted(texts.items()), "doc_id bigint, text string")
-    assert {r["doc_id"] for r in neardup.one_of_each(df).collect()} == greedy(texts)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(900)]
+    texts = [(i, " ".join(rng.choices(words, k=60))) for i in range(40)]
+    texts += [(100 + i, texts[3][1]) for i in range(60)] + [(3, texts[3][1]), (7, texts[8][1]), (None, texts[9][1])]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string").withColumn("_mark", F.lit("own")).withColumn("_own", F.lit(1))
+    kept = neardup.one_of_each(df)
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == first_of_each(texts)
+    assert {r["_mark"] for r in kept.collect()} == {"own"}
+    got = neardup.near_duplicates(df).collect()
+    reached = brute_components([(d, brute_print(t)) for d, t in texts])
+    assert sorted(str((r["doc_id"], r["component_id"])) for r in got) == sorted(str((d, reached[(d, brute_print(t))])) for d, t in texts)

@@ -25,7 +25,9 @@ def number(rows: DataFrame, by: Sequence[str], name: str) -> DataFrame:
     large group nor one row repeated many times lands in one sort. ``by`` columns
     must not be null; rows should be narrow, since they are shuffled whole.
     """
-    by, columns = list(by), rows.columns
+    given, columns = rows.columns, [f"c{i}" for i in range(len(rows.columns))]  # inner columns begin with an underscore
+    by = [columns[given.index(c)] for c in by]
+    rows = rows.toDF(*columns)
     combined = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
     hashed = F.shiftrightunsigned(F.xxhash64(*columns), 64 - HASH_BITS)
     combined = materialize(combined.withColumn("_h", hashed), "numbered")
@@ -50,5 +52,6 @@ def number(rows: DataFrame, by: Sequence[str], name: str) -> DataFrame:
         runs = runs.repartition(*columns, "_run")
     steps = F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(RUN).cast("bigint"), F.col("_n") - F.col("_run")) - 1)
     return runs.select("*", F.explode(steps).alias("_step")).select(
-        *columns, (F.col("_first") + F.col("_run") + F.col("_step")).cast("bigint").alias(name)
+        *[F.col(c).alias(g) for c, g in zip(columns, given)],
+        (F.col("_first") + F.col("_run") + F.col("_step")).cast("bigint").alias(name),
     )

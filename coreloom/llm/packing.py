@@ -11,6 +11,7 @@ to the pattern's places. Ranks, places and offsets are computed by Spark over ta
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,85 +28,169 @@ CAPACITY = 4096
 #: Piece lengths are rounded up to multiples of this for the histogram.
 GRAIN = 16
 END_ID = 2
-#: Column generation stops after this many new patterns (the solution so far is a valid packing).
-ROUNDS = 4_000
-CACHED_CHUNKS = 700_000
+#: Column generation runs to the optimum; it also ends if so many rounds in a row gain nothing that doubles can show.
+STALLED = 2_000
+CACHED_WORDS = 700_000
 LONGEST_CACHED = 48
-#: A sign that is a token of its own, put between words that are encoded together; words and characters at a time.
+#: A sign that is a token of its own, put between words that are encoded together.
 MARK = "\x01"
 TOGETHER = 512
-CHARS_TOGETHER = 2_000_000
+#: Characters of texts, and words, that are handled at a time.
+CHARS_TOGETHER = 6_000_000
+WORDS_TOGETHER = 1 << 15
+#: Small letters that no step before the merges changes, alone or side by side: ASCII and Latin-1 ones.
+LETTERS = "".join(map(chr, (*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100))))
 
 
 class ChunkTokenizer:
-    """Token ids of texts; chunks between spaces and line feeds are remembered.
+    """Token ids of texts; words between spaces and line feeds are remembered.
 
-    Only for tokenizers that drop white space before their merges, so that a text's ids are its chunks' ids.
+    Only for tokenizers that drop white space and case before their merges, so that a text's ids are its
+    words' ids, and those of an ASCII word are those of its small letters.
     """
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        one = self.tokenizer.encode("a b\nc", add_special_tokens=False).ids
-        if one != [i for c in "abc" for i in self.tokenizer.encode(c, add_special_tokens=False).ids]:
+        one = self._ids("a b\nc").tolist()
+        if one != [i for c in "abc" for i in self._ids(c).tolist()]:
             raise ValueError(f"{tokenizer_file} does not drop white space")
-        self.chunks = _Cache(self._encode, CACHED_CHUNKS, LONGEST_CACHED)
-        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        letters = "".join(map(chr, range(0x21, 0x7F)))
+        if self._ids(letters).tolist() != self._ids(letters.lower()).tolist() or self._ids("THE").tolist() != self._ids("the").tolist():
+            raise ValueError(f"{tokenizer_file} does not drop case")
+        self.words = _Cache(self._encode, CACHED_WORDS, LONGEST_CACHED)
+        mark = self._ids(MARK)
         self.mark = mark[0] if len(mark) == 1 else None
+        self.plain = re.compile(f"[{LETTERS}]+").fullmatch
+        self.direct = self._direct(tokenizer_file)
 
-    def _encode(self, chunk: str) -> bytes:
-        if not chunk:
+    def _direct(self, tokenizer_file: str):
+        """The same merges without the steps before them, for words of LETTERS in the bytes' own signs; None if they differ.
+
+        Such a word's last token, and no other one, carries the sign of a word's end.
+        """
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        direct = Tokenizer.from_file(tokenizer_file)
+        suffix = getattr(direct.model, "end_of_word_suffix", None)
+        if not suffix:
+            return None
+        signs = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.signs = {ord(letter): signs.pre_tokenize_str(letter)[0][0] for letter in LETTERS}
+        direct.normalizer, direct.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        self.last = np.zeros(direct.get_vocab_size(), dtype=bool)
+        self.last[[i for token, i in direct.get_vocab().items() if token.endswith(suffix)]] = True
+        tried = [*LETTERS, LETTERS, LETTERS[::-1], "the", "straße", "naïveté"]
+        ids = np.array(direct.encode(" ".join(w.translate(self.signs) for w in tried), add_special_tokens=False).ids)
+        same = ids.tolist() == [i for w in tried for i in self._ids(w).tolist()]
+        return direct if same and self.last[ids].sum() == len(tried) else None
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _encode(self, word: str) -> bytes:
+        if not word:
             return b""
-        core, tail = self._parts(chunk)
-        if core != chunk:
-            return self.chunks[core] + (self.chunks[tail] if tail else b"")
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        core, tail = self._parts(word)
+        if core != word:
+            return self.words[core] + (self.words[tail] if tail else b"")
+        return self._ids(word).tobytes()
 
     @staticmethod
-    def _parts(chunk: str) -> tuple[str, str]:
+    def _parts(word: str) -> tuple[str, str]:
         """A word and the comma or full stop behind it, which never share a token; ASCII words in lower case."""
-        core, tail = (chunk[:-1], chunk[-1]) if chunk[-1] in ",." and chunk[-2:-1].isalpha() else (chunk, "")
+        core, tail = (word[:-1], word[-1]) if word[-1] in ",." and word[-2:-1].isalpha() else (word, "")
         return (core.lower() if core.isascii() and "<|" not in core else core), tail
 
-    def _learn(self, texts: list[list[str]]) -> None:
-        """Encode what the cache lacks of the texts' words together, a mark between each two.
+    def _learn(self, words: list[str]) -> None:
+        """Encode different ``words`` that the cache's younger part lacks, many together.
 
-        Spaces keep words and marks apart in every step of the tokenizer; words with the mark or
-        a special token's beginning are left to :meth:`_encode`.
+        Words of LETTERS go straight to the merges. Others stand between marks: spaces keep words and marks apart in
+        every step of the tokenizer. Words with the mark or a special token's beginning are left to :meth:`_encode`.
         """
-        if self.mark is None:
-            return
-        new, older = self.chunks, self.chunks.older
-        unknown = [c for c in set().union(*texts).difference(new) if c and c not in older]
-        cores = {self._parts(c)[0] for c in unknown}
-        plain = [c for c in cores if c not in new and c not in older and MARK not in c and "<|" not in c]
+        new, older = self.words, self.words.older
+        cores = {self._parts(w)[0] for w in words if w and w not in older}
+        cores = [c for c in cores if c not in new and c not in older]
+        plain = list(filter(self.plain, cores)) if self.direct else []
         for at in range(0, len(plain), TOGETHER):
             some = plain[at : at + TOGETHER]
-            ids = np.array(self.tokenizer.encode(f" {MARK} ".join(some), add_special_tokens=False).ids, dtype="<u4")
-            ends = np.flatnonzero(ids == self.mark)
-            for word, part in zip(some, np.split(ids, ends)):
-                own = part if word is some[0] else part[1:]
-                self.chunks.put(word, own.tobytes())
+            ids = self.direct.encode(" ".join(some).translate(self.signs), add_special_tokens=False).ids
+            self._remember(some, np.array(ids, dtype="<u4"), self.last, 0)
+        if self.mark is None:
+            return
+        known = set(plain)
+        mixed = [c for c in cores if c not in known and MARK not in c and "<|" not in c]
+        for at in range(0, len(mixed), TOGETHER):
+            some = mixed[at : at + TOGETHER]
+            ids = self._ids(f" {MARK} ".join([*some, ""]))
+            self._remember(some, ids, np.arange(self.mark + 1) == self.mark, 1)
+
+    def _remember(self, words: list[str], ids: np.ndarray, closing: np.ndarray, drop: int) -> None:
+        """Words whose ids lie side by side, each one's up to a closing id; ``drop`` closing ids do not belong to it."""
+        raw = ids.tobytes()
+        ends = np.flatnonzero(closing[np.minimum(ids, len(closing) - 1)] & (ids < len(closing))) + 1
+        begin = 0
+        for word, end in zip(words, (4 * ends).tolist(), strict=True):
+            self.words.put(word, raw[begin : end - 4 * drop])
+            begin = end
+
+    def encode_column(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of an Arrow column of texts in a row (unsigned 32-bit), and where each text's begin (one entry more than texts).
+
+        Words are split and made distinct by Arrow; a batch's different words are looked up once, and the ids
+        gathered by position.
+        """
+        import pyarrow.compute as pc
+
+        spaced = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
+        split = pc.split_pattern(spaced, " ")
+        sizes = np.r_[0, np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)]
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = list(map(self.words.get, words))
+        missing = [i for i, ids in enumerate(known) if ids is None]
+        self._learn([words[i] for i in missing])
+        for i in missing:
+            known[i] = self.words[words[i]]
+        lengths = np.fromiter(map(len, known), dtype=np.int32, count=len(known)) // 4
+        flat = np.frombuffer(b"".join(known), dtype="<u4")
+        starts = np.cumsum(lengths, dtype=np.int32) - lengths
+        order = coded.indices.to_numpy(zero_copy_only=False)
+        ends = np.r_[0, np.cumsum(lengths[order], dtype=np.int64)]
+        out = np.empty(int(ends[-1]), dtype="<u4")
+        for at in range(0, len(order), WORDS_TOGETHER):
+            some = order[at : at + WORDS_TOGETHER]
+            first, last = ends[at], ends[at + len(some)]
+            shift = np.repeat(starts[some] - (ends[at : at + len(some)] - first).astype(np.int32), lengths[some])
+            shift += np.arange(last - first, dtype=np.int32)
+            np.take(flat, shift, out=out[first:last])
+        return out, ends[sizes]
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        at = 0
-        while at < len(texts):
-            split, size = [], 0
-            while at < len(texts) and size < CHARS_TOGETHER:
-                split.append((texts[at] or "").replace("\n", " ").split(" "))
-                size += len(texts[at] or "")
-                at += 1
-            self._learn(split)
-            out += [b"".join(map(self.chunks.__getitem__, chunks)) for chunks in split]
-        return out
+        import pyarrow as pa
+
+        ids, ends = self.encode_column(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
 
     def encode_bytes(self, text: str | None) -> bytes:
         return self.encode_many([text])[0]
 
 
+def portions(texts, most: int = CHARS_TOGETHER) -> Iterator[tuple[int, int]]:
+    """Row ranges of an Arrow text column, each of about ``most`` bytes or one longer row."""
+    import pyarrow.compute as pc
+
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(sizes):
+        reached = sizes[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(sizes, reached + most, side="right")))
+        yield at, to
+        at = to
+
+
 _TOKENIZERS: dict[str, ChunkTokenizer] = {}
 
 
@@ -125,25 +210,27 @@ def cut(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id:
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _tokenizer(tokenizer_file)
-        last = np.uint32(end_id).tobytes()
-        width = 4 * capacity
         for batch in batches:
-            rows, raw = [], []
-            encoded = own.encode_many(batch.column(1).to_pylist())
-            for doc, body in zip(batch.column(0).to_pylist(), encoded):
-                whole = body + last
-                for at in range(0, len(whole), width):
-                    part = whole[at : at + width]
-                    rows.append((doc, at // 4, len(part) // 4, zlib.crc32(part), len(whole) // 4))
-                    raw.append(part)
-            columns = [pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 5)]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-            if ids:
-                ends = pa.array(np.cumsum([0, *(len(r) // 4 for r in raw)]), pa.int32())
-                flat = pa.array(np.frombuffer(b"".join(raw), dtype="<u4").astype(np.int32))
-                columns.append(pa.ListArray.from_arrays(ends, flat))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names)
+            for first, last in portions(batch.column(1)):
+                docs_of = batch.column(0).slice(first, last - first)
+                body, ends = own.encode_column(batch.column(1).slice(first, last - first))
+                whole = np.insert(body, ends[1:], end_id)
+                begins = ends + np.arange(len(ends))  # with each document's end id
+                counts = np.diff(begins)
+                pieces_of = -(-counts // capacity)
+                of = np.repeat(np.arange(len(counts)), pieces_of)
+                start = capacity * (np.arange(len(of)) - np.repeat(np.cumsum(pieces_of) - pieces_of, pieces_of))
+                length = np.minimum(capacity, counts[of] - start)
+                at = begins[of] + start
+                raw = memoryview(whole).cast("B")
+                digests = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(at.tolist(), length.tolist())]
+                columns = [docs_of.take(pa.array(of)), *(pa.array(c, pa.int64()) for c in (start, length, digests, counts[of]))]
+                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+                if ids:
+                    bounds = pa.array(np.r_[at, len(whole)], pa.int32())
+                    columns.append(pa.ListArray.from_arrays(bounds, pa.array(whole.astype(np.int32))))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -172,11 +259,13 @@ def knapsack(prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(best[capacity]), pattern
 
 
-def column_generation(demand: np.ndarray, rounds: int = ROUNDS) -> list[tuple[np.ndarray, float]]:
+def column_generation(demand: np.ndarray, stalled: int = STALLED) -> list[tuple[np.ndarray, float]]:
     """Patterns and how often to use each, covering ``demand`` (pieces per class) in the linear relaxation.
 
     Class i has size i + 1 and the capacity is the number of classes. Starts from one pattern per
-    class, keeps the basis inverse and prices new columns with :func:`knapsack`.
+    class, keeps the basis inverse and prices new columns with :func:`knapsack`, until none improves it. The steps see
+    demands that differ by under a millionth from the given ones, so that no two amounts run out at once and no
+    basis comes back; the amounts returned are those of the given demands.
     """
     capacity = len(demand)
     used = np.flatnonzero(demand)
@@ -186,8 +275,13 @@ def column_generation(demand: np.ndarray, rounds: int = ROUNDS) -> list[tuple[np
     columns = np.zeros((m, m))
     np.fill_diagonal(columns, capacity // (used + 1))
     inverse = np.linalg.inv(columns)
-    amount = inverse @ demand[used].astype(float)
-    for step in range(rounds):
+    wanted = demand[used].astype(float)
+    apart = wanted + 1e-7 * (1 + np.random.default_rng(0).random(m))
+    amount = inverse @ apart
+    step, best, idle = 0, np.inf, 0
+    while idle < stalled:
+        gained = amount.sum() < best * (1 - 1e-15)
+        best, idle, step = min(best, amount.sum()), 0 if gained else idle + 1, step + 1
         prices = np.full(capacity, -1.0)
         prices[used] = inverse.sum(axis=0)
         value, pattern = knapsack(prices, capacity)
@@ -203,11 +297,12 @@ def column_generation(demand: np.ndarray, rounds: int = ROUNDS) -> list[tuple[np
         columns[:, leave] = entering
         if step % 100 == 99:
             inverse = np.linalg.inv(columns)
-            amount = np.maximum(inverse @ demand[used].astype(float), 0)
+            amount = np.maximum(inverse @ apart, 0)
             continue
         pivot = inverse[leave] / change[leave]
         inverse -= np.outer(change, pivot)
         inverse[leave] = pivot
+    amount = np.maximum(np.linalg.solve(columns, wanted), 0)
     out = []
     for k in range(m):
         pattern = np.zeros(capacity, dtype=np.int64)
@@ -216,7 +311,7 @@ def column_generation(demand: np.ndarray, rounds: int = ROUNDS) -> list[tuple[np
     return out
 
 
-def plan(demand: list[int], rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
+def plan(demand: list[int]) -> list[tuple[dict[int, int], int]]:
     """``({class: pieces per sequence}, sequences)``: patterns that use up ``demand`` exactly.
 
     Class c (1 to the number of classes) has size c. The linear program's amounts are rounded down; what is left,
@@ -225,7 +320,7 @@ def plan(demand: list[int], rounds: int = ROUNDS) -> list[tuple[dict[int, int],
     capacity = len(demand)
     left = [int(d) for d in demand]
     out: list[tuple[dict[int, int], int]] = []
-    for pattern, amount in column_generation(np.array(left, dtype=np.int64), rounds):
+    for pattern, amount in column_generation(np.array(left, dtype=np.int64)):
         sizes = {int(i) + 1: int(pattern[i]) for i in np.flatnonzero(pattern)}
         times = min([int(amount + 1e-6), *(left[c - 1] // k for c, k in sizes.items())])
         if times > 0:
@@ -251,9 +346,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN) -> Dat
     ``pieces`` has ``length`` (1 to ``capacity``) and any other columns, which stay. Repeated rows are packed one by
     one; an empty table packs to nothing. The broadcast plan has at most (capacity / grain) classes.
     """
-    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    given = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    names = [f"c{i}" for i in range(len(given))]  # inner columns begin with an underscore
+    length = F.col(names[given.index("length")])
+    pieces = pieces.select(*given).toDF(*names)
     classes = capacity // grain
-    classed = pieces.select(*names, F.ceil(F.col("length") / grain).cast("int").alias("_class"))
+    classed = pieces.select(*names, F.ceil(length / grain).cast("int").alias("_class"))
     ranked = number(classed, ["_class"], "_rank")
     histogram = dict(ranked.groupBy("_class").count().collect())  # at most ``classes`` rows
     if histogram and (min(histogram) < 1 or max(histogram) > classes):
@@ -282,9 +380,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN) -> Dat
         (F.col("_place.slot") + within % F.col("_place.each")).alias("_slot"),
     )
     before = Window.partitionBy("sequence_id").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    return seated.select(
-        *names, "sequence_id", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("bigint").alias("offset")
-    )
+    offset = F.coalesce(F.sum(length).over(before), F.lit(0)).cast("bigint")
+    return seated.select(*[F.col(n).alias(g) for n, g in zip(names, given)], "sequence_id", offset.alias("offset"))
 
 
 def packed(docs: DataFrame, tokenizer_file: str) -> DataFrame:

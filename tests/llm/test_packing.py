@@ -28,6 +28,39 @@ def test_chunks_give_the_texts_ids(tokenizer):
         assert np.frombuffer(own.encode_bytes(text), "<u4").tolist() == want, repr(text)
 
 
+def test_words_that_go_straight_to_the_merges(tokenizer):
+    rng = random.Random(12)
+    own = packing.ChunkTokenizer(FILE)
+    assert own.direct
+    signs = packing.LETTERS * 3 + "AÉΣς1,.'\x01́"
+    words = ["".join(rng.choices(signs if n % 4 else packing.LETTERS, k=rng.randint(1, 14))) for n in range(6000)]
+    got = own.encode_many(words)
+    for word, ids in zip(words, got):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(word, add_special_tokens=False).ids, repr(word)
+    own.direct = None
+    own.words.clear()
+    assert own.encode_many(words) == got
+
+
+def test_columns_of_texts(tokenizer, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "WORDS_TOGETHER", 3)
+    own = packing.ChunkTokenizer(FILE)
+    own.words.most = 5  # nearly everything is forgotten at once
+    texts = ["The THE the, cat.", None, "", "  a\n\nb  ", "x" * 300, "É é <|endoftext|>. \x01 it's", "The cat"] * 3
+    ids, ends = own.encode_column(pa.array(texts))
+    got = [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])]
+    assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert list(packing.portions(pa.array(["aa", None, "b" * 9, "", "c"]), 4)) == [(0, 2), (2, 3), (3, 5)]
+    assert own.encode_column(pa.array([], pa.string()))[1].tolist() == [0]
+
+
+def test_case_must_not_matter():
+    with pytest.raises(ValueError, match="does not drop"):
+        packing.ChunkTokenizer(vocab.path("byte_bpe_50k.json"))
+
+
 def check(rows, docs, tokenizer):
     ids = defaultdict(list)
     for r in docs:
@@ -98,6 +131,14 @@ def test_plan_uses_up_every_demand():
     assert packing.plan([0] * 8) == []
 
 
+def test_clashing_names(spark):
+    rows = [(n % 50 + 1, f"k{n}", n, "s", 1.0) for n in range(300)] + [(7, "twin", 1, "s", 1.0)] * 3
+    pieces = spark.createDataFrame(rows, "length bigint, _class string, _slot int, _n string, c0 double")
+    got = packing.pack(pieces, 64, 1)
+    assert got.columns == ["length", "_class", "_slot", "_n", "c0", "sequence_id", "offset"]
+    assert sorted(tuple(r)[:5] for r in got.collect()) == sorted(rows)
+
+
 def test_wrong_lengths_are_refused(spark):
     with pytest.raises(ValueError):
         packing.pack(spark.createDataFrame([(5000,)], "length bigint"))

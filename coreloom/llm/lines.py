@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from coreloom.llm.names import unused
 from coreloom.llm.registry import query, table
 from coreloom.llm.text import words
 from coreloom.operators.bounded import pin_small
@@ -65,15 +66,14 @@ def without_boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int =
     Every row stays, also if all its lines go. Repeated rows count as often as they occur. The lists
     of the hosts are broadcast if small by a checked size, else joined by host (skewed hosts are split).
     """
-    lists = pin_small(boilerplate(pages, ratio, min_pages))
+    gone = unused(pages.columns, "_dropped")
+    lists = pin_small(boilerplate(pages, ratio, min_pages).withColumnRenamed("_dropped", gone))
     none = F.array().cast("array<binary>")
     return (
         pages.join(lists, "_host", "left")
-        .withColumn("_dropped", F.coalesce("_dropped", none))
-        .withColumn(
-            "_kept", F.filter("_lines", lambda x: ~F.array_contains(F.col("_dropped"), F.unhex(F.md5(x))))
-        )
-        .drop("_dropped")
+        .withColumn(gone, F.coalesce(gone, none))
+        .withColumn("_kept", F.filter("_lines", lambda x: ~F.array_contains(F.col(gone), F.unhex(F.md5(x)))))
+        .drop(gone)
     )
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coreloom.llm import text
+from coreloom.llm.names import unused
 from coreloom.llm.registry import query, table
 from coreloom.operators.bounded import pin_small
 from coreloom.session import materialize
@@ -68,8 +69,11 @@ def measure(docs: DataFrame) -> DataFrame:
     replaced. Windows are compared by 64-bit hash within one text.
     """
     new = {*BASE, *METRICS, "base_failed"}
-    docs = docs.select(*[c for c in docs.columns if c not in new])
-    whole = F.coalesce(F.col("text"), F.lit(""))
+    given = [c for c in docs.columns if c not in new]
+    # inner names begin with an underscore; the caller's columns go by their positions meanwhile
+    names = [f"c{i}" for i in range(len(given))]
+    docs = docs.select(*given).toDF(*names)
+    whole = F.coalesce(F.col(names[given.index("text")]), F.lit(""))
     docs = docs.withColumn("_words", text.words(whole)).withColumn(
         "_lines", F.filter(F.split(whole, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     )
@@ -88,12 +92,12 @@ def measure(docs: DataFrame) -> DataFrame:
     )
     # A generated column, since a filter on a plain one would be pushed down with its expression and
     # evaluate the nested array functions once per element.
-    kept = [c for c in docs.columns if c not in ("_words", "_lines", "_windows", "_positions")]
-    docs = docs.select(*kept, F.explode_outer(F.array(counts)).alias("_counts")).select(*kept, "_counts.*")
+    docs = docs.select(*names, F.explode_outer(F.array(counts)).alias("_counts")).select(*names, "_counts.*")
     n = F.greatest(F.col("n_words"), F.lit(1))
     chars = F.greatest(F.col("word_chars"), F.lit(1))
     return docs.select(
-        *[c for c in docs.columns if c not in ("_n_lines", "_upper", "_shouts")],
+        *[F.col(n).alias(g) for n, g in zip(names, given)],
+        *BASE,
         ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
         (F.col("n_symbols") / n).alias("symbols"),
         (F.col("n_dup_lines") / F.greatest(F.col("_n_lines"), F.lit(1))).alias("dup_lines"),
@@ -195,10 +199,12 @@ def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> Dat
     Strata without cutoffs keep what passes the base rules. The cutoffs are broadcast if small by a
     checked size, else joined.
     """
-    rows = measured.withColumn("_stratum", F.coalesce(F.col(stratum).cast("string"), F.lit("")))
-    joined = rows.join(pin_small(cutoffs), "_stratum", "left")
-    kept = ~F.col("base_failed") & ~_beyond(F.coalesce(F.col("cutoffs"), F.array().cast("array<double>")))
-    return joined.withColumn("kept", kept).drop("_stratum", "cutoffs")
+    own, limits = unused(measured.columns, "_stratum"), unused(measured.columns, "cutoffs")
+    rows = measured.withColumn(own, F.coalesce(F.col(stratum).cast("string"), F.lit("")))
+    known = cutoffs.select(F.col("_stratum").alias(own), F.col("cutoffs").alias(limits))
+    joined = rows.join(pin_small(known), own, "left")
+    kept = ~F.col("base_failed") & ~_beyond(F.coalesce(F.col(limits), F.array().cast("array<double>")))
+    return joined.withColumn("kept", kept).drop(own, limits)
 
 
 def filter_good(docs: DataFrame, labels: DataFrame) -> DataFrame:

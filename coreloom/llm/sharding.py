@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from coreloom.llm.names import unused
 from coreloom.llm.numbering import number
 from coreloom.llm.registry import query, table
 
@@ -71,7 +72,7 @@ def place(df: DataFrame, key: str, root: Node, name: str = "shard") -> DataFrame
     The key alone decides: equal keys, null included, share a shard. A column called ``name`` is replaced.
     """
     inner = [c for c in df.columns if c != name]
-    at, level = "_node_at", [root]
+    at, level = unused([*inner, name, key], "_node_at"), [root]
     df = df.select(*inner).withColumn(at, F.lit(root.name))
     while any(node.children for node in level):
         choice = F.col(at)

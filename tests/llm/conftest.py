@@ -2,6 +2,9 @@ import pytest
 from pyspark.sql import Row
 
 SF = "/root/testdata/sf0.001"
+#: Names that operators use for columns of their own.
+INNER = ["_mark", "_class", "_slot", "_n", "_h", "cutoffs", "_dropped", "_node_at", "_words", "_lines", "_windows", "_positions",
+         "_stratum", "_whole", "_id", "_own", "_rest", "_group", "_length", "c0", "c1", "_rank", "_place"]
 
 
 @pytest.fixture(scope="session")
@@ -23,9 +26,9 @@ def odd_docs(spark):
         (9, "a\nb\n\na\nb  c d\x0be 😀 <|endoftext|> ▁x", "en", "s2"),
     ]
     return spark.createDataFrame(
-        [Row(doc_id=a, text=b, lang=c, source=d, n_chars=len(b) if b is not None else None, ids="q", _row="r", shard="s", fingerprint=3.5, rule="z", stratum="y")
+        [Row(doc_id=a, text=b, lang=c, source=d, n_chars=len(b) if b is not None else None, ids="q", _row="r", shard="s", fingerprint=3.5, rule="z", stratum="y", **dict.fromkeys(INNER, "own"))
          for a, b, c, d in rows],
-        "doc_id bigint, text string, lang string, source string, n_chars bigint, ids string, _row string, shard string, fingerprint double, rule string, stratum string",
+        "doc_id bigint, text string, lang string, source string, n_chars bigint, ids string, _row string, shard string, fingerprint double, rule string, stratum string, " + ", ".join(f"{c} string" for c in INNER),
     )
 
 

@@ -1,8 +1,11 @@
 """The hash tree: contract columns, balance, weights and movement."""
 
+import math
+import struct
 import zlib
 from collections import Counter, defaultdict
 
+import xxhash
 from pyspark.sql import functions as F
 
 from coreloom.llm import numbering, sharding
@@ -28,6 +31,27 @@ def test_contract(spark, sf, odd_docs):
     assert sharded(odd_docs.limit(0), tree(2, 3, 4), tree(2, 3, 4, 1)).count() == 0
 
 
+def test_draws_recomputed(spark):
+    """Every row's shard, walked down the tree with plain weighted hash draws."""
+
+    def walk(key, node):
+        while node.children:
+            drawn = []
+            for child in node.children:
+                if child.weight > 0:
+                    first = xxhash.xxh64(struct.pack("<q", key), seed=42).intdigest()
+                    bits = xxhash.xxh64(child.name.encode(), seed=first).intdigest() >> 12
+                    drawn.append((-math.log((bits + 0.5) / 2**52) / child.weight, child.name, child))
+            node = min(drawn)[2]
+        return node.shard
+
+    heavy = Node("", (Node("A", (Node("a", shard=0, leaf_weight=3.0), Node("b", shard=1, leaf_weight=0.0))), Node("C", shard=2, leaf_weight=1.5)))
+    keys = spark.range(-2000, 2000).withColumnRenamed("id", "_node_at")
+    for root in (tree(2, 3, 4), tree(2, 3, 4, 1), heavy):
+        rows = place(keys, "_node_at", root).collect()
+        assert all(r["shard"] == walk(r["_node_at"], root) for r in rows)
+
+
 def test_balance_and_growth(spark):
     keys = spark.range(60_000).withColumnRenamed("id", "k")
     rows = place(place(keys, "k", tree(2, 3, 4), "a"), "k", tree(2, 3, 4, 1), "b").collect()

@@ -139,6 +139,8 @@ def keep_features(df: DataFrame, indices: Sequence[int]) -> DataFrame:
 def class_weight(df: DataFrame, label: str = "label") -> Column:
     """Balanced weight n / (classes * n_class) as an expression over the label."""
     counts = small_rows(df.groupBy(label).count(), 10_000, "classes")
+    if not counts:
+        return F.lit(None).cast("double")
     total = sum(r["count"] for r in counts)
     entries = [F.lit(v) for r in counts for v in (r[label], total / (len(counts) * r["count"]))]
     return F.try_element_at(F.create_map(*entries), F.col(label))

@@ -46,7 +46,9 @@ COMPRESSED_APPLICATION_ENTROPY_PCA = Forest(trees=150, depth=20)
 
 
 def fit_forest(df: DataFrame, forest: Forest, label: str = "label") -> RandomForestClassificationModel:
-    """Fit on ``features`` arrays and integer class codes 0..C-1."""
+    """Fit on ``features`` arrays and integer class codes 0..C-1; an empty table is an error."""
+    if df.isEmpty():
+        raise ValueError("no rows to fit a forest on")
     rows = df.select(array_to_vector("features").alias("_vector"), F.col(label).cast("double").alias("_label"))
     estimator = RandomForestClassifier(
         featuresCol="_vector",

@@ -43,23 +43,11 @@ def sensors_wide_by_node(spark, sf):
     return rounded(shape.sensors_to_wide(S.sensor_long(spark, sf), Q.EVENT_TYPES), Q.EVENT_TYPES)
 
 
-# Every node, each without one of the sensors, so that the union has columns to fill.
-_MISSING = {f"node{i}": Q.EVENT_TYPES[i] for i in range(4)}
-_UNION_SQL = ", ".join(
-    "round(avg(reading) FILTER (WHERE sensor = '{s}' AND \"Node\" NOT IN ({n})), 6) + 0.0 AS {s}".format(
-        s=s, n=", ".join([f"'{node}'" for node, gone in _MISSING.items() if gone == s] or ["''"])
-    )
-    for s in Q.EVENT_TYPES
-)
-
-
-@query("union_nodes", f"""WITH {Q.SENSORS} SELECT "Time", "Node", {_UNION_SQL} FROM sensor_long GROUP BY "Time", "Node" """)
+@query("union_nodes", f'WITH {Q.SENSORS} SELECT "Time", "Node", {_BY_SENSOR} FROM sensor_long GROUP BY "Time", "Node"')
 def union_nodes(spark, sf):
+    """Every node's own table with all sensors it has, one under the other."""
     long = S.sensor_long(spark, sf)
-    parts = [
-        shape.sensors_to_wide(long.where(F.col("Node") == n), [s for s in Q.EVENT_TYPES if s != gone])
-        for n, gone in _MISSING.items()
-    ]
+    parts = [shape.sensors_to_wide(long.where(F.col("Node") == n), Q.EVENT_TYPES) for n in S.NODES]
     return rounded(shape.union_nodes(parts), Q.EVENT_TYPES)
 
 
@@ -73,27 +61,32 @@ def parse_time(spark, sf):
     "dataset_fingerprint",
     f"""WITH {Q.LINES} SELECT count(*) AS "rows",
     CAST(sum(CAST('0x' || substr(md5(concat_ws('|', row_id, label, CAST(round(l_quantity * 100) AS BIGINT),
-      CAST(round(l_discount * 100) AS BIGINT), CAST(round(l_tax * 100) AS BIGINT))), 1, 8) AS BIGINT)) AS VARCHAR) AS digest
+      CAST(round(l_extendedprice * 100) AS BIGINT), CAST(round(l_discount * 100) AS BIGINT), CAST(round(l_tax * 100) AS BIGINT))), 1, 8) AS BIGINT)) AS VARCHAR) AS digest
     FROM lines""",
 )
 def dataset_fingerprint(spark, sf):
     lines = S.wide_num(spark, sf)
-    scaled = [F.round(F.col(c) * 100).cast("bigint") for c in ("l_quantity", "l_discount", "l_tax")]
+    scaled = [F.round(F.col(c) * 100).cast("bigint") for c in S.NUMERIC]
     return stages.fingerprint(lines, [F.col("row_id"), F.col("label"), *scaled])
 
 
+_EXPORTED = ", ".join(f"CAST(round({c} * 100) AS BIGINT) AS \"{i}\"" for i, c in enumerate(Q.NUMERIC))
+
+
 @query(
     "export_datasets",
-    f"""WITH {Q.LINES} SELECT 'full_dataset' AS dataset, CAST(label AS VARCHAR) AS "Value", count(*) AS n FROM lines GROUP BY label
-    UNION ALL SELECT 'core_dataset', CAST(label AS VARCHAR), count(*) FROM lines WHERE md5('42:' || row_id) < '05' GROUP BY label""",
+    f"""WITH {Q.LINES} SELECT 'full_dataset' AS dataset, {_EXPORTED}, CAST(label AS VARCHAR) AS "Value" FROM lines
+    UNION ALL SELECT 'core_dataset', {_EXPORTED}, CAST(label AS VARCHAR) FROM lines WHERE md5('42:' || row_id) < '05'""",
 )
 def export_datasets(spark, sf):
-    """Write both feature tables as CSV, read them back and count."""
+    """Write both feature tables as CSV and read every cell back (in hundredths, which CSV text keeps exactly)."""
     full = S.wide_features(spark, sf)
     tables = {"full_dataset": full, "core_dataset": S.core_of(full)}
     paths = sinks.export_datasets(tables, scratch_path(spark, "export"), dict.fromkeys(tables, 4))
     written = {n: spark.read.option("header", True).csv(p) for n, p in paths.items()}
-    return profile.tagged(written, ["Value"]).groupBy("dataset", "Value").agg(F.count(F.lit(1)).alias("n"))
+    cells = [str(i) for i in range(4)]
+    rows = profile.tagged(written, [*[F.col(f"`{c}`") for c in cells], "Value"])
+    return rows.select("dataset", *[F.round(F.col(f"`{c}`").cast("double") * 100).cast("bigint").alias(c) for c in cells], "Value")
 
 
 _FOUR = {k: v for k, v in S.EVENT_CODES.items() if k != "view"}

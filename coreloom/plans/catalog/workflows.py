@@ -13,7 +13,8 @@ from coreloom.plans import standins as S
 from coreloom.plans import workflow
 from coreloom.plans.catalog import sql as Q
 from coreloom.plans.catalog.registry import query
-from coreloom.session import materialize
+from coreloom.session import materialize, scratch_root
+from coreloom.sources.stages import Stages
 
 
 def sensor_features(spark, sf):
@@ -24,12 +25,35 @@ def sensor_features(spark, sf):
     return rows.select(F.col("Time").cast("string").alias("row_id"), "Time", "features", F.col("Value").alias("label"))
 
 
+ORDER_NAMES = ["o_totalprice", "o_custkey", "day", "weekday"]
+
+
+def order_features(spark, sf):
+    """(row_id, Time, features, label) from the orders, the status as label."""
+    status = F.col("o_orderstatus")
+    label = F.when(status == "F", 0).when(status == "O", 1).when(status == "P", 2)
+    cells = ["o_totalprice", "o_custkey", F.dayofyear("o_orderdate"), F.dayofweek("o_orderdate")]
+    return S.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("row_id"),
+        F.col("o_orderdate").alias("Time"),
+        F.array(*[(F.col(c) if isinstance(c, str) else c).cast("double") for c in cells]).alias("features"),
+        label.alias("label"),
+    )
+
+
+def stage_store(spark):
+    """Where the workflows keep their stages: the same for all runs that share a scratch folder."""
+    return Stages(spark, f"{scratch_root(spark)}/coreloom/stages")
+
+
 def execute(name, spark, sf):
-    """Anomaly plans read the embeddings, except where the raw-variance filter needs sensor units."""
-    plan = workflow.PLANS[name]
-    if plan.split == "time" or plan.filter_first:
-        return workflow.run(sensor_features(spark, sf), replace(plan, impute=True), Q.CELLS)
-    return workflow.run(S.features(spark, sf), plan, S.EMBEDDING_NAMES)
+    """Plans that keep a fiftieth of the core set read the orders, whose core is large enough; other anomaly plans the embeddings, application plans the sensors."""
+    plan, store = workflow.PLANS[name], stage_store(spark)
+    if plan.compress == "stratified" and not plan.guarded:
+        return workflow.run(order_features(spark, sf), plan, ORDER_NAMES, store=store)
+    if plan.split == "time":
+        return workflow.run(sensor_features(spark, sf), replace(plan, impute=True), Q.CELLS, store=store)
+    return workflow.run(S.features(spark, sf), plan, S.EMBEDDING_NAMES, store=store)
 
 
 def _summary(name, spark, sf):
@@ -73,3 +97,45 @@ def run_evaluation(spark, sf):
 def top_feature_similarity_log(spark, sf):
     """The similarity log restricted to the features the full forest ranks highest."""
     return execute("application_kmeans_stratified", spark, sf).similarity_log(50)
+
+
+def _split_sql(split):
+    held = "CAST(ceil(0.2 * count(*)) AS BIGINT)"
+    kept = f"count(*) - {held}" if split == "stratified" else "CAST(floor(0.8 * count(*)) AS BIGINT)"
+    return f"""SELECT {kept} AS train_rows, count(*) - ({kept}) AS test_rows, true AS both_tails, true AS a_fiftieth,
+    true AS quotas_in_proportion, true AS rows_of_the_core, CAST(3 AS BIGINT) AS models, true AS every_test_row_scored FROM orders"""
+
+
+def _sampled_facts(name, spark, sf):
+    """A run that keeps a fiftieth of its core: rows per table, and each class's quota within one row of its share."""
+    run = execute(name, spark, sf)
+    train, test = run.train.count(), run.test.count()
+    core = run.core.groupBy("label").agg(F.count(F.lit(1)).alias("core_rows"))
+    small = run.compressed.groupBy("label").agg(F.count(F.lit(1)).alias("rows"))
+    both = core.join(small, "label", "left").select("core_rows", F.coalesce("rows", F.lit(0)).alias("rows"))
+    total, kept = F.sum("core_rows"), F.sum("rows")
+    sizes = both.agg(total.alias("core"), kept.alias("kept"))
+    near = both.crossJoin(F.broadcast(sizes)).agg(
+        F.every(F.abs(F.col("rows") - F.col("core_rows") * F.col("kept") / F.col("core")) < 1).alias("quotas_in_proportion")
+    )
+    tails = run.core.agg(
+        (F.count_if(F.col("row_id").endswith("#high")) >= train // 100).alias("high"),
+        (F.count_if(F.col("row_id").endswith("#low")) >= train // 100).alias("low"),
+    )
+    strangers = run.compressed.join(run.core, "row_id", "left_anti").agg((F.count(F.lit(1)) == 0).alias("rows_of_the_core"))
+    scored = run.predictions.groupBy("model").agg((F.count(F.lit(1)) == test).alias("whole"))
+    scored = scored.agg(F.count(F.lit(1)).alias("models"), F.every("whole").alias("every_test_row_scored"))
+    return near.crossJoin(sizes).crossJoin(tails).crossJoin(strangers).crossJoin(scored).select(
+        F.lit(train).cast("bigint").alias("train_rows"),
+        F.lit(test).cast("bigint").alias("test_rows"),
+        (F.col("high") & F.col("low")).alias("both_tails"),
+        (F.col("kept") == F.floor(F.col("core") / 50)).alias("a_fiftieth"),
+        "quotas_in_proportion",
+        "rows_of_the_core",
+        "models",
+        "every_test_row_scored",
+    )
+
+
+for _name in ("anomaly_entropy_stratified", "application_entropy_stratified"):
+    query(f"workflow_{_name}_facts", _split_sql(workflow.PLANS[_name].split))(partial(_sampled_facts, _name))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
+from functools import cache
 
+from pyspark.ml.classification import RandomForestClassificationModel
+from pyspark.ml.feature import PCAModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,8 @@ from coreloom.operators import features as FE
 from coreloom.operators import clusters, metrics, models, profile, select, similarity, split
 from coreloom.operators.models import Forest
 from coreloom.operators.reduce import Components, fit_pca
-from coreloom.session import materialize
+from coreloom.session import scratch_path
+from coreloom.sources.stages import Stage, Stages, content_key
 
 
 @dataclass(frozen=True)
@@ -34,7 +37,7 @@ class Plan:
     single: bool = False
     impute: bool = False
     guarded: bool = True
-    method: str = "lloyd"
+    method: str = "nested"
     seed: int = 42
 
     def cluster_count(self, rows: int) -> int:
@@ -82,7 +85,7 @@ PLANS = {
     "application_kmeans_stratified": Plan(
         "time", "kmeans", "stratified",
         models.FULL_APPLICATION, models.CORE_DEEP, models.COMPRESSED,
-        threshold=0.1, clusters=500, fraction=1 / 2,
+        threshold=0.1, clusters=500, fraction=1 / 2, method="lloyd",
     ),
 }
 
@@ -99,24 +102,20 @@ class Run:
     compressed: DataFrame
     test_compressed: DataFrame
     forests: dict
+    #: test-set predictions of the three forests, tagged ``model``; scored once a run
+    predictions: DataFrame
     components: Components | None = None
     stages: list[tuple] = field(default_factory=list)
 
     def tables(self) -> dict[str, DataFrame]:
         return {"full": self.train, "core": self.core, "compressed": self.compressed}
 
-    def predictions(self) -> DataFrame:
-        """Test-set predictions of the three forests, tagged ``model``."""
-        tests = {"full": self.test, "core": self.test, "compressed": self.test_compressed}
-        scored = {n: models.predict(m, tests[n]) for n, m in self.forests.items()}
-        return profile.tagged(scored, ["row_id", "label", "prediction", "probability"], "model")
-
     def comparison(self) -> DataFrame:
         """Accuracy, weighted precision, recall and F1 per model."""
-        return metrics.scores(self.predictions(), by=["model"])
+        return metrics.scores(self.predictions, by=["model"])
 
     def report(self) -> DataFrame:
-        return metrics.classification_report(self.predictions(), by=["model"])
+        return metrics.classification_report(self.predictions, by=["model"])
 
     def summary(self) -> DataFrame:
         """Per table: rows, scores of its forest, compression ratio, size and features."""
@@ -144,8 +143,7 @@ class Run:
         return metrics.roc_auc(self._class_scores(), by=("model", "class"))
 
     def _class_scores(self) -> DataFrame:
-        tests = {"full": self.test, "core": self.test, "compressed": self.test_compressed}
-        scored = {n: metrics.one_vs_rest(models.predict(m, tests[n])) for n, m in self.forests.items()}
+        scored = {n: metrics.one_vs_rest(self.predictions.where(F.col("model") == n)) for n in self.forests}
         return profile.tagged(scored, ["class", "score", "positive"], "model")
 
     def leakage(self) -> DataFrame:
@@ -189,78 +187,127 @@ class Run:
         return FE.name_features(similarity.similarity_log(stacked), self.names)
 
     def timings(self) -> DataFrame:
-        """(stage, seconds, rows, logical_mb)."""
+        """(stage, seconds, rows, logical_mb, reused); the seconds are those of the build, also of a reused stage."""
         return self.train.sparkSession.createDataFrame(
-            self.stages, "stage string, seconds double, rows bigint, logical_mb double"
+            self.stages, "stage string, seconds double, rows bigint, logical_mb double, reused boolean"
         )
 
 
-def run(df: DataFrame, plan: Plan, names: Sequence[str], time_column: str = "Time") -> Run:
+def run(df: DataFrame, plan: Plan, names: Sequence[str], time_column: str = "Time", store: Stages | None = None) -> Run:
     """Execute a plan on (row_id, features, label) rows, plus a time column for time splits.
 
     With ``impute``, empty feature cells get the feature's mean over the training rows.
 
     Each stage result is written once to the shared folder: forests and clusterings
-    read it many times, and a lost executor then costs a re-read, not a re-run.
+    read it many times, and a lost executor then costs a re-read, not a re-run. With a ``store``, tables and models
+    found there under the same settings and input content are taken from it; a run that changes nothing fits nothing.
     """
+    spark = df.sparkSession
+    store = store or Stages(spark, scratch_path(spark, "run"))
     stages: list[tuple] = []
 
-    def stage(name: str, build) -> DataFrame:
-        started = time.monotonic()
-        table = materialize(build(), name)
-        size = table.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("w")).first()
-        megabytes = size["n"] * (size["w"] or 0) * 8 / 1024.0**2
-        stages.append((name, time.monotonic() - started, size["n"], megabytes))
-        return table
+    def noted(stage: Stage, width: int | None = None) -> Stage:
+        megabytes = None if stage.rows is None else stage.rows * (width or 0) * 8 / 1024.0**2
+        stages.append((stage.name, stage.seconds, stage.rows, megabytes, stage.reused))
+        return stage
 
-    def fit(name: str, table: DataFrame, forest: Forest):
-        started = time.monotonic()
-        model = models.fit_forest(table, forest)
-        stages.append((name, time.monotonic() - started, None, None))
-        return model
+    def fit(name: str, table: Stage, forest: Forest):
+        params = {"table": table.digest, "forest": asdict(forest)}
+        rows = widen(table.table)
+        model, stage = store.model(name, params, lambda: (models.fit_forest(rows, forest), {}), RandomForestClassificationModel.load)
+        noted(stage)
+        return model, stage
 
     keep = ["row_id", "label", "features"]
-    if plan.split == "time":
-        train, test = split.time_split(df, 0.8, time_column)
-    else:
-        train, test = split.stratified_split(df, 0.2, seed=plan.seed)
-    train, test = train.select(*keep), test.select(*keep)
-    if plan.impute:
-        means = FE.cell_means(train)
-        train, test = FE.fill_cells(train, means), FE.fill_cells(test, means)
-
-    # One pass over the training rows yields the moments for both the filter and the scaler.
-    scaler = FE.fit_scaler(train)
-    kept = scaler.passing(plan.threshold, scaled=not plan.filter_first)
-    chosen = scaler.subset(kept)
-    train, test = chosen.apply(FE.keep_features(train, kept)), chosen.apply(FE.keep_features(test, kept))
-    if plan.single:
-        train, test = FE.cast_float32(train), FE.cast_float32(test)
-    train, test = widen(stage("train", lambda: train)), widen(stage("test", lambda: test))
+    ordered = [time_column] if plan.split == "time" else []
+    split_by = {"time": time_column, "ratio": 0.8} if ordered else {"held": 0.2, "seed": plan.seed}
+    prepared_by = {
+        "input": content_key(df.select(*keep, *ordered)), "split": split_by, "impute": plan.impute, "single": plan.single,
+        "threshold": plan.threshold, "filter_first": plan.filter_first,
+    }
+
+    @cache
+    def prepared() -> tuple[DataFrame, DataFrame, list[int]]:
+        if plan.split == "time":
+            train, test = split.time_split(df, 0.8, time_column)
+        else:
+            train, test = split.stratified_split(df, 0.2, seed=plan.seed)
+        train, test = train.select(*keep), test.select(*keep)
+        if plan.impute:
+            means = FE.cell_means(train)
+            train, test = FE.fill_cells(train, means), FE.fill_cells(test, means)
+        # One pass over the training rows yields the moments for both the filter and the scaler.
+        scaler = FE.fit_scaler(train)
+        kept = scaler.passing(plan.threshold, scaled=not plan.filter_first)
+        chosen = scaler.subset(kept)
+        train, test = chosen.apply(FE.keep_features(train, kept)), chosen.apply(FE.keep_features(test, kept))
+        if plan.single:
+            train, test = FE.cast_float32(train), FE.cast_float32(test)
+        return train, test, kept
+
+    train_stage = store.table("train", prepared_by, lambda: prepared()[0], lambda: {"kept": prepared()[2]})
+    kept = train_stage.note["kept"]
+    noted(train_stage, len(kept))
+    test_stage = noted(store.table("test", prepared_by, lambda: prepared()[1]), len(kept))
+    train, test = widen(train_stage.table), widen(test_stage.table)
     names = [names[i] for i in kept]
 
-    forests = {"full": fit("fit_full", train, plan.full)}
+    full, full_stage = fit("fit_full", train_stage, plan.full)
     if plan.select == "entropy":
-        scored = select.with_entropy(models.predict(forests["full"], train)).select(*keep, "entropy")
-        scored = stage("entropy", lambda: scored)
-        core = stage("core", lambda: banded_core(scored, keep))
+        def scored() -> DataFrame:
+            return select.with_entropy(models.predict(full, train)).select(*keep, "entropy")
+
+        entropy = noted(store.table("entropy", {"table": train_stage.digest, "model": full_stage.digest}, scored), len(kept))
+        core_stage = store.table("core", {"entropy": entropy.digest}, lambda: banded_core(entropy.table, keep))
     else:
-        clusters = plan.cluster_count(train.count())
-        core = stage("core", lambda: select.kmeans_core_set(train, clusters, plan.seed, method=plan.method).select(*keep))
-    forests["core"] = fit("fit_core", core, plan.core)
+        k = plan.cluster_count(train_stage.rows)
+        by = {"table": train_stage.digest, "k": k, "seed": plan.seed, "method": plan.method}
+        core_stage = store.table("core", by, lambda: select.kmeans_core_set(train, k, plan.seed, method=plan.method).select(*keep))
+    noted(core_stage, len(kept))
+    core = core_stage.table
+    core_model, core_fit = fit("fit_core", core_stage, plan.core)
 
     components = None
     if plan.compress == "pca":
-        components = fit_pca(core, plan.share)
-        compressed = stage("compressed", lambda: components.transform(core, single=plan.single))
-        test_compressed = components.transform(test, single=plan.single)
-        compressed, test_compressed = widen(compressed), widen(test_compressed)
+        components, pca_stage = fitted_components(store, core_stage, plan.share)
+        noted(pca_stage)
+        by = {"table": core_stage.digest, "components": pca_stage.digest, "single": plan.single}
+        compressed_stage = store.table("compressed", by, lambda: components.transform(core, single=plan.single).select(*keep))
+        noted(compressed_stage, components.k)
+        compressed = widen(compressed_stage.table)
+        test_compressed = widen(components.transform(test, single=plan.single))
     else:
-        shrink = split.stratified_compress_guarded if plan.guarded else split.stratified_compress
-        compressed = stage("compressed", lambda: shrink(core, plan.fraction, seed=plan.seed).select(*keep))
-        test_compressed = test
-    forests["compressed"] = fit("fit_compressed", compressed, plan.compressed)
-    return Run(plan, names, train, test, core, compressed, test_compressed, forests, components, stages)
+        def shrunk() -> DataFrame:
+            if plan.guarded:
+                return split.stratified_compress_guarded(core, plan.fraction, seed=plan.seed).select(*keep)
+            return split.stratified_compress(core, plan.fraction, seed=plan.seed, strict=True).select(*keep)
+
+        by = {"table": core_stage.digest, "fraction": plan.fraction, "guarded": plan.guarded, "seed": plan.seed}
+        compressed_stage = noted(store.table("compressed", by, shrunk), len(kept))
+        compressed, test_compressed = compressed_stage.table, test
+    small_model, small_fit = fit("fit_compressed", compressed_stage, plan.compressed)
+
+    forests = {"full": full, "core": core_model, "compressed": small_model}
+    tests = {"full": test, "core": test, "compressed": test_compressed}
+
+    def predicted() -> DataFrame:
+        scored = {n: models.predict(m, tests[n]) for n, m in forests.items()}
+        return profile.tagged(scored, ["row_id", "label", "prediction", "probability"], "model")
+
+    by = {"table": test_stage.digest, "models": [full_stage.digest, core_fit.digest, small_fit.digest], "compressed": compressed_stage.digest}
+    predictions = noted(store.table("predictions", by, predicted)).table
+    return Run(plan, names, train, test, core, compressed, test_compressed, forests, predictions, components, stages)
+
+
+def fitted_components(store: Stages, table: Stage, share: float) -> tuple[Components, Stage]:
+    """The principal components of a stage's table, fitted or loaded."""
+
+    def fit() -> tuple:
+        found = fit_pca(table.table, share)
+        return found.model, {"means": found.means, "explained": found.explained, "k": found.k}
+
+    model, stage = store.model("fit_pca", {"table": table.digest, "share": share}, fit, PCAModel.load)
+    return Components(stage.note["means"], model, stage.note["explained"], stage.note["k"]), stage
 
 
 def widen(df: DataFrame) -> DataFrame:

@@ -17,6 +17,16 @@ def test_every_counterpart_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
+# A fiftieth of the core set of the smallest tables has fewer rows than classes, which is an error.
+LARGER = {"workflow_anomaly_entropy_stratified_facts", "workflow_application_entropy_stratified_facts"}
+
+
+@pytest.mark.parametrize("name", sorted(set(ORACLES) - LARGER))
 def test_query_equals_sql(spark, con, name):
     assert oracle.difference(QUERIES[name](spark, SF_DIR), con, ORACLES[name]) is None
+
+
+@pytest.mark.parametrize("name", sorted(LARGER))
+def test_query_equals_sql_on_larger_tables(spark, name):
+    larger = SF_DIR.replace("0.001", "0.01")
+    assert oracle.difference(QUERIES[name](spark, larger), oracle.connect(larger), ORACLES[name]) is None

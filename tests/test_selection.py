@@ -1,9 +1,12 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from coreloom.operators import models, reduce, select
 from coreloom.plans import workflow
+from coreloom.sources.stages import Stages
 
 
 def test_equal_thresholds_select_every_row_twice(spark):
@@ -135,8 +138,6 @@ def test_components(vectors):
 
 def small(plan):
     few = models.Forest(trees=5, depth=4)
-    from dataclasses import replace
-
     return replace(plan, full=few, core=few, compressed=few, clusters=6, fraction=max(plan.fraction, 0.2))
 
 
@@ -155,6 +156,44 @@ def test_workflow(vectors, name):
     assert stages[0] == "train" and "fit_compressed" in stages
 
 
+@pytest.mark.parametrize("name", ["anomaly_kmeans_pca", "application_entropy_stratified"])
+def test_a_second_run_fits_nothing(spark, vectors, name, tmp_path, monkeypatch):
+    store = Stages(spark, str(tmp_path))
+    plan = small(workflow.PLANS[name])
+    timed = vectors.withColumn("Time", F.col("row_id"))
+    names = ["a", "b", "c", "d"]
+    first = workflow.run(timed, plan, names, store=store)
+    want = sorted(map(str, first.report().collect()))
+    assert not any(r["reused"] for r in first.timings().collect())
+
+    def refuse(*_):
+        raise AssertionError("fitted again")
+
+    fitting = [(models, "fit_forest"), (workflow, "fit_pca"), (select, "kmeans_core_set"), (workflow.FE, "fit_scaler")]
+    with monkeypatch.context() as patched:
+        for module, fit in fitting:
+            patched.setattr(module, fit, refuse)
+        again = workflow.run(timed.repartition(3), plan, names, store=store)
+        assert all(r["reused"] for r in again.timings().collect())
+        assert sorted(map(str, again.report().collect())) == want and again.names == first.names
+        cell = F.when(F.col("row_id") == 5, F.array(*[F.lit(x) for x in (9.0, 1.0, 0.0, 3.0)])).otherwise(F.col("features"))
+        with pytest.raises(AssertionError, match="fitted again"):
+            workflow.run(timed.withColumn("features", cell), plan, names, store=store)
+    other = workflow.run(timed, replace(plan, compressed=models.Forest(trees=3, depth=2)), names, store=store)
+    assert [r["stage"] for r in other.timings().collect() if not r["reused"]] == ["fit_compressed", "predictions"]
+
+
+def test_too_small_samples_are_refused(vectors):
+    plan = replace(small(workflow.PLANS["anomaly_entropy_stratified"]), fraction=0.001)
+    with pytest.raises(ValueError, match="too small"):
+        workflow.run(vectors, plan, ["a", "b", "c", "d"])
+    with pytest.raises(ValueError, match="no rows"):
+        models.fit_forest(vectors.limit(0), models.Forest())
+    from coreloom.operators.features import class_weight
+
+    assert vectors.limit(0).select(class_weight(vectors.limit(0)).alias("w")).dtypes == [("w", "double")]
+
+
 def test_evaluation_of_a_run(vectors):
     run = workflow.run(vectors, small(workflow.PLANS["anomaly_kmeans_pca"]), ["a", "b", "c", "d"])
     points = run.roc().collect()

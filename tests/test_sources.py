@@ -143,6 +143,20 @@ def test_stages_are_reused(spark, vectors, tmp_path):
     assert len(calls) == 2
 
 
+def test_a_stage_without_its_marker_is_built_again(spark, vectors, tmp_path):
+    store = stages.Stages(spark, str(tmp_path / "stages"))
+    first = store.table("step", {"a": 1}, lambda: vectors, lambda: {"kept": [0, 2]})
+    assert (first.rows, first.note, first.reused) == (120, {"kept": [0, 2]}, False)
+    again = store.table("step", {"a": 1}, lambda: vectors.limit(1))
+    assert again.reused and again.digest == first.digest and again.note == first.note and again.table.count() == 120
+    (tmp_path / "stages" / "step" / (first.key + ".done")).rename(tmp_path / "lost")
+    assert store.load("step", {"a": 1}) is None
+    assert store.table("step", {"a": 1}, lambda: vectors.repartition(5)).digest == first.digest
+    empty = store.table("step", {"a": 2}, lambda: vectors.limit(0))
+    assert empty.rows == 0 and empty.digest != first.digest
+    assert stages.content_key(vectors) == stages.content_key(vectors.repartition(3)) != stages.content_key(vectors.limit(5))
+
+
 def test_fingerprint_ignores_order_but_not_content(vectors):
     same = stages.feature_fingerprint(vectors.repartition(7))
     assert stages.feature_fingerprint(vectors) == same

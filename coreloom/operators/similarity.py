@@ -61,7 +61,7 @@ def distribution_distances(stacked: DataFrame) -> DataFrame:
 
 
 def ks_two_sample(stacked: DataFrame) -> DataFrame:
-    """(feature, n_full, n_other, ks_stat, ks_p), asymptotic p-value."""
+    """(feature, n_full, n_other, ks_stat, ks_p): exact p-value up to 10,000 rows, else that of the finite-sample law."""
     d = distribution_distances(stacked).drop("wasserstein")
     return d.withColumn(
         "ks_p", ks_p_value("ks_stat", F.col("n_full").cast("double"), F.col("n_other").cast("double"))

@@ -90,7 +90,45 @@ def test_tail_probabilities():
     assert abs(special.chi_square_tail(18.307038053275146, 10) - 0.05) < 1e-9
     assert abs(special.student_tail(2.2281388519649385, 10) - 0.05) < 1e-9
     assert abs(special.student_tail(1.0, 1.0) - 0.5) < 1e-12
-    assert abs(special.kolmogorov_tail(1.3580986393225505 / math.sqrt(500), 1000, 1000) - 0.05) < 1e-6
+
+
+def test_kolmogorov_tails_by_hand():
+    # Two rows and one: of 3 orders 2 keep the pair together, so D = 1. Two and two: 2 of 6 orders have D = 1, all D >= 1/2.
+    assert abs(special.lattice_tail(1.0, 2, 1) - 2 / 3) < 1e-12
+    assert abs(special.lattice_tail(1.0, 2, 2) - 2 / 6) < 1e-12
+    assert abs(special.lattice_tail(0.5, 2, 2) - 1.0) < 1e-12
+    assert abs(special.lattice_tail(1.0, 3, 3) - 2 / 20) < 1e-12
+    # D_1 < d has probability 2 d - 1, D_2 < d is 2 (2 d - 1/2) ** 2 up to d = 1/2
+    assert abs(special.exact_one_sample(0.7, 1) - 0.4) < 1e-12
+    assert abs(special.exact_one_sample(0.4, 2) - 2 * 0.3**2) < 1e-12
+    assert abs(special.exact_one_sample(0.274, 10) - 0.6284796) < 1e-6
+
+
+def test_kolmogorov_tails_against_all_orders():
+    from itertools import combinations
+
+    for n, m in ((3, 5), (4, 4), (6, 3)):
+        orders = []
+        for places in combinations(range(n + m), n):
+            i = j = worst = 0
+            for at in range(n + m):
+                i, j = (i + 1, j) if at in places else (i, j + 1)
+                worst = max(worst, abs(i * m - j * n))
+            orders.append(worst)
+        for d in sorted(set(orders)):
+            want = sum(w >= d for w in orders) / len(orders)
+            assert abs(special.lattice_tail(d / (n * m), n, m) - want) < 1e-12
+            assert abs(special.lattice_tail(d / (n * m), m, n) - want) < 1e-12
+
+
+def test_kolmogorov_expansion_meets_the_exact_law():
+    for n in (140, 300):
+        for z in (0.5, 0.8, 1.0, 1.36, 2.0):
+            d = z / math.sqrt(n)
+            assert abs(special.expanded_one_sample(d, n) - special.exact_one_sample(d, n)) < 0.1 / n**2
+    assert abs(special.kolmogorov_tail(1.3580986393225505 / math.sqrt(1e7), 2e7, 2e7) - 0.05) < 1e-4
+    assert special.kolmogorov_tail(0.0, 20_000, 20_000) == 1.0 and special.kolmogorov_tail(1.0, 20_000, 20_000) == 0.0
+    assert math.isnan(special.kolmogorov_tail(float("nan"), 5, 5))
 
 
 def test_kde_integrates_to_one(spark):

@@ -9,9 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coreloom.operators.bounded import pin_small
@@ -100,28 +98,34 @@ def acf(
 
 
 def pacf(autocorrelations: DataFrame, by: str = "series_id") -> DataFrame:
-    """Partial autocorrelation by the Yule-Walker recursion on the ACF table.
+    """Partial autocorrelation by the Yule-Walker recursion on the ACF table (lags from 0 without gaps).
 
-    A group is one series' ACF, at most lags + 1 rows.
+    A group is one series' ACF, at most lags + 1 rows; the recursion's coefficients are the state of an array aggregate.
     """
-    key_type = autocorrelations.schema[by].dataType.simpleString()
-
-    def recursion(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values("lag")
-        r = table["acf"].to_numpy(dtype="float64")
-        out = np.ones(len(r))
-        phi = np.zeros(0)
-        error = 1.0
-        for k in range(1, len(r)):
-            reflection = (r[k] - phi @ r[k - 1 : 0 : -1]) / error if error > 1e-12 else np.nan
-            phi = np.append(phi - reflection * phi[::-1], reflection)
-            error *= 1.0 - reflection**2
-            out[k] = reflection
-        return pd.DataFrame({by: table[by].to_numpy(), "lag": table["lag"].to_numpy(), "pacf": out})
-
-    return autocorrelations.select(by, "lag", "acf").groupBy(by).applyInPandas(
-        recursion, f"{by} {key_type}, lag int, pacf double"
-    )
+    r = F.col("_r")
+    nothing = F.array().cast("array<double>")
+
+    def step(state: Column, k: Column) -> Column:
+        known = F.zip_with(state["phi"], F.reverse(F.slice(r, F.lit(2), k - 1)), lambda p, q: p * q)
+        reached = F.aggregate(known, F.lit(0.0), lambda total, v: total + v)
+        found = F.when(state["error"] > 1e-12, (F.get(r, k) - reached) / state["error"]).otherwise(F.lit(float("nan")))
+
+        def following(f: Column) -> Column:
+            phi = F.zip_with(state["phi"], F.reverse(state["phi"]), lambda p, q: p - f * q)
+            return F.struct(
+                F.concat(phi, F.array(f)).alias("phi"),
+                (state["error"] * (1 - f * f)).alias("error"),
+                F.concat(state["out"], F.array(f)).alias("out"),
+            )
+
+        return F.element_at(F.transform(F.array(found), following), 1)
+
+    listed = autocorrelations.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("lag", "acf"))).alias("_l"))
+    listed = listed.select(by, F.transform("_l", lambda c: c["lag"]).alias("_lags"), F.transform("_l", lambda c: c["acf"]).alias("_r"))
+    start = F.struct(nothing.alias("phi"), F.lit(1.0).alias("error"), F.array(F.lit(1.0)).alias("out"))
+    steps = F.slice(F.sequence(F.lit(0), F.size(r)), 2, F.size(r) - 1)  # 1 to the last lag, none for lag 0 alone
+    out = F.aggregate(steps, start, step)["out"]
+    return listed.select(by, F.inline(F.arrays_zip(F.col("_lags").alias("lag"), out.alias("pacf")))).toDF(by, "lag", "pacf")
 
 
 def seasonal_decompose(

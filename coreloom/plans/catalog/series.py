@@ -53,14 +53,17 @@ def lag_pairs(spark, sf):
     return rounded(rows, ["value", "lagged"])
 
 
-@query(
-    "acf",
-    f"""WITH {Q.HOURLY}, c AS (SELECT series_id, idx, value - avg(value) OVER (PARTITION BY series_id) AS d,
+ACF = f"""{Q.HOURLY}, c AS (SELECT series_id, idx, value - avg(value) OVER (PARTITION BY series_id) AS d,
       count(*) OVER (PARTITION BY series_id) AS n FROM indexed),
     k AS (SELECT CAST(i AS INTEGER) AS lag FROM generate_series(0, 50) AS g(i)),
     p AS (SELECT a.series_id, k.lag, sum(a.d * b.d) AS s, max(a.n) AS n FROM c a CROSS JOIN k
           JOIN c b ON b.series_id = a.series_id AND b.idx = a.idx + k.lag GROUP BY a.series_id, k.lag),
-    r AS (SELECT series_id, lag, n, s / first_value(s) OVER (PARTITION BY series_id ORDER BY lag) AS acf FROM p),
+    r AS (SELECT series_id, lag, n, s / first_value(s) OVER (PARTITION BY series_id ORDER BY lag) AS acf FROM p)"""
+
+
+@query(
+    "acf",
+    f"""WITH {ACF},
     b AS (SELECT *, coalesce(sum(CASE WHEN lag > 0 THEN acf * acf ELSE 0 END)
         OVER (PARTITION BY series_id ORDER BY lag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sq FROM r)
     SELECT series_id, lag, {Q.r('acf')} AS acf,
@@ -70,7 +73,19 @@ def acf(spark, sf):
     return rounded(SR.acf(indexed(spark, sf), 50), ["acf", "band"])
 
 
-@query("pacf")
+@query(
+    "pacf",
+    f"""WITH RECURSIVE {ACF}, listed AS (SELECT series_id, list(acf ORDER BY lag) AS r FROM r GROUP BY series_id),
+    steps AS (
+      SELECT series_id, 0 AS lag, CAST([] AS DOUBLE[]) AS phi, CAST(1 AS DOUBLE) AS error, CAST(1 AS DOUBLE) AS pacf FROM listed
+      UNION ALL
+      SELECT series_id, lag + 1, list_append(list_transform(list_zip(phi, list_reverse(phi)), lambda p: p[1] - f * p[2]), f),
+        error * (1 - f * f), f
+      FROM (SELECT series_id, lag, phi, error,
+              (r[lag + 2] - CASE WHEN lag = 0 THEN 0 ELSE list_dot_product(phi, list_reverse(r[2:lag + 1])) END) / error AS f
+            FROM steps JOIN listed USING (series_id) WHERE lag + 1 < len(r)))
+    SELECT series_id, CAST(lag AS INTEGER) AS lag, {Q.r('pacf')} AS pacf FROM steps""",
+)
 def pacf(spark, sf):
     return rounded(SR.pacf(SR.acf(indexed(spark, sf), 50)), ["pacf"])
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from coreloom.operators.features import class_weight
 from coreloom.operators.metrics import scores
-from coreloom.operators.split import stratified_folds
+from coreloom.operators.split import ordered_folds, stratified_folds
 
 MAX_DEPTH = 30
 
@@ -101,10 +101,13 @@ def importance_difference(full: DataFrame, core: DataFrame, n: int = 10) -> Data
 
 
 def cross_validate(
-    df: DataFrame, forest: Forest, k: int = 5, seed: int = 42, label: str = "label", key: str = "row_id"
+    df: DataFrame, forest: Forest, k: int = 5, seed: int = 42, label: str = "label", key: str = "row_id", shuffled: bool = True
 ) -> DataFrame:
-    """(fold, accuracy, f1): refit on k-1 folds, score the one left out; empty folds drop out."""
-    folded = stratified_folds(df, k, label, key, seed).persist()
+    """(fold, accuracy, f1): refit on k-1 folds, score the one left out; empty folds drop out.
+
+    Folds are in seeded md5 order of ``key``, or, unshuffled, runs in the order of ``key``.
+    """
+    folded = (stratified_folds(df, k, label, key, seed) if shuffled else ordered_folds(df, k, label, key)).persist()
     try:
         results = []
         for fold in range(k):

@@ -267,12 +267,16 @@ def kde_curves(long: DataFrame, by: Sequence[str] = ("dataset", "feature"), poin
 def leakage(core: DataFrame, test: DataFrame) -> DataFrame:
     """One row: distinct feature rows present in both tables, and the verdict.
 
-    Copies are combined map-side, so a row repeated in a third of a table is shuffled
-    once per task.
+    128-bit digests of the rows meet first, copies combined map-side; the arrays themselves are
+    compared only where a digest occurs in both tables, so no two different rows count as one.
     """
-    sides = core.select("features", F.lit(1).alias("c"), F.lit(0).alias("t")).unionAll(
-        test.select("features", F.lit(0).alias("c"), F.lit(1).alias("t"))
+    features = F.col("features")
+    digest = [F.xxhash64(features).alias("_low"), F.xxhash64(F.lit("second"), features).alias("_high")]
+    sides = core.select("features", F.lit(1).alias("c"), F.lit(0).alias("t"), *digest).unionAll(
+        test.select("features", F.lit(0).alias("c"), F.lit(1).alias("t"), *digest)
     )
-    seen = sides.groupBy("features").agg(F.max("c").alias("c"), F.max("t").alias("t"))
-    shared = F.count_if((F.col("c") == 1) & (F.col("t") == 1))
-    return seen.agg(shared.alias("overlap")).withColumn("leakage", F.col("overlap") > 0)
+    both = (F.col("c") == 1) & (F.col("t") == 1)
+    sides_of = [F.max("c").alias("c"), F.max("t").alias("t")]
+    met = pin_small(sides.groupBy("_low", "_high").agg(*sides_of).where(both).select("_low", "_high"))
+    seen = sides.join(met, ["_low", "_high"], "left_semi").groupBy("features").agg(*sides_of)
+    return seen.agg(F.count_if(both).alias("overlap")).withColumn("leakage", F.col("overlap") > 0)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from coreloom.functions.scalars import hash_order
 from coreloom.operators.bounded import small_rows, typed_literal
-from coreloom.operators.ranks import hash_cuts, hash_digits, position_cut
+from coreloom.operators.ranks import hash_cuts, hash_digits, position_cut, with_position
 
 MAX_CLASSES = 10_000
 
@@ -114,6 +114,22 @@ def stratified_folds(df: DataFrame, k: int = 5, label: str = "label", key: str =
     return with_segment(df, label, key, ends, seed, name="fold")
 
 
+def ordered_folds(df: DataFrame, k: int = 7, label: str = "label", order: str = "row_id") -> DataFrame:
+    """Attach ``fold`` 0..k-1, stratified by class without shuffling.
+
+    Each class is cut in the order of its rows (``order``, a number or time, unique in a class) into runs of the sizes of
+    :func:`fold_sizes`. Positions come from offsets of sorted buckets, so no class is sorted whole.
+    """
+    kind = df.schema[label].dataType.simpleString()
+    ends = []
+    for c, dealt in fold_sizes(class_sizes(df, label), k).items():
+        ends.append((c, [sum(dealt[: f + 1]) for f in range(k - 1)]))
+    table = df.sparkSession.createDataFrame(ends, f"{label} {kind}, _ends array<bigint>")
+    placed = with_position(df, [label], order, "_at").join(F.broadcast(table), label)
+    fold = F.size(F.filter("_ends", lambda end: end <= F.col("_at")))
+    return placed.withColumn("fold", fold).select(*df.columns, "fold")
+
+
 def stratified_compress(
     df: DataFrame,
     fraction: float,

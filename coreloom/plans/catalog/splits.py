@@ -100,6 +100,22 @@ def stratified_folds(spark, sf):
     return split.stratified_folds(S.wide_num(spark, sf), 5).select("row_id", "label", "fold")
 
 
+# Classes laid end to end in label order and dealt round-robin to 7 folds; each class cut at the running sums.
+_DEALT = ", ".join(f"(e - 1 - {f} + 7) // 7 - (s - 1 - {f} + 7) // 7 AS n{f}" for f in range(7))
+_CUTS = " + ".join(f"CASE WHEN rn > {' + '.join(f'n{g}' for g in range(f + 1))} THEN 1 ELSE 0 END" for f in range(6))
+
+
+@query(
+    "ordered_folds",
+    f"""WITH sizes AS (SELECT label, sum(count(*)) OVER (ORDER BY label) AS e, count(*) AS n FROM embeddings GROUP BY label),
+    dealt AS (SELECT label, {_DEALT} FROM (SELECT label, e, e - n AS s FROM sizes)),
+    ranked AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings)
+    SELECT vec_id AS row_id, label, CAST({_CUTS} AS INTEGER) AS fold FROM ranked JOIN dealt USING (label)""",
+)
+def ordered_folds(spark, sf):
+    return split.ordered_folds(S.features(spark, sf), 7).select("row_id", "label", "fold")
+
+
 @query(
     "class_weights",
     f"""WITH {Q.LINES} SELECT label, count(*) AS n,

@@ -30,6 +30,17 @@ def test_split_sizes_and_disjointness(uneven):
     assert split.class_sizes(test) == {0: 60, 1: 19, 2: 1}
 
 
+def test_ordered_folds(spark):
+    rows = [(n, "a" if n % 3 else "b") for n in range(20)]
+    df = spark.createDataFrame(rows, "row_id bigint, label string")
+    got = {r["row_id"]: r["fold"] for r in split.ordered_folds(df, 4).collect()}
+    # 13 rows of a: folds take positions 0, 4, .. of the 20 laid end to end, so 4 3 3 3; 7 of b from position 13: 1 2 2 2.
+    a, b = [n for n, c in rows if c == "a"], [n for n, c in rows if c == "b"]
+    assert [got[n] for n in a] == [0] * 4 + [1] * 3 + [2] * 3 + [3] * 3
+    assert [got[n] for n in b] == [0] * 1 + [1] * 2 + [2] * 2 + [3] * 2
+    assert split.ordered_folds(df, 4).columns == ["row_id", "label", "fold"]
+
+
 def test_folds(uneven):
     rows = split.stratified_folds(uneven, 7).groupBy("label", "fold").count().collect()
     for c, n in {0: 300, 1: 97, 2: 3}.items():

@@ -187,6 +187,27 @@ def boxplot_stats(spark, sf):
     return rounded(FE.name_features(rows, S.NUMERIC), ["q1", "median", "q3", "whisker_low", "whisker_high"], 4)
 
 
+_INSIDE = "z BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)"
+
+
+@query(
+    "scaled_boxplot_stats",
+    f"""WITH {Q.LONG}, scaled AS (
+      SELECT feature, (x - avg(x) OVER f) / stddev_pop(x) OVER f AS z FROM long WINDOW f AS (PARTITION BY feature)),
+    q AS (SELECT feature, quantile_cont(z, 0.25) AS q1, quantile_cont(z, 0.5) AS median, quantile_cont(z, 0.75) AS q3
+      FROM scaled GROUP BY feature)
+    SELECT feature, {Q.r('max(q1)')} AS q1, {Q.r('max(median)')} AS median, {Q.r('max(q3)')} AS q3,
+      {Q.r(f'min(z) FILTER (WHERE {_INSIDE})')} AS whisker_low, {Q.r(f'max(z) FILTER (WHERE {_INSIDE})')} AS whisker_high,
+      count(*) FILTER (WHERE NOT {_INSIDE}) AS outliers
+    FROM scaled JOIN q USING (feature) GROUP BY feature""",
+)
+def scaled_boxplot_stats(spark, sf):
+    """The distributions side by side on one scale: every feature with mean 0 and deviation 1."""
+    lines = S.wide_features(spark, sf)
+    rows = profile.boxplot_stats(FE.fit_scaler(lines).apply(lines))
+    return rounded(FE.name_features(rows, S.NUMERIC), ["q1", "median", "q3", "whisker_low", "whisker_high"])
+
+
 @query(
     "dataset_size",
     f"""WITH {Q.LINES}, tagged AS (SELECT 'full' AS dataset FROM lines
@@ -233,8 +254,10 @@ def core_set_report(spark, sf):
     ORDER BY md5('42:' || feature), feature LIMIT 5""",
 )
 def random_features(spark, sf):
-    cells = FE.name_features(FE.to_long(S.features(spark, sf)), S.EMBEDDING_NAMES)
-    return profile.random_features(cells)
+    """The table's width is one aggregate; no cell is exploded."""
+    width = S.features(spark, sf).agg(F.max(F.size("features")).alias("w"))
+    cells = width.select(F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("feature"))
+    return profile.random_features(FE.name_features(cells, S.EMBEDDING_NAMES))
 
 
 @query("head_sample", f"WITH {Q.LINES} SELECT row_id, l_quantity, l_extendedprice FROM lines ORDER BY row_id LIMIT 1000")

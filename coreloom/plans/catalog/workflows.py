@@ -29,9 +29,9 @@ ORDER_NAMES = ["o_totalprice", "o_custkey", "day", "weekday"]
 
 
 def order_features(spark, sf):
-    """(row_id, Time, features, label) from the orders, the status as label."""
-    status = F.col("o_orderstatus")
-    label = F.when(status == "F", 0).when(status == "O", 1).when(status == "P", 2)
+    """(row_id, Time, features, label) from the orders; the label is the price's band, so a forest can learn it."""
+    price = F.col("o_totalprice")
+    label = F.when(price < 150_000, 0).when(price < 300_000, 1).otherwise(2)
     cells = ["o_totalprice", "o_custkey", F.dayofyear("o_orderdate"), F.dayofweek("o_orderdate")]
     return S.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("row_id"),

@@ -6,6 +6,7 @@ for all features is one grouped plan, whatever the number of features.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -18,6 +19,10 @@ from coreloom.operators.ranks import running_totals
 
 BINS = 50
 EPSILON = 1e-8
+#: Kernel density: width of a box in bandwidths, terms of its expansion, and the bandwidths beyond which exp() is zero.
+BOX = 0.25
+TERMS = 24
+REACH = 39.0
 
 
 def stack(full: DataFrame, other: DataFrame, features: Sequence[int] | None = None) -> DataFrame:
@@ -227,12 +232,32 @@ def similarity_log(stacked: DataFrame, features: Sequence[int] | None = None) ->
     )
 
 
+def _box_moments(long: DataFrame, params: DataFrame, by: list[str]) -> DataFrame:
+    """``by``, the curve's parameters, ``centre`` and ``moments`` of every box of BOX bandwidths that holds a value.
+
+    ``moments[n]`` is the sum of ((x - centre) / (sqrt(2) h)) ** n / n! over the box's values, combined map-side.
+    """
+    width = BOX * F.col("h")
+    centre = F.col("start") + (F.col("_box") + 0.5) * width
+    boxed = (
+        long.where("x is not null")
+        .join(params, by)
+        .withColumn("_box", F.floor((F.col("x") - F.col("start")) / width))
+        .select(*by, "_box", ((F.col("x") - centre) / (math.sqrt(2.0) * F.col("h"))).alias("_d"))
+    )
+    powers = [F.sum(F.pow("_d", F.lit(float(n)))) / float(math.factorial(n)) for n in range(1, TERMS)]
+    sums = boxed.groupBy(*by, "_box").agg(F.array(F.count(F.lit(1)).cast("double"), *powers).alias("moments"))
+    return sums.join(params, by).withColumn("centre", centre).drop("_box")
+
+
 def kde_curves(long: DataFrame, by: Sequence[str] = ("dataset", "feature"), points: int = 200) -> DataFrame:
     """Gaussian kernel density on an even grid reaching 3 bandwidths past the data.
 
-    Scott's bandwidth. Equal values are merged first and every value adds to every grid
-    point, however far; the sums are combined map-side, so at most ``points`` rows per
-    curve and task shuffle.
+    Scott's bandwidth. A fast Gauss transform: values add to the moments of their box, and only a box, not a value,
+    meets the grid points, by the Hermite expansion of its kernels around its centre. Boxes are a quarter of a
+    bandwidth wide and have 24 moments, so the cut-off adds less than 1e-33 to a value's kernel (which is at most 1),
+    and less than 1e-9 of that kernel up to 27 bandwidths away. No box is left out where its kernels are above zero
+    in doubles (REACH bandwidths). A curve's boxes are at most its values, and about four times its range in bandwidths.
     """
     by = list(by)
     params = long.groupBy(*by).agg(
@@ -248,15 +273,32 @@ def kde_curves(long: DataFrame, by: Sequence[str] = ("dataset", "feature"), poin
             ((F.col("high") - F.col("low") + 6 * F.col("h")) / (points - 1)).alias("step"),
         )
     )
-    merged = long.where("x is not null").groupBy(*by, "x").agg(F.count(F.lit(1)).alias("c"))
     at = F.col("start") + F.col("point") * F.col("step")
-    z = (at - F.col("x")) / F.col("h")
-    summed = (
-        merged.join(params, by)
-        .select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
-        .groupBy(*by, "point")
-        .agg(F.sum(F.col("c") * F.exp(-0.5 * z * z)).alias("k"))
+    first = F.ceil((F.col("centre") - REACH * F.col("h") - F.col("start")) / F.col("step"))
+    last = F.floor((F.col("centre") + REACH * F.col("h") - F.col("start")) / F.col("step"))
+    first, last = F.greatest(first, F.lit(0)).cast("int"), F.least(last, F.lit(points - 1)).cast("int")
+    met = (
+        _box_moments(long, params, by)
+        .where(first <= last)
+        .select("*", F.explode(F.sequence(first, last)).alias("point"))
+        .withColumn("_u", (at - F.col("centre")) / (math.sqrt(2.0) * F.col("h")))
+    )
+    # Hermite polynomials by their recurrence H(n + 1) = 2 u H(n) - 2 n H(n - 1), a step per moment.
+    start = F.struct(
+        F.lit(0.0).alias("n"), F.lit(0.0).alias("before"), F.lit(1.0).alias("now"), F.lit(0.0).alias("total")
+    )
+    series = F.aggregate(
+        "moments",
+        start,
+        lambda s, m: F.struct(
+            (s["n"] + 1.0).alias("n"),
+            s["now"].alias("before"),
+            (2.0 * F.col("_u") * s["now"] - 2.0 * s["n"] * s["before"]).alias("now"),
+            (s["total"] + m * s["now"]).alias("total"),
+        ),
+        lambda s: s["total"],
     )
+    summed = met.groupBy(*by, "point").agg(F.sum(series * F.exp(-F.col("_u") * F.col("_u"))).alias("k"))
     grid = params.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
     scale = F.col("n") * F.col("h") * F.sqrt(2 * F.pi())
     return grid.join(summed, [*by, "point"], "left").select(

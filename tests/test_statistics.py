@@ -247,6 +247,20 @@ def test_kde_feels_far_values(spark):
     assert all(d > 0 for *_, d in got)
 
 
+def test_kde_of_boxes_equals_the_sum_of_kernels(spark):
+    """Two curves, ties, nulls, a far group of values, and boxes with many values."""
+    rng = random.Random(4)
+    values = {0: [rng.gauss(0, 1) for _ in range(1500)] + [60.0] * 9, 1: [round(rng.expovariate(1.0), 1) for _ in range(900)]}
+    rows = [("d", f, x) for f, xs in values.items() for x in xs] + [("d", 0, None), ("d", 2, 1.0), ("d", 3, 4.0), ("d", 3, 4.0)]
+    got = similarity.kde_curves(spark.createDataFrame(rows, "dataset string, feature int, x double"), points=50).collect()
+    assert {(r["feature"], r["point"]) for r in got} == {(f, i) for f in (0, 1) for i in range(50)}
+    for r in got:
+        xs = np.array(values[r["feature"]])
+        h = np.std(xs, ddof=1) * len(xs) ** -0.2
+        want = np.exp(-0.5 * ((r["x"] - xs) / h) ** 2).sum() / (len(xs) * h * np.sqrt(2 * np.pi))
+        assert abs(r["density"] - want) <= 1e-8 * want + 1e-300
+
+
 def test_means_come_from_the_training_rows(spark):
     from coreloom.operators import features as FE
 

@@ -245,8 +245,12 @@ def _box_moments(long: DataFrame, params: DataFrame, by: list[str]) -> DataFrame
         .withColumn("_box", F.floor((F.col("x") - F.col("start")) / width))
         .select(*by, "_box", ((F.col("x") - centre) / (math.sqrt(2.0) * F.col("h"))).alias("_d"))
     )
-    powers = [F.sum(F.pow("_d", F.lit(float(n)))) / float(math.factorial(n)) for n in range(1, TERMS)]
-    sums = boxed.groupBy(*by, "_box").agg(F.array(F.count(F.lit(1)).cast("double"), *powers).alias("moments"))
+    # Each power is the one before times the deviation, which generated code computes once.
+    powers = [F.col("_d")]
+    for _ in range(2, TERMS):
+        powers.append(powers[-1] * F.col("_d"))
+    terms = [F.sum(power) / float(math.factorial(n)) for n, power in enumerate(powers, 1)]
+    sums = boxed.groupBy(*by, "_box").agg(F.array(F.count(F.lit(1)).cast("double"), *terms).alias("moments"))
     return sums.join(params, by).withColumn("centre", centre).drop("_box")
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -12,11 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coreloom.functions.scalars import euclidean
-from coreloom.operators.bounded import pin_small, small_rows
-from coreloom.operators.features import to_long
+from coreloom.operators.bounded import pin_small
+from coreloom.operators.features import moments, to_long
 from coreloom.operators.select import fit_kmeans
 
-BLOCK_ROWS = 2_048
+#: Bytes of features in a block of the silhouette, and cells of a tile of distances.
+BLOCK_BYTES = 8 * 1024 * 1024
+TILE_CELLS = 1 << 19
 
 
 def class_centers(df: DataFrame, cluster: str = "cluster") -> DataFrame:
@@ -28,82 +28,122 @@ def class_centers(df: DataFrame, cluster: str = "cluster") -> DataFrame:
     return means.groupBy("cluster").agg(F.transform(cells, lambda c: c["m"]).alias("center"))
 
 
+def _listed(table: DataFrame) -> DataFrame:
+    """A table of clusters as one row, ``_all``: an array of its rows, held by the tasks that need every centre."""
+    return F.broadcast(pin_small(table).agg(F.collect_list(F.struct("*")).alias("_all")))
+
+
 def center_distances(df: DataFrame, centers: DataFrame, key: str = "row_id") -> DataFrame:
     """Distance of every row to every centre, as one array per row, then one row per centre.
 
-    The centres of a model are a bounded list; they travel as one array literal, so
-    no join is involved.
+    The centres of a model travel as one row; neither the plan nor the driver's Python holds them.
     """
-    rows = small_rows(centers, 10_000, "centres")
-    table = F.array(
-        *[F.struct(F.lit(r["cluster"]).alias("cluster"), F.lit(list(r["center"])).alias("center")) for r in rows]
-    )
     pairs = F.transform(
-        table, lambda c: F.struct(c["cluster"].alias("cluster"), euclidean(F.col("features"), c["center"]).alias("distance"))
+        "_all",
+        lambda c: F.struct(c["cluster"].alias("cluster"), euclidean(F.col("features"), c["center"]).alias("distance")),
     )
-    return df.select(key, F.inline(pairs))
+    return df.crossJoin(_listed(centers.select("cluster", "center"))).select(key, F.inline(pairs))
 
 
 def davies_bouldin(df: DataFrame, cluster: str = "cluster") -> DataFrame:
     """One row: the Davies-Bouldin index over the groups of ``cluster``."""
     rows = df.withColumn("cluster", F.col(cluster).cast("int"))
-    centers = class_centers(rows)
     spread = (
-        rows.join(pin_small(centers), "cluster")
+        rows.join(pin_small(class_centers(rows)), "cluster")
         .groupBy("cluster")
         .agg(F.avg(euclidean(F.col("features"), F.col("center"))).alias("s"), F.first("center").alias("center"))
     )
-    groups = small_rows(spread, 10_000, "clusters")
-    table = F.array(
-        *[F.struct(F.lit(r["cluster"]).alias("c"), F.lit(r["s"]).alias("s"), F.lit(list(r["center"])).alias("m")) for r in groups]
-    )
+    groups = pin_small(spread)
     ratios = F.transform(
-        F.filter(table, lambda o: o["c"] != F.col("cluster")),
-        lambda o: (F.col("s") + o["s"]) / F.nullif(euclidean(F.col("center"), o["m"]), F.lit(0.0)),
+        F.filter("_all", lambda o: o["cluster"] != F.col("cluster")),
+        lambda o: (F.col("s") + o["s"]) / F.nullif(euclidean(F.col("center"), o["center"]), F.lit(0.0)),
     )
-    pinned = df.sparkSession.createDataFrame(
-        [(r["cluster"], r["s"], list(r["center"])) for r in groups], "cluster int, s double, center array<double>"
+    return groups.crossJoin(_listed(groups)).agg(F.avg(F.array_max(ratios)).alias("davies_bouldin"))
+
+
+def _facts(rows: DataFrame) -> DataFrame:
+    """(c, size, center, spread): rows, mean and mean squared distance from it, per cluster."""
+    cells = moments(to_long(rows, "c"), "c")
+    listed = F.array_sort(F.collect_list(F.struct("feature", "mean")))
+    return cells.groupBy("c").agg(
+        F.max("n").alias("size"), F.transform(listed, lambda m: m["mean"]).alias("center"), F.sum("variance").alias("spread")
     )
-    return pinned.agg(F.avg(F.array_max(ratios)).alias("davies_bouldin"))
 
 
-def silhouette(df: DataFrame, cluster: str = "cluster", key: str = "row_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row: the mean Euclidean silhouette, exact.
+def _distance_sums(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Per row of ``x`` the sum of its Euclidean distances to the rows of ``y``.
 
-    The measure is quadratic in the (core-sized) input. Rows are hashed into blocks
-    of about ``block_rows``; every pair of blocks is one bounded task that returns a
-    distance sum per row and cluster, never a pair of rows.
+    Squared distances come from a matrix product around the mean of ``y``; pairs so close that the subtraction would
+    cancel digits (six and more) are computed again from their differences.
+    """
+    middle = y.mean(axis=0)
+    x, y = x - middle, y - middle
+    size_x, size_y = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    sums = np.empty(len(x))
+    step = max(1, TILE_CELLS // len(y))
+    for start in range(0, len(x), step):
+        part = x[start : start + step]
+        scale = size_x[start : start + step, None] + size_y[None, :]
+        squares = scale - 2.0 * (part @ y.T)
+        i, j = np.nonzero(squares <= 1e-6 * scale)
+        for at in range(0, len(i), step):
+            gap = part[i[at : at + step]] - y[j[at : at + step]]
+            squares[i[at : at + step], j[at : at + step]] = (gap * gap).sum(axis=1)
+        sums[start : start + step] = np.sqrt(squares).sum(axis=1)
+    return sums
+
+
+def silhouette(
+    df: DataFrame, cluster: str = "cluster", key: str = "row_id", block_rows: int | None = None
+) -> DataFrame:
+    """One row: the mean Euclidean silhouette, exact. Rows without a cluster take no part; no cell may be null.
+
+    A row's mean distance to a cluster is at least its distance r to the cluster's mean and at most
+    sqrt(r ** 2 + spread), so only clusters whose lower bound is within the row's least upper bound can be the nearest.
+    Distances are summed for those and for the row's own cluster alone. Clusters are dealt into blocks of ``block_rows``
+    (BLOCK_BYTES by default); a pair of blocks that has a row to compare is one bounded task, which returns a sum
+    per row, never a pair of rows. So a row is shipped once for each block of its own and its candidate clusters.
     """
-    rows = df.select(F.col(key).alias("k"), F.col(cluster).cast("int").alias("c"), "features")
-    blocks = max(1, math.ceil(rows.count() / block_rows))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    block = F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")
-    left = rows.withColumn("a", block).withColumn("b", F.explode(every))
-    right = rows.withColumn("b", block).withColumn("a", F.explode(every))
+    rows = df.select(F.col(key).alias("k"), F.col(cluster).cast("int").alias("c"), "features").where("c is not null")
+    facts = pin_small(_facts(rows))
+    if block_rows is None:
+        a_block = F.greatest(F.floor(BLOCK_BYTES / (8 * F.greatest(F.size("center"), F.lit(1)))), F.lit(1))
+    else:
+        a_block = F.lit(block_rows)
+    blocks = facts.select("c", F.ceil(F.col("size") / a_block).cast("int").alias("blocks"))
+    dealt = rows.join(F.broadcast(blocks), "c").withColumn("a", F.pmod(F.xxhash64("k"), "blocks").cast("int")).drop("blocks")
+    bounds = F.transform(
+        "_all",
+        lambda o: F.struct(o["c"].alias("other"), o["spread"].alias("spread"), euclidean(F.col("features"), o["center"]).alias("low")),
+    )
+    others = F.filter("_bounds", lambda o: o["other"] != F.col("c"))
+    least = F.array_min(F.transform(others, lambda o: F.sqrt(o["low"] * o["low"] + o["spread"])))
+    met = F.filter("_bounds", lambda o: (o["other"] == F.col("c")) | (o["low"] <= F.col("_least") * (1 + 1e-9)))
+    wanted = (
+        dealt.crossJoin(_listed(facts.select("c", "center", "spread")))
+        .withColumn("_bounds", bounds)
+        .withColumn("_least", least)
+        .select("k", "c", "a", "features", F.explode(F.transform(met, lambda o: o["other"])).alias("other"))
+        .join(F.broadcast(blocks.withColumnRenamed("c", "other")), "other")
+        .select("k", "c", "a", "features", "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
+    )
+    pairs = wanted.select("c", "a", "other", "b").distinct()
+    partners = dealt.select(F.col("c").alias("other"), F.col("a").alias("b"), "features").join(pairs, ["other", "b"])
+    partners = partners.select(*[F.col(name).alias(name) for name in partners.columns])  # columns apart from those of ``wanted``
     key_type = rows.schema["k"].dataType.simpleString()
 
-    def sums(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
-        out = {"k": [], "c": [], "other": [], "total": [], "n": []}
-        if len(one) and len(two):
-            y = np.asarray(two["features"].to_list(), dtype="float64")
-            labels = two["c"].to_numpy()
-            groups = np.unique(labels)
-            x = np.asarray(one["features"].to_list(), dtype="float64")
-            for start in range(0, len(x), 64):
-                part = x[start : start + 64]
-                distance = np.sqrt(((part[:, None, :] - y[None, :, :]) ** 2).sum(axis=2))
-                for g in groups:
-                    chosen = labels == g
-                    out["k"].extend(one["k"].iloc[start : start + 64])
-                    out["c"].extend(one["c"].iloc[start : start + 64])
-                    out["other"].extend([g] * len(part))
-                    out["total"].extend(distance[:, chosen].sum(axis=1))
-                    out["n"].extend([int(chosen.sum())] * len(part))
-        return pd.DataFrame(out)
+    def sums(at: tuple, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        if not len(one) or not len(two):
+            return pd.DataFrame({"k": [], "c": [], "other": [], "total": [], "n": []})
+        x, y = (np.asarray(t["features"].to_list(), dtype="float64") for t in (one, two))
+        return pd.DataFrame(
+            {"k": one["k"], "c": at[0], "other": at[2], "total": _distance_sums(x, y), "n": len(two)}
+        )
 
+    group = ["c", "a", "other", "b"]
     partial = (
-        left.groupBy("a", "b")
-        .cogroup(right.groupBy("a", "b"))
+        wanted.groupBy(*group)
+        .cogroup(partners.groupBy(*group))
         .applyInPandas(sums, f"k {key_type}, c int, other int, total double, n bigint")
     )
     per_cluster = partial.groupBy("k", "c", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))

@@ -183,6 +183,41 @@ def test_silhouette_in_several_blocks(spark, vectors):
     assert abs(whole - np.mean(scores)) < 1e-9 and abs(split_up - whole) < 1e-9
 
 
+@pytest.mark.parametrize("block_rows", [None, 7])
+def test_silhouette_with_overlaps_copies_and_single_rows(spark, block_rows):
+    """Overlapping and nested clusters, one with a third of the rows, copies far from the origin, a cluster of one row."""
+    rng = random.Random(21)
+    rows = [(0, [1e6 + rng.gauss(0, 3), rng.gauss(0, 3)]) for _ in range(60)] + [(1, [1e6 + 1.0, 0.5])] * 9
+    rows += [(2 + i % 4, [1e6 + (i % 4) * 2.0 + rng.gauss(0, 1), rng.gauss(0, 0.1)]) for i in range(80)]
+    rows += [(6, [1e6 + 40.0, 0.0])] + [(7, [1e6 + 500.0 + rng.random(), 1e-3 * i]) for i in range(20)]
+    table = [(i, c, x) for i, (c, x) in enumerate(rows)]
+    df = spark.createDataFrame(table + [(-1, None, [0.0, 0.0])], "row_id bigint, cluster int, features array<double>")
+    x, c = np.array([r[2] for r in table]), np.array([r[1] for r in table])
+    distance = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    scores = []
+    for i in range(len(x)):
+        mine = c == c[i]
+        a = distance[i, mine].sum() / max(1, mine.sum() - 1)
+        b = min(distance[i, c == k].mean() for k in set(c) - {c[i]})
+        scores.append((b - a) / max(a, b) if mine.sum() > 1 else 0.0)
+    assert abs(clusters.silhouette(df, block_rows=block_rows).first()[0] - np.mean(scores)) < 1e-9
+
+
+def test_silhouette_and_davies_bouldin_of_too_few(spark):
+    none = spark.createDataFrame([], "row_id bigint, cluster int, features array<double>")
+    assert clusters.silhouette(none).first()[0] is None and clusters.davies_bouldin(none).first()[0] is None
+    one = spark.createDataFrame([(1, 0, [1.0]), (2, 0, [2.0])], none.schema)
+    assert clusters.silhouette(one).first()[0] == 0.0 and clusters.davies_bouldin(one).first()[0] is None
+
+
+def test_distance_sums_keep_their_digits():
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(40, 5)), 1e8 + rng.normal(size=(40, 5)) * 1e-3])
+    y = np.concatenate([x[::2], x[::3] + 1e-6])
+    want = np.sqrt(((x[:, None] - y[None]) ** 2).sum(-1)).sum(axis=1)
+    assert np.allclose(clusters._distance_sums(x, y), want, rtol=1e-9)
+
+
 @pytest.fixture(scope="module")
 def walk(spark):
     rng = random.Random(9)

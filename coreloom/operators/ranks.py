@@ -1,14 +1,15 @@
 """Exact order statistics without a single-task sort.
 
 Everything here follows one pattern: a bounded sketch gives cut points, rows get a
-bucket number by binary search, bucket totals become offsets on a table of at most
-(groups x buckets) rows, and sorting only happens inside a bucket. Sketches decide
+bucket number by binary search (crowded buckets are divided again, level by level), bucket
+totals become offsets on a table of one row per bucket, and sorting only happens inside a bucket. Sketches decide
 how even the buckets are, never what the result is. Rows are combined to distinct
 values first, so one value held by a third of all rows is one row when sorted.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +22,7 @@ from coreloom.operators.bounded import pin_small, small_rows, typed_literal
 BUCKET_BITS = 8
 MAX_BUCKET_BITS = 15
 BUCKET_ROWS = 4_000_000
+MAX_TREE_BITS = 62
 
 
 def _search(df: DataFrame, value: str, cuts: Column, bits: int) -> DataFrame:
@@ -48,20 +50,17 @@ def _sketch(value: str, bits: int) -> Column:
     return F.percentile_approx(value, [i / n for i in range(1, n)], 4 * n)
 
 
-def with_bucket(df: DataFrame, by: Sequence[str], value: str, bits: int = BUCKET_BITS) -> DataFrame:
-    """Attach ``_bucket``, monotone in ``value`` within ``by`` and roughly even in rows.
-
-    ``bits`` is a minimum: very large groups get a finer sketch in a second pass, so
-    the rows of one bucket stay bounded while the data grows.
-    """
+def _one_level(df: DataFrame, by: list[str], value: str, bits: int) -> tuple[DataFrame, int, int]:
+    """``df`` with ``_bucket`` from one sketch per group, the rows of the largest group, and the bits used."""
     if by:
         def cuts_at(b):
             return pin_small(df.groupBy(*by).agg(_sketch(value, b).alias("_cuts"), F.count(value).alias("_rows")))
 
         cuts = cuts_at(bits)
-        finer = _bits_for(cuts.agg(F.max("_rows")).first()[0] or 0, bits)
+        rows = cuts.agg(F.max("_rows")).first()[0] or 0
+        finer = _bits_for(rows, bits)
         cuts = cuts if finer == bits else cuts_at(finer)
-        return _search(df.join(cuts, list(by)), value, F.col("_cuts"), finer).drop("_cuts", "_rows")
+        return _search(df.join(cuts, by), value, F.col("_cuts"), finer).drop("_cuts", "_rows"), rows, finer
     data_type = df.schema[value].dataType.simpleString()
 
     def found_at(b):
@@ -69,8 +68,45 @@ def with_bucket(df: DataFrame, by: Sequence[str], value: str, bits: int = BUCKET
 
     found = found_at(bits)
     finer = _bits_for(found["n"], bits)
-    found = found if finer == bits else found_at(finer)
-    return _search(df, value, F.lit(found["c"] or []).cast(f"array<{data_type}>"), finer)
+    rows, found = found["n"], found if finer == bits else found_at(finer)
+    return _search(df, value, F.lit(found["c"] or []).cast(f"array<{data_type}>"), finer), rows, finer
+
+
+def _divided(df: DataFrame, by: list[str], value: str, rows: int) -> tuple[DataFrame, int, int]:
+    """Divide every crowded bucket by a sketch of its own; the others keep one bucket in the finer numbering.
+
+    ``rows`` is about what the largest bucket holds. Returns the rows of the largest bucket that was divided (0: none was)
+    and the bits added. A bucket whose lowest cut is its largest value cannot be divided: nearly all its rows are that value.
+    """
+    bits = _bits_for(rows, 1)
+    sizes = df.groupBy(*by, "_bucket").agg(F.count(value).alias("_rows"), F.max(value).alias("_high"), _sketch(value, bits).alias("_cuts"))
+    crowded = sizes.where((F.col("_rows") > BUCKET_ROWS) & (F.get("_cuts", F.lit(0)) < F.col("_high")))
+    cuts = pin_small(crowded.drop("_high"))
+    largest = cuts.agg(F.max("_rows")).first()[0] or 0
+    if not largest:
+        return df, 0, 0
+    on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*by, "_bucket"]]
+    joined = df.alias("l").join(cuts.alias("r"), on, "left").select("l.*", F.col("r._cuts").alias("_cuts"))
+    parts = _search(joined.withColumnRenamed("_bucket", "_outer"), value, F.col("_cuts"), bits)
+    number = F.col("_outer").cast("bigint") * 2**bits + F.col("_bucket")
+    return parts.withColumn("_bucket", number).drop("_outer", "_cuts"), largest, bits
+
+
+def with_bucket(df: DataFrame, by: Sequence[str], value: str, bits: int = BUCKET_BITS) -> DataFrame:
+    """Attach ``_bucket``, monotone in ``value`` within ``by`` and roughly even in rows.
+
+    ``bits`` is a minimum: very large groups get a finer sketch in a second pass, and where the finest one would
+    still leave more than BUCKET_ROWS rows in a bucket, crowded buckets are divided again, level by level, so the
+    rows of one bucket stay bounded however the data grows (but for the copies of one value, which are combined
+    before they are sorted). A number holds MAX_TREE_BITS bits of levels, more than any table can need.
+    """
+    by = list(by)
+    df, rows, used = _one_level(df, by, value, bits)
+    left = rows / 2**used
+    while left > BUCKET_ROWS and used + MAX_BUCKET_BITS <= MAX_TREE_BITS:
+        df, rows, added = _divided(df, by, value, math.ceil(left))
+        used, left = used + added, rows / 2**added
+    return df
 
 
 def running_totals(
@@ -236,22 +272,26 @@ def position_cut(df: DataFrame, order: str, position: int, bits: int = BUCKET_BI
 
     Returns ``(value as text, missing, ties)``: all rows below the value plus
     ``missing`` of the ``ties`` rows equal to it make up exactly ``position`` rows.
-    Only the bucket that holds the position is sorted.
+    Only the bucket that holds the position is sorted; while that is crowded, it alone is divided again.
     """
     known = df.where(F.col(order).isNotNull()).select(order)
     data_type = df.schema[order].dataType.simpleString()
-    summary = with_bucket(known, [], order, bits).groupBy("_bucket").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min(order).cast("string").alias("low"),
-        F.max(order).cast("string").alias("high"),
-    )
-    below = 0
-    for r in sorted(small_rows(summary, 2**MAX_BUCKET_BITS, "buckets"), key=lambda r: r["_bucket"]):
-        if below + r["n"] >= position:
+    below, inside, rows = 0, known, None
+    while True:
+        summary = _one_level(inside, [], order, bits)[0].groupBy("_bucket").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min(order).cast("string").alias("low"),
+            F.max(order).cast("string").alias("high"),
+        )
+        for r in sorted(small_rows(summary, 2**MAX_BUCKET_BITS, "buckets"), key=lambda r: r["_bucket"]):
+            if below + r["n"] >= position:
+                break
+            below += r["n"]
+        # The bucket's own bounds select its rows, so the filter reaches the scan.
+        low, high = typed_literal(r["low"], data_type), typed_literal(r["high"], data_type)
+        if r["n"] <= BUCKET_ROWS or r["low"] == r["high"] or r["n"] == rows:
             break
-        below += r["n"]
-    # The bucket's own bounds select its rows, so the filter reaches the scan.
-    low, high = typed_literal(r["low"], data_type), typed_literal(r["high"], data_type)
+        inside, rows = known.where(F.col(order).between(low, high)), r["n"]
     distinct = known.where(F.col(order).between(low, high)).groupBy(order).agg(F.count(F.lit(1)).alias("n"))
     distinct = distinct.withColumn("_bucket", F.lit(r["_bucket"]))
     inside = Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -116,3 +116,50 @@ def test_large_groups_get_finer_buckets(skewed, monkeypatch):
 def test_hash_digits_grow_with_the_rows():
     assert ranks.hash_digits(10) == 3
     assert ranks.hash_digits(10**11) == 4
+
+
+@pytest.fixture
+def tiny_buckets(monkeypatch):
+    """Limits so small that 3,000 rows need several levels of buckets."""
+    monkeypatch.setattr(ranks, "BUCKET_ROWS", 20)
+    monkeypatch.setattr(ranks, "MAX_BUCKET_BITS", 2)
+
+
+def test_crowded_buckets_are_divided_level_by_level(skewed, tiny_buckets):
+    rows = ranks.with_bucket(skewed, ["g"], "v", 1).collect()
+    # More than three levels of four buckets each.
+    assert max(r["_bucket"] for r in rows) >= 4**3
+    by_bucket = {}
+    for r in rows:
+        by_bucket.setdefault((r["g"], r["_bucket"]), []).append(r["v"])
+    # Only copies of one value, and a few rows beside them, may hold more.
+    for values in by_bucket.values():
+        assert len(values) - max(values.count(v) for v in set(values)) <= 40
+    for g in {r["g"] for r in rows}:
+        ordered = sorted((b, min(v), max(v)) for (name, b), v in by_bucket.items() if name == g)
+        assert all(one[2] < two[1] for one, two in zip(ordered, ordered[1:]))
+
+
+def test_results_of_nested_buckets(skewed, tiny_buckets):
+    qs = [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]
+    got = {r["g"]: r for r in ranks.exact_quantiles(skewed, "v", qs, ["g"], 1).collect()}
+    totals = ranks.running_totals(skewed, ["g"], "v", {"n": F.lit(1)}, 1).collect()
+    for g, values in groups(skewed).items():
+        assert np.allclose(got[g]["quantiles"], np.percentile(values, [q * 100 for q in qs]))
+        mine = sorted((r for r in totals if r["g"] == g), key=lambda r: r["v"])
+        assert [r["v"] for r in mine] == sorted(set(values))
+        assert [r["next_value"] for r in mine] == sorted(set(values))[1:] + [None]
+        assert [r["cum_n"] for r in mine] == [sum(v <= r["v"] for v in values) for r in mine]
+    whole = [r["v"] for r in skewed.collect()]
+    assert np.allclose(ranks.exact_quantiles(skewed, "v", qs, bits=1).first()["quantiles"], np.percentile(whole, [q * 100 for q in qs]))
+    places = {r["row_id"]: r["idx"] for r in ranks.with_position(skewed, [], "row_id", bits=1).collect()}
+    assert places == {i: i for i in range(3000)}
+
+
+@pytest.mark.parametrize("position", [1, 1234, 2000, 3000])
+def test_position_in_a_crowded_bucket(skewed, tiny_buckets, position):
+    values = sorted(r["v"] for r in skewed.collect())
+    value, missing, ties = ranks.position_cut(skewed, "v", position, 1)
+    want = values[position - 1]
+    assert float(value) == want and ties == values.count(want)
+    assert missing == position - sum(v < want for v in values)

@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Correlation
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from coreloom.operators.bounded import pin_small
-from coreloom.operators.features import to_long
+from coreloom.operators.bounded import pin_small, small_rows
+from coreloom.operators.features import MAX_FEATURES, moments, to_long
 from coreloom.operators.ranks import exact_quantiles
+from coreloom.session import materialize
+
+#: Features in a block of the correlation matrix, and bytes of sums that a task holds for it.
+BLOCK = 32
+BAND_BYTES = 512 * 1024 * 1024
 
 
 def class_counts(df: DataFrame, label: str = "label", by: Sequence[str] = ()) -> DataFrame:
@@ -90,12 +96,63 @@ def minute_histogram(df: DataFrame, time: str = "ts") -> DataFrame:
     return df.groupBy(F.minute(time).alias("minute")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _co_moments(df: DataFrame, means: list[float], first: int, last: int) -> DataFrame:
+    """(a, block, c0, c1, ...): sums of products of the deviations of features ``first`` <= a < ``last`` with those of each
+    block of BLOCK features at or behind a's own, added up within a task, so a task returns its part of the matrix once."""
+    width = len(means)
+    padded = -(-width // BLOCK) * BLOCK
+    cells = [f"c{i}" for i in range(BLOCK)]
+
+    def partial(batches):
+        shift = np.array(means)
+        gram = np.zeros((last - first, padded - first))
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width) - shift
+            gram[:, : width - first] += x[:, first:last].T @ x[:, first:]
+        for top in range(first, last, BLOCK):
+            a = np.arange(top, min(top + BLOCK, last), dtype="int32")
+            for left in range(top, padded, BLOCK):
+                part = gram[a - first, left - first : left - first + BLOCK]
+                columns = [pa.array(a), pa.array(np.full(len(a), left // BLOCK, dtype="int32"))]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(c) for c in part.T.copy()], ["a", "block", *cells])
+
+    schema = "a int, block int, " + ", ".join(f"{c} double" for c in cells)
+    return df.select("features").mapInArrow(partial, schema)
+
+
 def correlation_matrix(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Pearson correlations (a, b, r) of ``features``; one pass, features squared cells."""
-    vectors = df.select(array_to_vector("features").alias("_vector"))
-    matrix = Correlation.corr(vectors, "_vector").first()[0].toArray()
-    rows = [(a, b, float(matrix[i, j])) for i, a in enumerate(names) for j, b in enumerate(names)]
-    return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
+    """Pearson correlations (a, b, r) of ``features``, every pair in both orders.
+
+    Co-moments about the means are added up per pair of feature blocks; neither the driver nor one task gets the whole
+    matrix of a wide table. A task holds at most BAND_BYTES of sums: wider tables are read once for each band
+    of features. ``r`` is null for a constant feature, one with a null cell, and an empty table.
+    """
+    means = [0.0] * len(names)
+    for r in small_rows(moments(to_long(df)).select("feature", "mean"), MAX_FEATURES, "features"):
+        means[r["feature"]] = r["mean"] if r["mean"] is not None else 0.0
+    band = max(1, BAND_BYTES // (8 * BLOCK * max(1, len(names)))) * BLOCK
+    bands = [_co_moments(df, means, at, min(at + band, len(names))) for at in range(0, len(names), band)]
+    if not bands:
+        return df.sparkSession.createDataFrame([], "a string, b string, r double")
+    cells = [f"c{i}" for i in range(BLOCK)]
+    summed = reduce(DataFrame.unionAll, bands).groupBy("a", "block").agg(*[F.sum(c).alias(c) for c in cells])
+    pairs = summed.select("a", "block", F.posexplode(F.array(*cells)).alias("place", "moment")).select(
+        "a", (F.col("block") * BLOCK + F.col("place")).alias("b"), "moment"
+    )
+    pairs = materialize(pairs.where(F.col("b") < len(names)), "co-moments")
+    spread = pin_small(pairs.where("a = b").select("a", F.sqrt("moment").alias("s")))
+    scale = F.nullif(F.col("s_a") * F.col("s_b"), F.lit(0.0))
+    r = F.nanvl(F.col("moment") / scale, F.lit(None).cast("double"))
+    scored = (
+        pairs.join(spread.select("a", F.col("s").alias("s_a")), "a")
+        .join(spread.select(F.col("a").alias("b"), F.col("s").alias("s_b")), "b")
+        .select("a", "b", r.alias("r"))
+    )
+    # Within a block both orders are there already.
+    apart = F.floor(F.col("a") / BLOCK) != F.floor(F.col("b") / BLOCK)
+    both = scored.unionAll(scored.where(apart).select(F.col("b").alias("a"), F.col("a").alias("b"), "r"))
+    listed = F.lit(list(names))
+    return both.select(F.get(listed, F.col("a")).alias("a"), F.get(listed, F.col("b")).alias("b"), "r")
 
 
 def boxplot_stats(df: DataFrame) -> DataFrame:

@@ -304,3 +304,43 @@ def test_means_come_from_the_training_rows(spark):
     means = FE.cell_means(train)
     assert FE.fill_cells(train, means).where("row_id = 2").first()["features"] == [2.0, 0.0]
     assert FE.fill_cells(test, means).first()["features"] == [2.0, 7.0]
+
+
+@pytest.mark.parametrize("band_bytes", [512 << 20, 1])
+def test_correlations_of_several_blocks_and_bands(spark, monkeypatch, band_bytes):
+    """70 features: three blocks, in one band or in three; a constant feature and a null cell give null."""
+    monkeypatch.setattr(profile, "BAND_BYTES", band_bytes)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(200, 70)) @ rng.normal(size=(70, 70)) + 1e5
+    x[:, 5] = 3.0
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows[17][1][40] = None
+    df = spark.createDataFrame(rows, "row_id int, features array<double>")
+    names = [f"f{i}" for i in range(70)]
+    got = {(r["a"], r["b"]): r["r"] for r in profile.correlation_matrix(df, names).collect()}
+    assert len(got) == 70 * 70
+    with np.errstate(invalid="ignore", divide="ignore"):
+        want = np.corrcoef(x.T)
+    for i in range(70):
+        for j in range(70):
+            r = got[f"f{i}", f"f{j}"]
+            assert r is None if {i, j} & {5, 40} else abs(r - want[i, j]) < 1e-9
+
+
+def test_correlations_of_two_thousand_features(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(120, 2000))
+    x[:, 1999] = -2 * x[:, 0] + 1
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "features array<double>").coalesce(2)
+    names = [f"f{i}" for i in range(2000)]
+    result = profile.correlation_matrix(df, names)
+    some = result.where(F.col("a").isin("f0", "f31", "f32", "f1999")).collect()
+    assert result.count() == 2000 * 2000 and len(some) == 4 * 2000
+    want = {name: np.corrcoef(x.T, x[:, int(name[1:])])[-1] for name in ("f0", "f31", "f32", "f1999")}
+    assert all(abs(r["r"] - want[r["a"]][int(r["b"][1:])]) < 1e-9 for r in some)
+
+
+def test_correlations_of_an_empty_table(spark):
+    none = spark.createDataFrame([], "features array<double>")
+    assert [tuple(r) for r in profile.correlation_matrix(none, ["x"]).collect()] == [("x", "x", None)]
+    assert profile.correlation_matrix(none, []).count() == 0

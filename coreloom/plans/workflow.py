@@ -6,13 +6,13 @@ from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 from functools import cache
 
-from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.ml.feature import PCAModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coreloom.operators import features as FE
 from coreloom.operators import clusters, metrics, models, profile, select, similarity, split
+from coreloom.operators.forest import ForestModel
 from coreloom.operators.models import Forest
 from coreloom.operators.reduce import Components, fit_pca
 from coreloom.session import scratch_path
@@ -217,7 +217,7 @@ def run(df: DataFrame, plan: Plan, names: Sequence[str], time_column: str = "Tim
     def fit(name: str, table: Stage, forest: Forest):
         params = {"table": table.digest, "forest": asdict(forest)}
         rows = widen(table.table)
-        model, stage = store.model(name, params, lambda: (models.fit_forest(rows, forest), {}), RandomForestClassificationModel.load)
+        model, stage = store.model(name, params, lambda: (models.fit_forest(rows, forest), {}), ForestModel.load)
         noted(stage)
         return model, stage
 

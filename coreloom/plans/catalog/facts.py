@@ -74,7 +74,7 @@ def kmeans_core_set_cells_facts(spark, sf):
         F.every(F.col("own") <= F.col("least") + 1e-9).alias("nearest_centre_of_its_cell"),
         F.every(F.abs(F.col("own") - F.col("distance")) < 1e-9).alias("distances_fit"),
     )
-    picks = select.closest(assigned)
+    picks = select.closest(assigned, twice=True)
     least = assigned.groupBy("cluster").agg(F.min("distance").alias("_least"))
     picked = picks.join(least, "cluster", "full").agg(
         F.count(F.lit(1)).alias("picks"),

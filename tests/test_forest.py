@@ -89,3 +89,10 @@ def test_cuts_and_bad_rows(spark):
     for label in (-1, None, 100):
         with pytest.raises(Exception, match="whole numbers"):
             models.fit_forest(df.withColumn("label", F.when(F.col("row_id") == 3, F.lit(label)).otherwise(F.col("label"))), models.Forest(trees=1))
+
+
+def test_scoring_broadcasts_no_rows(spark, noisy):
+    """Tables that grow with the rows never pass the driver."""
+    scored = models.predict(models.fit_forest(noisy, models.Forest(trees=3)), noisy)
+    assert "Broadcast" not in scored._jdf.queryExecution().executedPlan().toString()
+    assert scored.count() == 600

@@ -96,3 +96,47 @@ def test_scoring_broadcasts_no_rows(spark, noisy):
     scored = models.predict(models.fit_forest(noisy, models.Forest(trees=3)), noisy)
     assert "Broadcast" not in scored._jdf.queryExecution().executedPlan().toString()
     assert scored.count() == 600
+
+
+def test_the_different_rows_are_routed_by_more_than_one_task(spark, noisy, monkeypatch):
+    files, write = {}, FO.materialize
+
+    def noted(df, name):
+        files[name] = write(df, name)
+        return files[name]
+
+    monkeypatch.setattr(FO, "materialize", noted)
+    assert models.predict(models.fit_forest(noisy, models.Forest(trees=3)), noisy).count() == 600
+    assert len(files["different"].inputFiles()) > 1
+
+
+def test_bags_are_the_draws_of_a_stream_per_point_from_one_generator(monkeypatch):
+    ids, copies = np.array([-(2**63), -1, 0, 1, 2**63 - 1, 77, -1], np.int64), np.array([1, 2, 1, 15, 300, 1, 2])
+
+    def own(key, n, seed):
+        return np.random.Generator(np.random.Philox(key=(key & 0xFFFFFFFFFFFFFFFF) | (seed & 0xFFFFFFFF) << 64)).poisson(n, 33)
+
+    for seed in (42, -7):
+        wanted = [own(k, n, seed) for k, n in zip(ids.tolist(), copies.tolist())]
+        assert np.array_equal(FO._bags(ids, copies, 33, seed), wanted)
+    made, plain = [], np.random.Philox
+    monkeypatch.setattr(np.random, "Philox", lambda *a, **k: made.append(1) or plain(*a, **k))
+    FO._bags(ids, copies, 33, 42)
+    assert len(made) == 1
+
+
+def test_a_cell_scores_all_its_blocks_in_one_descent(spark, noisy, monkeypatch):
+    """Blocks of 64 rows: rows and scores are those of a single block."""
+    model = models.fit_forest(noisy, models.Forest(trees=4, min_leaf=2))
+    whole = outcome(model, noisy)
+    monkeypatch.setattr(FO, "BLOCK_BYTES", 1)
+    assert outcome(model, noisy) == whole
+
+
+def test_descent_ends_where_a_walk_ends():
+    feature, cut = np.array([1, -1, 0, -1, -1], np.int32), np.array([3, 0, 7, 0, 0], np.uint8)
+    left = np.array([1, 0, 3, 0, 0], np.int32)
+    bins = np.array([[0, 3], [7, 4], [8, 4], [31, 0]], np.uint8)
+    assert FO.descend(bins, feature, cut, left).tolist() == [1, 3, 4, 1]
+    assert FO.descend(bins[:0], feature, cut, left).tolist() == []
+    assert FO.descend(bins, *(a[1:2] for a in (feature, cut, left))).tolist() == [0, 0, 0, 0]

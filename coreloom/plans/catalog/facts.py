@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from coreloom.functions.scalars import euclidean
 from coreloom.operators import features as FE
-from coreloom.operators import reduce, select
 from coreloom.operators import models as M
+from coreloom.operators import reduce, select
+from coreloom.operators.bounded import join_summary
 from coreloom.plans import standins as S
 from coreloom.plans.catalog.models import parts
 from coreloom.plans.catalog.registry import query
@@ -62,12 +63,18 @@ def kmeans_core_set_cells_facts(spark, sf):
     n = scaled.count()
     k = max(1, n // 500)
     assigned, centers = select.nested_clusters(scaled, k)
-    assigned, centers = materialize(assigned.select("row_id", "features", "cluster", "distance"), "assigned"), materialize(centers, "centers")
+    assigned = assigned.select("row_id", "features", "cluster", "distance")
     cell = F.floor((F.col("cluster") - 1) / select.FAN).alias("cell")
-    others = centers.select(cell, F.col("cluster").alias("other"), F.col("center").alias("x"))
-    met = assigned.withColumn("cell", cell).join(others, "cell").withColumn("d", euclidean(F.col("features"), F.col("x")))
-    met = met.groupBy("row_id").agg(
-        F.min("d").alias("least"), F.max(F.when(F.col("cluster") == F.col("other"), F.col("d"))).alias("own"), F.max("distance").alias("distance")
+    others = centers.groupBy(cell).agg(F.collect_list(F.struct(F.col("cluster").alias("other"), F.col("center").alias("x"))).alias("_others"))
+    inside = assigned.withColumn("cell", cell)
+    sizes = inside.groupBy("cell").agg(F.count(F.lit(1)).alias("size"))
+    met = join_summary(inside, others, "cell", "row_id", sizes).select(
+        "cluster", "distance", F.transform("_others", lambda o: F.struct(o["other"], euclidean(F.col("features"), o["x"]).alias("d"))).alias("_met")
+    )
+    met = met.select(
+        "distance",
+        F.array_min(F.transform("_met", lambda m: m["d"])).alias("least"),
+        F.get(F.filter("_met", lambda m: m["other"] == F.col("cluster")), F.lit(0))["d"].alias("own"),
     )
     rows = met.agg(
         F.count(F.lit(1)).alias("met"),
